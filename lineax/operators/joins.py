@@ -65,9 +65,8 @@ def attach_sequence(meta: DataFrame, fasta: DataFrame, name: str = "seq_name",
 # 42
 def cross_grid(df: DataFrame, name: str, values: Sequence, cast: str | None = None) -> DataFrame:
     """Every row of ``df`` once per parameter value (a generator, not a join)."""
-    arr = F.array(*[F.lit(v) for v in values])
-    col = F.explode(arr)
-    return df.select("*", (col.cast(cast) if cast else col).alias(name))
+    arr = F.array(*[(F.lit(v).cast(cast) if cast else F.lit(v)) for v in values])
+    return df.select("*", F.explode(arr).alias(name))
 
 
 # 43

@@ -135,14 +135,15 @@ def regress_boosted_trees(train: DataFrame, features: str = "selected", label: s
 
 # 88
 def score_batch(df: DataFrame, make_scorer: Callable[[], Callable[[np.ndarray], np.ndarray]], input_col: str,
-                n_tasks: int, batch_size: int = 4, out: str = "predicted") -> DataFrame:
+                n_tasks: int, width: int, batch_size: int = 4, out: str = "predicted") -> DataFrame:
     """Apply a user model to Arrow batches of ``input_col`` (array column) on the executors.
 
     ``make_scorer`` is called once per Python worker and returns ``f(batch) ->
-    (len(batch), n_tasks)`` predictions; the result is one array per row.
+    (len(batch), n_tasks)`` predictions for a ``(len(batch), width)`` input; the
+    result is one array of ``n_tasks`` values per row.
     """
     udf = predict_batch_udf(make_scorer, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
-                            input_tensor_shapes=[[-1]])
+                            input_tensor_shapes=[[width]])
     return df.withColumn(out, udf(F.col(input_col)))
 
 

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineax.functions.columns import clip01_col
-from lineax.operators.ordinal import with_global_ordinal
+from lineax.operators.ordinal import with_global_ordinal, with_group_ordinal
 
 
 def _cols(cols: str | Sequence[str]) -> list[str]:
@@ -124,11 +124,13 @@ def fold_split(df: DataFrame, fold_id: int, cls: str, key: Sequence[str], k: int
 def task_chunks(df: DataFrame, seq_id: str, task_id: str, n: int = 10, seed: int = 13, out: str = "chunk") -> DataFrame:
     """Split each sequence's labels into disjoint chunks of at most ``n`` (last one short).
 
-    After (seq, task) de-duplication a sequence has at most one row per task, so
-    each window partition is bounded by the number of tasks.
+    The in-sequence order is a seeded hash; positions come from the distributed
+    ordinal, so even a sequence holding a large share of the labels is numbered
+    by many tasks.
     """
-    w = Window.partitionBy(seq_id).orderBy(F.xxhash64(F.col(seq_id), F.col(task_id), F.lit(seed)), F.col(task_id))
-    return df.withColumn(out, F.floor((F.row_number().over(w) - 1) / F.lit(n)).cast("int"))
+    h = F.xxhash64(F.col(seq_id), F.col(task_id), F.lit(seed))
+    ranked = with_group_ordinal(df, [seq_id], [h, F.col(task_id)], "__k")
+    return ranked.withColumn(out, F.floor(F.col("__k") / F.lit(n)).cast("int")).drop("__k")
 
 
 # 72
