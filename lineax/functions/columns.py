@@ -109,15 +109,21 @@ def recode_pattern(df: DataFrame, key: str, patterns: Sequence[str], value: str,
 
 # 12
 def day_index_and_bin(df: DataFrame, date: str, bin_size: int = 1,
-                      day: str = "day_num", bin_col: str = "day_bin") -> DataFrame:
+                      day: str = "day_num", bin_col: str = "day_bin",
+                      bounds: tuple | None = None) -> DataFrame:
     """Day number from the global first day (1-based) and right-closed ``bin_size``-day bin.
 
-    First and last day are global (all groups); they enter as scalar subqueries,
-    not a join.  Days past the last full bin get no bin and are dropped.
+    First and last day are global (all groups).  They enter as one scalar
+    subquery (a single small aggregation job, no join), or as ``bounds`` when
+    the caller already has them.  Days past the last full bin get no bin and
+    are dropped.
     """
-    first = df.agg(F.min(F.col(date).cast("date"))).scalar()
-    last = df.agg(F.max(F.col(date).cast("date"))).scalar()
     d = F.col(date).cast("date")
+    if bounds is None:
+        b = df.agg(F.struct(F.min(d).alias("lo"), F.max(d).alias("hi"))).scalar()
+        first, last = b["lo"], b["hi"]
+    else:
+        first, last = F.lit(bounds[0]).cast("date"), F.lit(bounds[1]).cast("date")
     day_num = F.datediff(d, first) + 1
     max_num = F.datediff(last, first) + 1
     covered = F.floor(max_num / F.lit(bin_size)) * F.lit(bin_size)

@@ -53,10 +53,10 @@ def growth_design(counts: DataFrame, ref_hap: str, min_total: int = 20) -> DataF
     return counts.join(classes, ["country", "hap_id"], "inner")
 
 
-def _fit_one(train: DataFrame, country: str, max_iter: int, tol: float):
+def _fit_one(part: DataFrame, country: str, max_iter: int, tol: float):
     lr = LogisticRegression(family="multinomial", regParam=0.0, elasticNetParam=0.0, maxIter=max_iter, tol=tol,
                             weightCol="n", labelCol="label", featuresCol="features", standardization=True)
-    model = lr.fit(train.where(F.col("country") == country))
+    model = lr.fit(part)
     slopes = model.coefficientMatrix.toArray()[:, 0]
     inter = model.interceptVector.toArray()
     iters = int(model.summary.totalIterations)
@@ -66,22 +66,26 @@ def _fit_one(train: DataFrame, country: str, max_iter: int, tol: float):
 
 
 def fit_growth(design: DataFrame, max_bin: int, max_iter: int = 200, tol: float = 1e-10,
-               parallelism: int = 8) -> DataFrame:
-    """Coefficients relative to class 0 per country: (country, class_idx, intercept, slope, ...)."""
+               parallelism: int = 8, cells_per_partition: int = 200_000) -> DataFrame:
+    """Coefficients relative to class 0 per country: (country, class_idx, intercept, slope, ...).
+
+    Each country's cells are re-partitioned to ``ceil(cells / cells_per_partition)``
+    partitions, so a small country is one task per iteration and a large one
+    is spread over many.
+    """
     train = design.select(
         "country",
         F.col("class_idx").cast("double").alias("label"),
         array_to_vector(F.array((F.col("day_bin") / F.lit(float(max_bin))).cast("double"))).alias("features"),
         F.col("n").cast("double").alias("n"),
-    ).persist()
-    # The country list is a small dictionary (one row per country).
-    countries = sorted(r[0] for r in design.select("country").distinct().collect())
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(countries) or 1))) as pool:
-            parts = list(pool.map(lambda c: _fit_one(train, c, max_iter, tol), countries))
-    finally:
-        train.unpersist()
-    rows = [r for p in parts for r in p]
+    )
+    # One row per country: a small dictionary.
+    sizes = {r[0]: int(r[1]) for r in design.groupBy("country").count().collect()}
+    parts = {c: train.where(F.col("country") == c).repartition(max(1, -(-n // cells_per_partition)))
+             for c, n in sizes.items()}
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(parts) or 1))) as pool:
+        fitted = list(pool.map(lambda c: _fit_one(parts[c], c, max_iter, tol), sorted(parts)))
+    rows = [r for p in fitted for r in p]
     return design.sparkSession.createDataFrame(rows, COEF_SCHEMA)
 
 

@@ -38,12 +38,11 @@ def loss_weights(df: DataFrame, cutoff: str, thresh: str, fitness_mult: float =
     major = F.when(F.col(group) == "fitness", F.lit("fitness")).otherwise(F.lit("immune"))
     tagged = conditional_label(df.withColumn("major_group", major), "major_group", date, thresh, "major_group2")
     d = F.col(date).cast("date")
-    counts = df.agg(
+    counts = df.agg(F.struct(
         F.count_if(major == "immune").alias("n_imm"),
         F.count_if(d < F.lit(cutoff).cast("date")).alias("n_fit"),
-    )
-    n_imm = counts.select("n_imm").scalar()
-    n_fit = counts.select("n_fit").scalar()
+    )).scalar()
+    n_imm, n_fit = counts["n_imm"], counts["n_fit"]
     w_imm = F.when(n_imm > 0, F.lit(1.0) / n_imm)
     w_fit = F.when(n_fit > 0, F.lit(1.0) / n_fit)
     w_max = F.greatest(w_imm, w_fit)

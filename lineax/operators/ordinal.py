@@ -1,11 +1,12 @@
 """Distributed ordinals without a single-partition window.
 
 A global ``row_number`` over an un-partitioned window moves every row into one
-task.  Here the rows are range-partitioned and sorted by Spark, the sorted
-result is checkpointed (so partition ids and in-partition positions are stable
-even if an executor is lost and the scan is re-run), and each row's ordinal is
-its partition's offset plus its position inside the partition.  The only
-gathered table is one row per partition, which is broadcast.
+task.  Here the rows are range-partitioned and sorted by Spark, each row is
+tagged with (partition, position) of the sorted output, and the tagged rows
+are written once to the checkpoint folder (so the tags are fixed even if an
+executor is lost and work is re-run).  A row's ordinal is its partition's
+offset plus its position inside the partition; the only gathered table is one
+row per partition, which is broadcast.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineax.session import ensure_checkpoint_dir
+from lineax.session import materialize
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -30,10 +31,11 @@ def with_global_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: s
     Ties keep whatever order the sort produced; pass a unique tie-break column
     for a deterministic result.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    ordered = df.orderBy(*_as_cols(order_by)).checkpoint(eager=True)
     mid = F.monotonically_increasing_id()
-    tagged = ordered.select("*", F.shiftright(mid, 33).alias("_pid"), mid.bitwiseAND(F.lit(_LOW_BITS)).alias("_loc"))
+    ordered = df.orderBy(*_as_cols(order_by))
+    tagged = materialize(
+        ordered.select("*", F.shiftright(mid, 33).alias("_pid"), mid.bitwiseAND(F.lit(_LOW_BITS)).alias("_loc")),
+        "ordinal")
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

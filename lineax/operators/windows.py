@@ -110,14 +110,20 @@ def stratified_folds(df: DataFrame, cls: str, key: Sequence[str], k: int = 5, se
 
 def fold_split(df: DataFrame, fold_id: int, cls: str, key: Sequence[str], k: int = 5, inner_k: int = 4,
                seed: int = 13, out: str = "split") -> DataFrame:
-    """train/val/test labels: test = fold ``fold_id``; the rest re-split in ``inner_k``, first = val."""
+    """train/val/test labels: test = fold ``fold_id``; the rest re-split in ``inner_k``, first = val.
+
+    ``key`` must identify a row.  Folds are computed on the narrow (class, key)
+    projection and joined back once, so wide rows are shuffled a single time.
+    """
     if not 0 <= fold_id < k:
         raise ValueError(f"fold_id should be between 0 and {k - 1}")
-    outer = stratified_folds(df, cls, key, k, seed, "__f")
+    narrow = df.select(cls, *key)
+    outer = stratified_folds(narrow, cls, key, k, seed, "__f")
     test = outer.where(F.col("__f") == fold_id).withColumn(out, F.lit("test"))
     rest = stratified_folds(outer.where(F.col("__f") != fold_id), cls, key, inner_k, seed, "__g")
     rest = rest.withColumn(out, F.when(F.col("__g") == 0, F.lit("val")).otherwise(F.lit("train"))).drop("__g")
-    return rest.drop("__f").unionByName(test.drop("__f"))
+    labels = rest.drop("__f").unionByName(test.drop("__f")).drop(cls)
+    return df.join(labels, list(key), "inner")
 
 
 # 71

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lineax.functions.columns import day_index_and_bin
 from lineax.operators import aggs, filters, growth, joins, windows
+from lineax.session import materialize
 
 
 # 90
@@ -34,7 +35,8 @@ def build_haplotypes(samples: DataFrame, muts: DataFrame, min_mut: int = 100, mi
     frequent = aggs.count_having(m, "mut", min_mut, strict=True).select("mut")
     m = joins.null_safe_join(m, frequent, ["mut"])
     m = m.distinct()
-    hap = aggs.haplotype_string(m, name, "mut", "haplotype")
+    # One row per sample; read twice (ids, join back), so cut its lineage once.
+    hap = materialize(aggs.haplotype_string(m, name, "mut", "haplotype"), "haplotypes")
     hap = windows.dense_ids(hap, "haplotype", "hap_id", base=1, prefix="hap_")
     hap = joins.inner_join_keep_multiplicity(hap, samples.select(name, country), name)
     common = aggs.count_having(hap, ["hap_id", country], min_hap).select("hap_id").distinct()
@@ -47,7 +49,7 @@ def build_all_mutation_haplotypes(samples: DataFrame, muts: DataFrame, gene: str
     """(seq_name, haplotype_all, hap_all_id) without any frequency filter."""
     m = filters.keep_gene(muts, "mut", gene)
     m = joins.right_join_keep_unmatched(m, samples.select(name).distinct(), name).distinct()
-    hap = aggs.haplotype_string(m, name, "mut", "haplotype_all")
+    hap = materialize(aggs.haplotype_string(m, name, "mut", "haplotype_all"), "haplotypes_all")
     return windows.dense_ids(hap, "haplotype_all", "hap_all_id", base=1, prefix="hap_all_")
 
 
@@ -66,11 +68,12 @@ def prepare(samples: DataFrame, muts: DataFrame, ref_clade: str, min_mut: int =
     haps = build_haplotypes(samples, muts, min_mut, min_hap)
     rows = samples.join(haps.select("seq_name", "hap_id"), "seq_name", "inner")
     rows = aggs.dedupe_keep_first(rows, "seq_name", ["sample_id"])
-    rows = rows.where(F.col("collection_date").isNotNull())
-    rows = day_index_and_bin(rows, "collection_date", bin_size).persist()
+    rows = materialize(rows.where(F.col("collection_date").isNotNull()), "samples_with_haplotype")
+    lo, hi = rows.agg(F.min("collection_date"), F.max("collection_date")).first()
+    rows = day_index_and_bin(rows, "collection_date", bin_size, bounds=(lo, hi))
     ref = aggs.reference_haplotype(rows, ref_clade, "country", "hap_id", "clade").first()
-    max_bin = rows.agg(F.max("day_bin")).first()[0]
-    return Stage(rows, haps, int(max_bin or 0), ref["hap_id"] if ref else None)
+    max_bin = rows.agg(F.max("day_bin")).first()[0] or 0
+    return Stage(rows, haps, int(max_bin), ref["hap_id"] if ref else None)
 
 
 def growth_table(stage: Stage, min_total: int = 20, bin_size: int = 1, gen_time: float = 2.1,

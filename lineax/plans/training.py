@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lineax.functions import columns as C
 from lineax.operators import aggs, filters, joins, models, setops, windows
 from lineax.operators.features import task_vectors
+from lineax.session import materialize
 
 # Fixed values of the reference runs.
 NEGATIVE_SOURCES = ["SARS convalescents", "WT-engineered"]
@@ -86,6 +87,9 @@ def training_table(escape_tab: DataFrame, fitness_tab: DataFrame, cutoff: str, t
     cat = filters.gap_filter(cat, max_x, max_gap)
     cat = windows.dense_ids(cat, "data_group", "task_id")
     cat = windows.dense_ids(cat, "seq", "seq_id")
+    # Weights (one scalar aggregation), the fold keys and the final join all read
+    # these rows: write them once instead of recomputing the ids three times.
+    cat = materialize(cat, "task_rows")
     cat = models.loss_weights(cat, cutoff, thresh, fitness_mult, recent_mult)
     cls = F.when(F.col("major_group") == "fitness", F.concat(F.col("data_group"), F.lit("_"), F.col("clade"))) \
         .otherwise(F.col("data_group"))

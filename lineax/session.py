@@ -60,3 +60,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` once as parquet under the checkpoint folder and read it back.
+
+    This cuts the lineage (a lost executor re-reads files instead of recomputing
+    the plan) with a single job; ``Dataset.checkpoint`` would compute an
+    un-cached plan twice (once to count, once to write).
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
