@@ -31,9 +31,18 @@ def count_having(df: DataFrame, keys: str | Sequence[str], min_count: int, stric
 
 
 # 46
-def filter_groups_by_size(df: DataFrame, key: str, min_count: int) -> DataFrame:
-    """Rows of groups with at least ``min_count`` rows; NULL-key rows drop (pandas groupby)."""
-    big = count_having(df.where(F.col(key).isNotNull()), key, min_count).select(key)
+def filter_groups_by_size(df: DataFrame, key: str, min_count: int, max_literal: int = 10_000) -> DataFrame:
+    """Rows of groups with at least ``min_count`` rows; NULL-key rows drop (pandas groupby).
+
+    The qualifying keys are computed first (a narrow aggregation).  If there
+    are at most ``max_literal`` of them — checked by fetching at most one more —
+    they become a literal ``IN`` filter, so the wide rows are never shuffled;
+    otherwise the rows are semi-joined with the key table.
+    """
+    big = count_having(df.where(F.col(key).isNotNull()).select(key), key, min_count).select(key)
+    keys = big.limit(max_literal + 1).collect()
+    if len(keys) <= max_literal:
+        return df.where(F.col(key).isin([r[0] for r in keys]))
     return df.join(big, key, "left_semi")
 
 
@@ -91,8 +100,36 @@ def first_seen_quantile(df: DataFrame, key: str | Sequence[str], date: str, p: f
 # 52
 def exact_quantile(df: DataFrame, col: str, p: float | Sequence[float], by: Sequence[str] = (),
                    out: str = "q") -> DataFrame:
-    """Linear-interpolation quantile (numpy default) over all rows or per group."""
-    return df.groupBy(*by).agg(F.percentile(F.col(col), p).alias(out))
+    """Linear-interpolation quantile (numpy default) over all rows or per group.
+
+    Sort-based: values are ranked by the distributed ordinal (a hot group is
+    sorted by many tasks), then only the two neighbouring ranks of each
+    requested quantile are picked.  ``out`` is a double, or an array for a list of ``p``.
+    NULLs are ignored.
+    """
+    ps = [p] if isinstance(p, (int, float)) else list(p)
+    grouped = bool(by)
+    by = list(by) if grouped else ["_all"]
+    x = df.select(*(by if grouped else [F.lit(0).alias("_all")]), F.col(col).cast("double").alias("_x"))
+    ranked = with_global_ordinal(x.where(F.col("_x").isNotNull()), [*by, "_x"], "_g")
+    starts = ranked.groupBy(*by).agg(F.min("_g").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    pos = [(F.col("_s") + F.lit(q) * (F.col("_n") - 1)) for q in ps]
+    targets = starts.select(*by, *[F.floor(c).alias(f"_lo{i}") for i, c in enumerate(pos)],
+                            *[F.ceil(c).alias(f"_hi{i}") for i, c in enumerate(pos)],
+                            *[(c - F.floor(c)).alias(f"_f{i}") for i, c in enumerate(pos)])
+    wanted = F.lit(False)
+    for i in range(len(ps)):
+        wanted = wanted | (F.col("_g") == F.col(f"_lo{i}")) | (F.col("_g") == F.col(f"_hi{i}"))
+    # Ungrouped: one target row, a proven bound, so it is broadcast.
+    picked = ranked.join(targets if grouped else F.broadcast(targets), by, "inner").where(wanted)
+    vals = []
+    for i in range(len(ps)):
+        lo = F.max(F.when(F.col("_g") == F.col(f"_lo{i}"), F.col("_x")))
+        hi = F.max(F.when(F.col("_g") == F.col(f"_hi{i}"), F.col("_x")))
+        vals.append(lo + F.first(f"_f{i}") * (hi - lo))
+    res = picked.groupBy(*by).agg(*[v.alias(f"_q{i}") for i, v in enumerate(vals)])
+    q = F.col("_q0") if isinstance(p, (int, float)) else F.array(*[F.col(f"_q{i}") for i in range(len(ps))])
+    return res.select(*(by if grouped else []), q.alias(out))
 
 
 # 53

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +26,26 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def with_global_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "ordinal") -> DataFrame:
+def with_global_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "ordinal",
+                        salt: bool = True) -> DataFrame:
     """Add a 0-based dense position of each row in the total order ``order_by``.
 
-    Ties keep whatever order the sort produced; pass a unique tie-break column
-    for a deterministic result.
+    Rows equal on ``order_by`` get their positions in arbitrary order.  With
+    ``salt`` a seeded random value is the last sort key, so a value repeated in
+    a third of the rows is still split over many range partitions.  The input
+    is cached for the two passes the range sort makes (sampling, then sorting)
+    and released afterwards.
     """
     mid = F.monotonically_increasing_id()
-    ordered = df.orderBy(*_as_cols(order_by))
-    tagged = materialize(
-        ordered.select("*", F.shiftright(mid, 33).alias("_pid"), mid.bitwiseAND(F.lit(_LOW_BITS)).alias("_loc")),
-        "ordinal")
+    keys = _as_cols(order_by) + ([F.rand(7)] if salt else [])
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ordered = src.orderBy(*keys)
+        tagged = materialize(
+            ordered.select("*", F.shiftright(mid, 33).alias("_pid"), mid.bitwiseAND(F.lit(_LOW_BITS)).alias("_loc")),
+            "ordinal")
+    finally:
+        src.unpersist()
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

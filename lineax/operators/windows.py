@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineax.functions.columns import clip01_col
+from lineax.operators.aggs import exact_quantile
 from lineax.operators.ordinal import with_global_ordinal, with_group_ordinal
 
 
@@ -33,8 +34,9 @@ def _ratio_like_numpy(num: Column, den: Column) -> Column:
 def scale_within_group(df: DataFrame, group: str, x: str, q: float = 0.95, out: str = "outcome",
                        clip: bool = True) -> DataFrame:
     """(x - min) / (p_q - min) per group, clipped to [0, 1]; a constant group gives NULL."""
-    stats = df.groupBy(group).agg(F.min(x).alias("__lo"), F.percentile(F.col(x), q).alias("__hi"))
-    j = df.join(stats, group, "left")
+    lo = df.groupBy(group).agg(F.min(x).alias("__lo"))
+    hi = exact_quantile(df, x, q, [group], "__hi")
+    j = df.join(lo.join(hi, group, "left"), group, "left")
     val = _ratio_like_numpy(F.col(x) - F.col("__lo"), F.col("__hi") - F.col("__lo"))
     val = clip01_col(val) if clip else val
     return j.withColumn(out, val).drop("__lo", "__hi")
@@ -44,9 +46,10 @@ def scale_within_group(df: DataFrame, group: str, x: str, q: float = 0.95, out:
 def quantile_normalise(df: DataFrame, x: str, lo: float = 0.001, hi: float = 0.999, out: str | None = None) -> DataFrame:
     """(x - q_lo) / (q_hi - q_lo) with global interpolated quantiles; not clipped.
 
-    The two quantiles are one scalar subquery (one extra aggregation job, no join).
+    The quantiles come from the sort-based ``exact_quantile`` and enter the
+    projection as one scalar subquery (no join).
     """
-    qs = df.agg(F.percentile(F.col(x), [lo, hi]).alias("q")).scalar()
+    qs = exact_quantile(df, x, [lo, hi], (), "q").scalar()
     qlo, qhi = F.element_at(qs, 1), F.element_at(qs, 2)
     return df.withColumn(out or f"{x}_norm", F.try_divide(F.col(x) - qlo, qhi - qlo))
 

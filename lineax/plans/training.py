@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lineax.functions import columns as C
 from lineax.operators import aggs, filters, joins, models, setops, windows
 from lineax.operators.features import task_vectors
+from lineax.operators.ordinal import with_global_ordinal
 from lineax.session import materialize
 
 # Fixed values of the reference runs.
@@ -69,6 +70,23 @@ def fitness_task_table(fitness: DataFrame, min_country: int = 300, pango_members
                     "clade", "country")
 
 
+def sequence_dictionary(seqs: DataFrame, seq: str = "seq", max_x: int = 5, max_gap: int = 30) -> DataFrame:
+    """(seq_h, seq_m, seq, seq_id, count_x, count_hyphen): one row per distinct sequence that
+    passes the gap filter, ids 0.. in sorted (code-point) order.
+
+    Sequences are grouped by a 64-bit hash plus md5 of the text with map-side
+    combining, so each distinct sequence crosses the network about once; two
+    different texts with the same digests would fail the job rather than merge.
+    """
+    d = seqs.select(F.xxhash64(seq).alias("seq_h"), F.md5(seq).alias("seq_m"), F.col(seq).alias("seq"))
+    d = d.groupBy("seq_h", "seq_m").agg(F.min("seq").alias("seq"), F.max("seq").alias("_other"))
+    same = F.when(F.col("seq") == F.col("_other"), F.col("seq")).otherwise(
+        F.raise_error(F.lit("sequence digest collision")).cast("string"))
+    d = C.gap_counts(d.withColumn("seq", same).drop("_other"), "seq")
+    d = filters.gap_filter(d, max_x, max_gap)
+    return with_global_ordinal(d, ["seq"], "seq_id")
+
+
 # 99
 def training_table(escape_tab: DataFrame, fitness_tab: DataFrame, cutoff: str, thresh: str,
                    fitness_mult: float = 2.0, recent_mult: float = 1.0, exclude_clades: Sequence[str] = (),
@@ -79,26 +97,31 @@ def training_table(escape_tab: DataFrame, fitness_tab: DataFrame, cutoff: str, t
     weights → split class → clade exclusion → cutoff split → stratified folds
     (test = fold ``fold_id`` of ``k``; the rest re-split in 4, first = val).
     Rows on/after the cutoff are labelled ``future``.
+
+    Task rows travel with a digest of their sequence, never the text: the
+    text lives once in the sequence dictionary and is attached at the end.
     """
     cat = setops.union_by_name_fill(fitness_tab, escape_tab)
-    cat = windows.shuffle_and_number(cat, ["group", "data_group", "outcome", "seq", "date_first", "clade", "country"],
-                                     seed, "row_id")
-    cat = C.gap_counts(cat, "seq")
-    cat = filters.gap_filter(cat, max_x, max_gap)
-    cat = windows.dense_ids(cat, "data_group", "task_id")
-    cat = windows.dense_ids(cat, "seq", "seq_id")
+    seqs = sequence_dictionary(cat.select("seq"), "seq", max_x, max_gap)
+    narrow = cat.select("group", "data_group", "outcome", "date_first", "clade", "country",
+                        F.xxhash64("seq").alias("seq_h"), F.md5("seq").alias("seq_m"))
+    narrow = windows.shuffle_and_number(
+        narrow, ["group", "data_group", "outcome", "seq_h", "seq_m", "date_first", "clade", "country"], seed, "row_id")
+    narrow = narrow.join(seqs.select("seq_h", "seq_m", "seq_id", "count_x", "count_hyphen"), ["seq_h", "seq_m"], "inner")
+    narrow = windows.dense_ids(narrow, "data_group", "task_id")
     # Weights (one scalar aggregation), the fold keys and the final join all read
     # these rows: write them once instead of recomputing the ids three times.
-    cat = materialize(cat, "task_rows")
-    cat = models.loss_weights(cat, cutoff, thresh, fitness_mult, recent_mult)
+    narrow = materialize(narrow.drop("seq_h", "seq_m"), "task_rows")
+    narrow = models.loss_weights(narrow, cutoff, thresh, fitness_mult, recent_mult)
     cls = F.when(F.col("major_group") == "fitness", F.concat(F.col("data_group"), F.lit("_"), F.col("clade"))) \
         .otherwise(F.col("data_group"))
-    cat = cat.withColumn("split_class", cls)
+    narrow = narrow.withColumn("split_class", cls)
     if exclude_clades:
-        cat = filters.exclude_members(cat, "clade", exclude_clades)
-    past, future = filters.split_by_cutoff(cat, "date_first", cutoff)
+        narrow = filters.exclude_members(narrow, "clade", exclude_clades)
+    past, future = filters.split_by_cutoff(narrow, "date_first", cutoff)
     past = windows.fold_split(past, fold_id, "split_class", ["row_id"], k, 4, seed, "split")
-    return past.unionByName(future.withColumn("split", F.lit("future")))
+    rows = past.unionByName(future.withColumn("split", F.lit("future")))
+    return rows.join(seqs.select("seq_id", "seq"), "seq_id", "inner")
 
 
 def dedupe_cells(rows: DataFrame) -> DataFrame:
