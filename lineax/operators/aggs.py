@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineax.operators.ordinal import with_global_ordinal
+from lineax.operators.ordinal import with_global_ordinal, with_running_total
 
 
 def _cols(cols: str | Sequence[str]) -> list[str]:
@@ -170,34 +170,38 @@ def pearson(df: DataFrame, a: str, b: str, by: Sequence[str] = (), out: str = "p
     return both.groupBy(*by).agg(F.corr(a, b).alias(out))
 
 
-def _average_rank(df: DataFrame, by: Sequence[str], col: str, rid: str, out: str) -> DataFrame:
-    """Average rank (ties share the mean position, 1-based) of ``col`` within ``by``."""
-    glob = with_global_ordinal(df.select(*by, rid, col), [*by, col, rid], "_g")
-    ties = glob.groupBy(*by, col).agg(((F.min("_g") + F.max("_g")) / 2.0).alias("_m"))
+def average_ranks(df: DataFrame, col: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
+    """(by..., col, rank): 1-based average rank of each distinct value within ``by`` (ties share
+    the mean of their positions), NULLs ignored.
+
+    Ranks depend only on value counts: values are counted with map-side
+    combining, and a distributed running total over the sorted distinct values
+    gives each value's position, so no row-level sort is needed.
+    """
+    by = list(by)
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c"))
+    run = with_running_total(counts, [*by, col], "_c", "_b")
     if by:
-        starts = glob.groupBy(*by).agg(F.min("_g").alias("_s"))
-        ranked = ties.join(starts, list(by), "inner")
-    else:  # the global ordinal starts at 0
-        ranked = ties.withColumn("_s", F.lit(0))
-    ranked = ranked.select(*by, col, (F.col("_m") - F.col("_s") + 1).alias(out))
-    return glob.drop("_g").join(ranked, [*by, col], "inner").select(*by, rid, out)
+        starts = run.groupBy(*by).agg(F.min("_b").alias("_s"))
+        run = run.join(starts, by, "inner")
+    else:
+        run = run.withColumn("_s", F.lit(0))
+    rank = F.col("_b") - F.col("_s") + (F.col("_c") + 1) / 2.0
+    return run.select(*by, col, rank.alias(out))
 
 
 # 58
-def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = (), row_id: str | None = None,
-             out: str = "spearman") -> DataFrame:
+def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = (), out: str = "spearman") -> DataFrame:
     """Rank correlation with average ranks for ties (equals pandas ``method='spearman'``).
 
-    Ranks come from distributed sorts (no single-partition window), so a hot
-    group is ranked by many tasks.
+    Each row looks up the rank of its two values (joins on value, broadcast by
+    Spark when the distinct values are few), then Pearson of the ranks.
     """
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    if row_id is None:
-        both = with_global_ordinal(both, [F.col(c) for c in both.columns], "_rid")
-        row_id = "_rid"
-    ra = _average_rank(both, by, a, row_id, "_ra")
-    rb = _average_rank(both, by, b, row_id, "_rb")
-    j = ra.join(rb, [*by, row_id])
+    by = list(by)
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b)
+    ra = average_ranks(both, a, by, "_ra")
+    rb = average_ranks(both, b, by, "_rb")
+    j = both.join(ra, [*by, a], "inner").join(rb, [*by, b], "inner")
     return j.groupBy(*by).agg(F.corr("_ra", "_rb").alias(out))
 
 

@@ -67,3 +67,28 @@ def with_group_ordinal(
     cond = [F.col(g).eqNullSafe(F.col(k)) for g, k in keys.items()]
     out = glob.join(starts, cond).withColumn(name, F.col("_g") - F.col("_start"))
     return out.drop("_g", "_start", *keys.values())
+
+
+def with_running_total(df: DataFrame, order_by: Sequence[str | Column], weight: str, name: str = "before") -> DataFrame:
+    """Add the sum of ``weight`` over all rows strictly before each row in the total order ``order_by``.
+
+    Same scheme as ``with_global_ordinal``: range-sort, tag (partition,
+    position), write once; then a running sum inside each range partition (one
+    balanced partition per window task) plus the total of earlier partitions.
+    """
+    mid = F.monotonically_increasing_id()
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ordered = src.orderBy(*_as_cols(order_by))
+        tagged = materialize(
+            ordered.select("*", F.shiftright(mid, 33).alias("_pid"), mid.bitwiseAND(F.lit(_LOW_BITS)).alias("_loc")),
+            "running")
+    finally:
+        src.unpersist()
+    inside = Window.partitionBy("_pid").orderBy("_loc").rowsBetween(Window.unboundedPreceding, -1)
+    within = tagged.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    sizes = tagged.groupBy("_pid").agg(F.sum(weight).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    joined = within.join(F.broadcast(offsets), "_pid")
+    return joined.withColumn(name, F.col("_off") + F.col("_in")).drop("_pid", "_loc", "_off", "_in")

@@ -29,3 +29,21 @@ def test_sequence_dictionary_sorted_ids_and_gap_filter(spark):
     seqs = spark.createDataFrame([("MKV",), ("AAA",), ("MKV",), ("X" * 6 + "A",), ("B-C",)], "seq string")
     d = {r.seq: (r.seq_id, r.count_x, r.count_hyphen) for r in sequence_dictionary(seqs).collect()}
     assert d == {"AAA": (0, 0, 0), "B-C": (1, 0, 1), "MKV": (2, 0, 0)}
+
+
+def test_average_ranks_match_pandas(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    vals = np.concatenate([np.zeros(700), rng.normal(size=300).round(2)])
+    grp = np.where(np.arange(1000) % 3 == 0, "a", "b")
+    pdf = pd.DataFrame({"g": grp, "x": vals})
+    df = spark.createDataFrame([(g, float(x)) for g, x in zip(grp, vals)], "g string, x double")
+    got = {(r.g, r.x): r.rank for r in aggs.average_ranks(df, "x", ["g"]).collect()}
+    pdf["r"] = pdf.groupby("g")["x"].rank(method="average")
+    for g, x, r in pdf.drop_duplicates(["g", "x"]).itertuples(index=False):
+        assert abs(got[(g, x)] - r) < 1e-9
+    ys = rng.normal(size=1000)
+    pdf["y"] = ys
+    sp = aggs.spearman(spark.createDataFrame([(float(x), float(y)) for x, y in zip(vals, ys)], "x double, y double"), "x", "y")
+    assert abs(sp.first().spearman - pdf[["x", "y"]].corr(method="spearman").iloc[0, 1]) < 1e-12
