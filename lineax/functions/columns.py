@@ -228,7 +228,7 @@ def encode_residues(
     df: DataFrame,
     vocab: Mapping[str, int],
     seq: str = "seq",
-    max_len: int = 1024,
+    max_len: int | None = 1024,
     start_id: int = 0,
     end_id: int = 2,
     pad_id: int = 1,
@@ -236,17 +236,22 @@ def encode_residues(
     ids: str = "input_ids",
     mask: str = "attention_mask",
 ) -> DataFrame:
-    """Character-level token ids with start/end markers, truncated and padded to ``max_len``.
+    """Character-level token ids with start/end markers.
 
-    The vocabulary is a small map literal; the whole sequence is encoded before
-    truncation, which keeps the first ``max_len - 2`` residues plus both markers.
+    With ``max_len`` the ids are truncated (first ``max_len - 2`` residues plus
+    both markers) and padded to ``max_len`` as the fine-tuning inputs are; with
+    ``max_len=None`` the whole sequence is encoded without padding.  The
+    vocabulary is a small map literal.
     """
     vmap = F.create_map(*[x for k, v in sorted(vocab.items()) for x in (F.lit(k), F.lit(int(v)))])
     chars = F.split(F.col(seq), "")
     body = F.transform(chars, lambda ch: F.coalesce(F.element_at(vmap, ch), F.lit(unk_id)))
-    body = F.slice(body, 1, max_len - 2)
+    if max_len is not None:
+        body = F.slice(body, 1, max_len - 2)
     toks = F.concat(F.array(F.lit(start_id)), body, F.array(F.lit(end_id)))
     n = F.size(toks)
+    if max_len is None:
+        return df.withColumns({ids: toks, mask: F.array_repeat(F.lit(1), n)})
     padded = F.concat(toks, F.array_repeat(F.lit(pad_id), F.lit(max_len) - n))
     m = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_len) - n))
     return df.withColumns({ids: padded, mask: m})

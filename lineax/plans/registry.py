@@ -333,10 +333,10 @@ def q_rename_select(spark, d):
 VOCAB = {ch: i + 4 for i, ch in enumerate("abcdefghijklmnopqrstuvwxyz")}
 
 
-@register("encode_residues", """SELECT doc_id, 64 AS n_ids, CAST(least(length(text), 62) + 2 AS INTEGER) AS n_real,
-  CAST(least(length(text), 62) - length(regexp_replace(substr(text, 1, 62), '[^a-z]', '', 'g')) AS INTEGER) AS n_unk FROM documents""")
+@register("encode_residues", """SELECT doc_id, CAST(length(text) + 2 AS INTEGER) AS n_ids, CAST(length(text) + 2 AS INTEGER) AS n_real,
+  CAST(length(text) - length(regexp_replace(text, '[^a-z]', '', 'g')) AS INTEGER) AS n_unk FROM documents""")
 def q_encode_residues(spark, d):
-    t = C.encode_residues(S.documents(spark, d).select("doc_id", "text"), VOCAB, "text", max_len=64)
+    t = C.encode_residues(S.documents(spark, d).select("doc_id", "text"), VOCAB, "text", max_len=None)
     return t.select("doc_id", F.size("input_ids").alias("n_ids"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
                     F.size(F.filter("input_ids", lambda x: x == 3)).alias("n_unk"))
@@ -344,7 +344,7 @@ def q_encode_residues(spark, d):
 
 @register("mask_residues")
 def q_mask_residues(spark, d):
-    t = C.encode_residues(S.documents(spark, d).select("doc_id", "text"), VOCAB, "text", max_len=1024)
+    t = C.encode_residues(S.documents(spark, d).select("doc_id", "text"), VOCAB, "text", max_len=None)
     t = C.mask_residues(t, "doc_id", mask_id=32, vocab_size=33)
     chosen = F.size(F.filter("labels", lambda x: x != -100))
     eligible = F.size(F.filter("input_ids", lambda x: ~x.isin(0, 1, 2)))
