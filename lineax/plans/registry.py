@@ -1173,3 +1173,15 @@ def fitness_table(spark: SparkSession, d: str) -> DataFrame:
     allh = H.build_all_mutation_haplotypes(s, m)
     rep = H.representative_table(st, allh, table)
     return rep.withColumn("date_first", ds("date_first"))
+
+
+@register("chunked_task_vectors", """WITH r AS (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY l_orderkey, l_linenumber),
+u AS (SELECT l_orderkey, count(*) AS m FROM r GROUP BY l_orderkey)
+SELECT l_orderkey AS seq_id, CAST(c.range AS INTEGER) AS chunk, CAST(least(3, m - c.range * 3) AS INTEGER) AS n_labels
+FROM u, range(0, 1000) c WHERE c.range * 3 < m""")
+def q_chunked_vectors(spark, d):
+    li = with_global_ordinal(S.table(spark, d, "lineitem"), LI_COLS + ["l_orderkey", "l_linenumber"], "row_id")
+    cells = li.select(F.col("l_orderkey").alias("seq_id"), F.col("l_linenumber").alias("task_id"),
+                      F.col("l_discount").alias("outcome"), F.col("l_tax").alias("weight"), "row_id")
+    v = TR.chunked_task_vectors(cells, n=3, seed=13)
+    return v.select("seq_id", "chunk", F.size("labels").alias("n_labels"))
