@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lineax.session import materialize
+
 COEF_SCHEMA = T.StructType([
     T.StructField("country", T.StringType()),
     T.StructField("class_idx", T.IntegerType()),
@@ -106,9 +108,9 @@ def lineage_growth(
 
     ``df`` holds one row per sequence with its country, day bin and haplotype.
     """
-    counts = daily_counts(df, country, day, hap).persist()
+    counts = materialize(daily_counts(df, country, day, hap), "daily_counts")
     max_bin = int(counts.agg(F.max("day_bin")).first()[0])
-    design = growth_design(counts, ref_hap, min_total).persist()
+    design = materialize(growth_design(counts, ref_hap, min_total), "growth_design")
     coefs = fit_growth(design, max_bin, max_iter, tol, parallelism)
     classes = design.select("country", "hap_id", "class_idx").distinct()
     re = F.when(F.col("class_idx") == 0, F.lit(1.0)).otherwise(
