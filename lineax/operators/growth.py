@@ -110,7 +110,7 @@ def lineage_growth(
     """
     counts = materialize(daily_counts(df, country, day, hap), "daily_counts")
     max_bin = int(counts.agg(F.max("day_bin")).first()[0])
-    design = materialize(growth_design(counts, ref_hap, min_total), "growth_design")
+    design = materialize(growth_design(counts, ref_hap, min_total), "growth_design", ["country"])
     coefs = fit_growth(design, max_bin, max_iter, tol, parallelism)
     classes = design.select("country", "hap_id", "class_idx").distinct()
     re = F.when(F.col("class_idx") == 0, F.lit(1.0)).otherwise(

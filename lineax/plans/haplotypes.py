@@ -80,8 +80,9 @@ def growth_table(stage: Stage, min_total: int = 20, bin_size: int = 1, gen_time:
                  max_iter: int = 200, tol: float = 1e-10):
     """(relative_re per country and haplotype, design, coefficients)."""
     counts = growth.daily_counts(stage.rows)
-    # Read by every per-country fit and by the certificate: written once.
-    design = materialize(growth.growth_design(counts, stage.ref_hap, min_total), "growth_design")
+    # Read by every per-country fit and by the certificate: written once, one folder per
+    # country so each fit reads only its own cells.
+    design = materialize(growth.growth_design(counts, stage.ref_hap, min_total), "growth_design", ["country"])
     coefs = growth.fit_growth(design, stage.max_bin, max_iter, tol)
     classes = design.select("country", "hap_id", "class_idx").distinct()
     re = F.when(F.col("class_idx") == 0, F.lit(1.0)).otherwise(

@@ -62,13 +62,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df, name: str = "stage"):
+def materialize(df, name: str = "stage", partition_by: list[str] | None = None):
     """Write ``df`` once as parquet under the checkpoint folder and read it back.
 
     This cuts the lineage (a lost executor re-reads files instead of recomputing
     the plan) with a single job; ``Dataset.checkpoint`` would compute an
-    un-cached plan twice (once to count, once to write).
+    un-cached plan twice (once to count, once to write).  ``partition_by`` lays
+    the table out in one folder per key, so later filters on that key read only
+    their folder.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    if not partition_by:
+        return df.sparkSession.read.parquet(path)
+    # The schema keeps partition columns' types (no inference from folder names).
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
