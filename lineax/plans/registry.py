@@ -342,14 +342,15 @@ def q_encode_residues(spark, d):
                     F.size(F.filter("input_ids", lambda x: x == 3)).alias("n_unk"))
 
 
-@register("mask_residues")
+@register("mask_residues", "SELECT CAST(sum(length(text)) AS BIGINT) AS n_eligible, true AS share_ok FROM documents")
 def q_mask_residues(spark, d):
     t = C.encode_residues(S.documents(spark, d).select("doc_id", "text"), VOCAB, "text", max_len=None)
     t = C.mask_residues(t, "doc_id", mask_id=32, vocab_size=33)
     chosen = F.size(F.filter("labels", lambda x: x != -100))
     eligible = F.size(F.filter("input_ids", lambda x: ~x.isin(0, 1, 2)))
-    return t.agg(F.sum(chosen).alias("n_chosen"), F.sum(eligible).alias("n_eligible")).select(
-        "n_chosen", "n_eligible", F.round(F.col("n_chosen") / F.col("n_eligible"), 2).alias("share"))
+    agg = t.agg(F.sum(chosen).cast("bigint").alias("n_chosen"), F.sum(eligible).cast("bigint").alias("n_eligible"))
+    share = F.col("n_chosen") / F.col("n_eligible")
+    return agg.select("n_eligible", ((share >= 0.13) & (share <= 0.17)).alias("share_ok"))
 
 
 # ------------------------------------------------------------ 2.3 filters
