@@ -39,11 +39,10 @@ def filter_groups_by_size(df: DataFrame, key: str, min_count: int, max_literal:
     they become a literal ``IN`` filter, so the wide rows are never shuffled;
     otherwise the rows are semi-joined with the key table.
     """
+    from lineax.operators.joins import keys_filter
+
     big = count_having(df.where(F.col(key).isNotNull()).select(key), key, min_count).select(key)
-    keys = big.limit(max_literal + 1).collect()
-    if len(keys) <= max_literal:
-        return df.where(F.col(key).isin([r[0] for r in keys]))
-    return df.join(big, key, "left_semi")
+    return keys_filter(df, big, key, max_literal=max_literal)
 
 
 # 47

@@ -79,3 +79,34 @@ def backbone_join(escape: DataFrame, refs: DataFrame, key: str = "target") -> Da
 def join_predictions(pred: DataFrame, rows: DataFrame, key: str = "row_id") -> DataFrame:
     """Predictions back onto their rows by a 64-bit id (exact at any size)."""
     return pred.join(rows, key, "inner")
+
+
+def keys_filter(df: DataFrame, keys: DataFrame, col: str, null_safe: bool = False,
+                max_literal: int = 10_000) -> DataFrame:
+    """Rows of ``df`` whose ``col`` is among ``keys`` (one column, distinct values).
+
+    The keys are fetched up to ``max_literal + 1``; when they fit they become a
+    literal ``IN`` filter (a hash-set lookup in every task, no shuffle of ``df``,
+    no skew from a hot key).  Otherwise ``df`` is semi-joined with the keys.
+    With ``null_safe`` a NULL key matches NULL values.
+    """
+    fetched = [r[0] for r in keys.limit(max_literal + 1).collect()]
+    if len(fetched) <= max_literal:
+        vals = [v for v in fetched if v is not None]
+        cond = F.col(col).isin(vals) if vals else F.lit(False)
+        if null_safe and len(vals) < len(fetched):
+            cond = cond | F.col(col).isNull()
+        return df.where(cond)
+    if null_safe:
+        k = keys.select(F.col(keys.columns[0]).alias("__k"))
+        return df.join(k, df[col].eqNullSafe(k["__k"]), "left_semi")
+    return df.join(keys.withColumnRenamed(keys.columns[0], col), col, "left_semi")
+
+
+def checked_broadcast(small: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """``small`` with a broadcast hint when it has at most ``max_rows`` rows (counted first), else as is.
+
+    Meant for tables already written once (the count reads file metadata and
+    the join reads the same files), e.g. id dictionaries.
+    """
+    return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small

@@ -33,14 +33,15 @@ def build_haplotypes(samples: DataFrame, muts: DataFrame, min_mut: int = 100, mi
     m = filters.keep_gene(muts, "mut", gene)
     m = joins.right_join_keep_unmatched(m, samples.select(name), name)
     frequent = aggs.count_having(m, "mut", min_mut, strict=True).select("mut")
-    m = joins.null_safe_join(m, frequent, ["mut"])
+    # frequent has one row per mutation, so the NULL-safe inner join is a NULL-safe filter.
+    m = joins.keys_filter(m, frequent, "mut", null_safe=True)
     m = m.distinct()
     # One row per sample; read twice (ids, join back), so cut its lineage once.
     hap = materialize(aggs.haplotype_string(m, name, "mut", "haplotype"), "haplotypes")
     hap = windows.dense_ids(hap, "haplotype", "hap_id", base=1, prefix="hap_")
     hap = joins.inner_join_keep_multiplicity(hap, samples.select(name, country), name)
     common = aggs.count_having(hap, ["hap_id", country], min_hap).select("hap_id").distinct()
-    return joins.semi_join(hap, common, "hap_id")
+    return joins.keys_filter(hap, common, "hap_id")
 
 
 # 91

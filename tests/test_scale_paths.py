@@ -47,3 +47,14 @@ def test_average_ranks_match_pandas(spark):
     pdf["y"] = ys
     sp = aggs.spearman(spark.createDataFrame([(float(x), float(y)) for x, y in zip(vals, ys)], "x double, y double"), "x", "y")
     assert abs(sp.first().spearman - pdf[["x", "y"]].corr(method="spearman").iloc[0, 1]) < 1e-12
+
+
+def test_keys_filter_literal_and_join_paths_agree(spark):
+    from lineax.operators.joins import keys_filter
+
+    df = spark.createDataFrame([("a", 1), (None, 2), ("b", 3), ("c", 4), (None, 5)], "m string, v int")
+    keys = spark.createDataFrame([("a",), (None,), ("c",)], "m string")
+    for null_safe, want in ((True, [1, 2, 4, 5]), (False, [1, 4])):
+        for limit in (10, 1):
+            got = sorted(r.v for r in keys_filter(df, keys, "m", null_safe=null_safe, max_literal=limit).collect())
+            assert got == want, (null_safe, limit, got)
