@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lineax.operators.joins import checked_broadcast, keys_filter
 from lineax.operators.ordinal import with_global_ordinal, with_running_total
 
 
@@ -39,8 +40,6 @@ def filter_groups_by_size(df: DataFrame, key: str, min_count: int, max_literal:
     they become a literal ``IN`` filter, so the wide rows are never shuffled;
     otherwise the rows are semi-joined with the key table.
     """
-    from lineax.operators.joins import keys_filter
-
     big = count_having(df.where(F.col(key).isNotNull()).select(key), key, min_count).select(key)
     return keys_filter(df, big, key, max_literal=max_literal)
 
@@ -120,7 +119,7 @@ def exact_quantile(df: DataFrame, col: str, p: float | Sequence[float], by: Sequ
     for i in range(len(ps)):
         wanted = wanted | (F.col("_g") == F.col(f"_lo{i}")) | (F.col("_g") == F.col(f"_hi{i}"))
     # Ungrouped: one target row, a proven bound, so it is broadcast.
-    picked = ranked.join(targets if grouped else F.broadcast(targets), by, "inner").where(wanted)
+    picked = ranked.join(checked_broadcast(targets) if grouped else F.broadcast(targets), by, "inner").where(wanted)
     vals = []
     for i in range(len(ps)):
         lo = F.max(F.when(F.col("_g") == F.col(f"_lo{i}"), F.col("_x")))
@@ -198,8 +197,8 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = (), out: str = "
     """
     by = list(by)
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b)
-    ra = average_ranks(both, a, by, "_ra")
-    rb = average_ranks(both, b, by, "_rb")
+    ra = checked_broadcast(average_ranks(both, a, by, "_ra"))
+    rb = checked_broadcast(average_ranks(both, b, by, "_rb"))
     j = both.join(ra, [*by, a], "inner").join(rb, [*by, b], "inner")
     return j.groupBy(*by).agg(F.corr("_ra", "_rb").alias(out))
 

@@ -107,7 +107,8 @@ def training_table(escape_tab: DataFrame, fitness_tab: DataFrame, cutoff: str, t
                         F.xxhash64("seq").alias("seq_h"), F.md5("seq").alias("seq_m"))
     narrow = windows.shuffle_and_number(
         narrow, ["group", "data_group", "outcome", "seq_h", "seq_m", "date_first", "clade", "country"], seed, "row_id")
-    narrow = narrow.join(seqs.select("seq_h", "seq_m", "seq_id", "count_x", "count_hyphen"), ["seq_h", "seq_m"], "inner")
+    lookup = joins.checked_broadcast(seqs.select("seq_h", "seq_m", "seq_id", "count_x", "count_hyphen"))
+    narrow = narrow.join(lookup, ["seq_h", "seq_m"], "inner")
     narrow = windows.dense_ids(narrow, "data_group", "task_id")
     # Weights (one scalar aggregation), the fold keys and the final join all read
     # these rows: write them once instead of recomputing the ids three times.
