@@ -1186,3 +1186,24 @@ def q_chunked_vectors(spark, d):
                       F.col("l_discount").alias("outcome"), F.col("l_tax").alias("weight"), "row_id")
     v = TR.chunked_task_vectors(cells, n=3, seed=13)
     return v.select("seq_id", "chunk", F.size("labels").alias("n_labels"))
+
+
+@register("growth_summary", S1 + hap_sql() + """,
+rows AS (SELECT DISTINCT s.seq_name, s.country, s.clade, h.hap_id FROM samples s
+  JOIN (SELECT DISTINCT seq_name, hap_id FROM hap) h ON s.seq_name = h.seq_name WHERE s.collection_date IS NOT NULL),
+per AS (SELECT country, hap_id, count(*) AS n FROM rows WHERE clade = '1-URGENT' GROUP BY country, hap_id),
+st AS (SELECT hap_id, min(n) AS count_min, count(*) AS nc FROM per GROUP BY hap_id),
+ref AS (SELECT hap_id FROM st WHERE nc = (SELECT count(DISTINCT country) FROM rows WHERE clade = '1-URGENT')
+  ORDER BY count_min DESC, hap_id LIMIT 1),
+tot AS (SELECT country, hap_id FROM rows GROUP BY country, hap_id HAVING count(*) >= 20),
+ok AS (SELECT country FROM tot WHERE hap_id IN (SELECT hap_id FROM ref))
+SELECT country, count(*) AS n_haplotypes, CAST(1 AS BIGINT) AS n_reference, true AS all_converged
+FROM tot WHERE country IN (SELECT country FROM ok) GROUP BY country""")
+def q_growth_summary(spark, d):
+    """Structure of the fitted table per country: fitted haplotypes, one reference, convergence."""
+    st = _stage(spark, d)
+    table, _, _ = H.growth_table(st, min_total=S.scaled(20, d))
+    return table.groupBy("country").agg(
+        F.count(F.lit(1)).alias("n_haplotypes"),
+        F.sum((F.col("relative_re") == 1.0).cast("long")).alias("n_reference"),
+        F.min("converged").alias("all_converged"))
