@@ -35,7 +35,8 @@ def build_haplotypes(samples: DataFrame, muts: DataFrame, min_mut: int = 100, mi
     frequent = aggs.count_having(m, "mut", min_mut, strict=True).select("mut")
     # frequent has one row per mutation, so the NULL-safe inner join is a NULL-safe filter.
     m = joins.keys_filter(m, frequent, "mut", null_safe=True)
-    m = m.distinct()
+    # collect_set de-duplicates, so no separate distinct() (and its shuffle) is needed; the
+    # per-sample aggregate reuses the join's partitioning on the sample name.
     # One row per sample; read twice (ids, join back), so cut its lineage once.
     hap = materialize(aggs.haplotype_string(m, name, "mut", "haplotype"), "haplotypes")
     hap = windows.dense_ids(hap, "haplotype", "hap_id", base=1, prefix="hap_")
@@ -49,7 +50,7 @@ def build_all_mutation_haplotypes(samples: DataFrame, muts: DataFrame, gene: str
                                   name: str = "seq_name") -> DataFrame:
     """(seq_name, haplotype_all, hap_all_id) without any frequency filter."""
     m = filters.keep_gene(muts, "mut", gene)
-    m = joins.right_join_keep_unmatched(m, samples.select(name).distinct(), name).distinct()
+    m = joins.right_join_keep_unmatched(m, samples.select(name).distinct(), name)
     hap = materialize(aggs.haplotype_string(m, name, "mut", "haplotype_all"), "haplotypes_all")
     return windows.dense_ids(hap, "haplotype_all", "hap_all_id", base=1, prefix="hap_all_")
 
