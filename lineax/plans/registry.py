@@ -15,7 +15,6 @@ import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lineax.functions import columns as C
 from lineax.operators import aggs, features, filters, joins, models, setops, windows

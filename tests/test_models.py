@@ -1,6 +1,5 @@
 import numpy as np
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import functions as F
 
 from lineax.operators import models
 

@@ -1,5 +1,4 @@
 import numpy as np
-from pyspark.sql import functions as F
 
 from lineax.operators import aggs
 from lineax.plans.training import sequence_dictionary
