@@ -24,11 +24,12 @@ def _records(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
     )
-    return raw.select(rec.alias("rec"), order.alias("_order")).where(F.length(F.trim("rec")) > 0)
+    return raw.select(rec.alias("rec"), order.alias("_order")).where(F.regexp_replace("rec", r"\s+", "") != "")
 
 
 def _parse(rec: Column, header: str) -> tuple[Column, Column]:
-    title = F.trim(F.regexp_extract(rec, r"^([^\n]*)", 1))
+    # Strip all surrounding whitespace (including the \r of CRLF files), not only spaces.
+    title = F.regexp_replace(F.regexp_extract(rec, r"^([^\n]*)", 1), r"^\s+|\s+$", "")
     name = title if header == "description" else F.regexp_extract(title, r"^(\S*)", 1)
     body = F.regexp_replace(rec, r"^[^\n]*", "")
     seq = F.regexp_replace(body, r"\s+", "")

@@ -62,3 +62,18 @@ def test_read_tsv_without_schema_snake_cases(spark, tmpdir_fresh):
     p = _write(tmpdir_fresh, "Virus.name\tdate.first\nhCoV-19/x\t2021-01-01\n", "m.tsv")
     df = read_tsv(spark, p)
     assert df.columns == ["virus_name", "date_first"]
+
+
+def test_fasta_crlf_and_first_wins_across_files(spark, tmpdir_fresh):
+    import os
+
+    os.makedirs(f"{tmpdir_fresh}/a")
+    os.makedirs(f"{tmpdir_fresh}/b")
+    _write(f"{tmpdir_fresh}/a", ">x one\r\nMK\r\nV*\r\n>y\r\nAA\r\n", "1.fa")
+    _write(f"{tmpdir_fresh}/b", ">x two\nZZ\n", "2.fa")
+    got = {r.name: r.seq for r in read_fasta(spark, [f"{tmpdir_fresh}/a", f"{tmpdir_fresh}/b"], "id", "first").collect()}
+    assert got == {"x": "MKV*", "y": "AA"}
+    last = {r.name: r.seq for r in read_fasta(spark, [f"{tmpdir_fresh}/a", f"{tmpdir_fresh}/b"], "id", "last").collect()}
+    assert last == {"x": "ZZ", "y": "AA"}
+    desc = {r.name for r in read_fasta(spark, f"{tmpdir_fresh}/a", "description", "all").collect()}
+    assert desc == {"x one", "y"}
