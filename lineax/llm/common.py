@@ -25,39 +25,26 @@ def unit_hash(*cols: Column | str, salt: str = "") -> Column:
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) of every node of ``edges`` (columns a, b: any orderable type); component: its smallest node.
 
-    Alternating large-star and small-star rounds: each round joins edges to
-    the smallest neighbour of their node (a partial aggregate), so a node with
-    very many neighbours is a join key that adaptive execution may split,
-    never a list.  Each round's edges are a written table; rounds end when
-    they no longer change, after about log(longest path) rounds.
+    Alternating large-star and small-star steps: each joins edges to the
+    smallest neighbour of their node (a partial aggregate), so a node with very
+    many neighbours is a join key that adaptive execution may split, never a
+    list.  A round's edges are written once; rounds end when every edge leads
+    from a component's smallest node, after about log(longest path) rounds.
     """
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), name)
-
-    def smallest(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m"))
-
-    while True:
+    while not _is_forest_of_stars(edges):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = smallest(both).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
         # large star: every larger neighbour of u goes to the smallest of u's neighbourhood
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-        large = materialize(large, name)
+        large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         # small star: smaller neighbours of u, and u, go to the smallest of them
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        least = smallest(down)
-        small = down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        after = materialize(small.where("a < b").distinct(), name)
-        if _same(edges, after):
-            break
-        edges = after
-    members = edges.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("node"), "component")
-    roots = edges.select(F.col("a").alias("node")).distinct().join(members.select("node"), "node", "left_anti")
-    return members.union(roots.select("node", F.col("node").alias("component")))
-
-
-def _same(x: DataFrame, y: DataFrame) -> bool:
-    """Whether two sets of edges are equal, by their counts and sums of two hashes."""
-    def seen(t: DataFrame):
-        return t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.sum(F.hash("b", "a").cast("long"))).first()
-
-    return tuple(seen(x)) == tuple(seen(y))
+        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b").union(least.select(F.col("m").alias("a"), "b"))
+        edges = materialize(small.distinct(), name)
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether each node is either a centre or has one edge to a centre."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("centre"), F.lit(0).alias("leaf")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.max("centre").alias("centre"), F.sum("leaf").alias("leaf")).where("leaf > 1 or (leaf = 1 and centre = 1)").isEmpty()

@@ -8,22 +8,26 @@ Signatures.  Sizes fall into bands [l, l * den / num], so linked sets lie in
 one band or in neighbouring ones; a set signs for its own band and the next.
 In a band whose largest size is r, linked sets differ in at most
 k = 2r (den - num) / (den + num) features.  The feature domain is hashed into
-n1 partitions of two parts each.  At least n1 - k // 2 partitions hold at most
-one differing feature, so one of their two parts is equal in both sets: the
-hash of a part's features (with band, partition and part) is a signature, and
-linked sets share at least n1 - k // 2 of them.
+n1 partitions of three parts each.  At least n1 - k // 2 partitions hold at
+most one differing feature, so two of their three parts are equal in both
+sets: the hash of two parts' features (with band, partition and the part left
+out) is a signature, three per partition, and linked sets share at least
+n1 - k // 2 of them.
 
 Empty parts say nothing.  n1 exceeds k // 2 + 1 by ``spare`` partitions, so a
-set with at most ``spare`` partitions that have an empty part still shares a
-signature of a non-empty part with every set linked to it: it signs non-empty
-parts only.  The few sets with more sign the empty ones too.  No pair is lost.
+set with at most ``spare`` partitions that have an empty signature still
+shares a signature of features with every set linked to it: it signs features
+only.  The few sets with more sign the empty ones too.  No pair is lost.
 
 Candidates.  Rows (signature, class) are sorted by signature; each shared
 signature's first class is its pivot.  A hot signature (many near copies)
-never emits its pairs: rounds pair each class with one pivot, verify, merge
-components, and drop signatures whose classes are all in one component.  What
-is left when a round links nothing new is paired in full, across components
-only.  Every candidate's Jaccard similarity is computed exactly on whole sets.
+never emits its pairs: first each class is paired with its commonest pivot, then,
+across the components so far, with its signatures' other pivots; signatures
+whose classes are all in one component drop out, and only what is left is
+paired in full, across components.  The join that does so drops pairs whose
+parity sketches differ in more bits than linked sets can have differing
+features (a differing feature flips one bit, so the sketches' distance never
+exceeds the sets').  Every remaining candidate's Jaccard similarity is computed exactly on whole sets.
 
 Defined results: null, empty or wordless texts have empty sets (n_shingles 0),
 link with nothing and are their own component; a text of fewer words than a
@@ -47,6 +51,9 @@ from lineax.llm.piece_model import spread
 from lineax.session import materialize
 
 U = np.uint64
+PARTS = 3
+#: Parity sketches: so many 64-bit words, one bit for each of the buckets that features are hashed into.
+SKETCH = [f"p{i}" for i in range(8)]
 
 
 @lru_cache(maxsize=None)
@@ -74,7 +81,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: np.ndarray, num: int, den: int
         band = np.where(n > 0, own + step, 0)
         n1 = np.array([b[1] for b in table])[band]
         spare = np.array([b[2] for b in table])[band]
-        parts = np.where(n > 0, 2 * n1, 0)
+        parts = np.where(n > 0, PARTS * n1, 0)
         first = np.cumsum(parts) - parts
         total = int(parts.sum())
         with np.errstate(over="ignore"):
@@ -84,12 +91,15 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: np.ndarray, num: int, den: int
         # sums of 64-bit values as two exact float sums of 32-bit halves
         lo = np.bincount(slot, weights=(value & U(0xFFFFFFFF)).astype(np.float64), minlength=total).astype(U)
         hi = np.bincount(slot, weights=(value >> U(32)).astype(np.float64), minlength=total).astype(U)
-        empty = np.bincount(slot, minlength=total) == 0
+        count = np.bincount(slot, minlength=total)
         part_doc = np.repeat(np.arange(len(n)), parts)
-        blank = np.bincount(part_doc[::2], weights=empty[::2] | empty[1::2], minlength=len(n)) if total else np.zeros(len(n))
         with np.errstate(over="ignore"):
+            # each part's place now stands for the others of its partition
+            lo, hi, count = (np.repeat(x.reshape(-1, PARTS).sum(axis=1), PARTS) - x for x in (lo, hi, count))
             where = (np.arange(total) - first[part_doc]).astype(U) + (band[part_doc].astype(U) << U(40))
             sig = K.mix(lo + K.mix(hi, 17) + K.mix(where, 19), 23)
+        empty = count == 0
+        blank = np.bincount(part_doc[::PARTS], weights=empty.reshape(-1, PARTS).any(axis=1), minlength=len(n))
         keep = ~empty | (blank > spare)[part_doc]
         out_d.append(part_doc[keep])
         out_s.append(sig[keep])
@@ -175,17 +185,45 @@ def shared_signatures(sigs: DataFrame) -> DataFrame:
     return sigs.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(run, "sig long, cls long")
 
 
+def parity_sketches(doc: np.ndarray, h: np.ndarray, docs: int) -> np.ndarray:
+    """For each set, whether each bucket has an odd number of its features, as 64-bit words."""
+    bits = 64 * len(SKETCH)
+    bucket = (K.mix(h, 67) & U(bits - 1)).astype(np.int64)
+    out = []
+    for lo in range(0, docs, 4096):
+        a, z = np.searchsorted(doc, [lo, lo + 4096])
+        n = min(4096, docs - lo)
+        odd = np.bincount((doc[a:z] - lo) * bits + bucket[a:z], minlength=n * bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64))
+    return np.concatenate(out) if out else np.zeros((0, len(SKETCH)), np.int64)
+
+
 def set_table(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, n: int) -> DataFrame:
-    """(cls, n, features) of the classes whose representative rows are in ``wanted``."""
+    """(cls, n, features, parity sketch) of the classes whose representative rows are in ``wanted``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in K.chunks(batches, "text"):
             doc, h = K.shingle_sets(texts, n)
             size = np.bincount(doc, minlength=texts.n)
             off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([K.to_long(_class_ids(doc, h, size)), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(off), K.to_long(h))], ["cls", "n", "features"])
+            with np.errstate(over="ignore"):
+                sketch = parity_sketches(doc, h, texts.n)
+            words = [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH))]
+            yield pa.RecordBatch.from_arrays([K.to_long(_class_ids(doc, h, size)), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(off), K.to_long(h)), *words], ["cls", "n", "features", *SKETCH])
 
     rows = docs.select(row_hash(id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(wanted.select("row"), "row", "left_semi")
-    return rows.mapInArrow(run, "cls long, n long, features array<long>").dropDuplicates(["cls"])
+    return rows.mapInArrow(run, "cls long, n long, features array<long>, " + ", ".join(f"{p} long" for p in SKETCH)).dropDuplicates(["cls"])
+
+
+def may_link(x: str, y: str, num: int, den: int) -> Column:
+    """Whether the sketches of sides ``x`` and ``y`` (column prefixes) allow a link."""
+    distance = sum((F.bit_count(F.col(f"{x}_{p}").bitwiseXOR(F.col(f"{y}_{p}"))) for p in SKETCH), F.lit(0))
+    return F.lit(den + num) * distance <= F.lit(den - num) * (F.col(f"{x}_n") + F.col(f"{y}_n"))
+
+
+def _side(rows: DataFrame, sets: DataFrame, x: str) -> DataFrame:
+    """``rows`` (sig, cls, comp) with sizes and sketches, all but sig prefixed with ``x``."""
+    known = sets.select(F.col("cls").alias("_c"), F.col("n").alias(f"{x}_n"), *[F.col(p).alias(f"{x}_{p}") for p in SKETCH])
+    return rows.select("sig", F.col("cls").alias(f"{x}_cls"), F.col("comp").alias(f"{x}_comp")).join(known, F.col(f"{x}_cls") == F.col("_c")).drop("_c")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -193,11 +231,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     def side(c: str) -> DataFrame:
         return sets.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("features").alias(f"f_{c}"))
 
-    # sizes decide most wrong pairs before any features move
-    sizes = sets.select("cls", "n")
-    near = (pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("n_b")), "b")
-            .where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")).select("a", "b"))
-    both = near.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,27 +267,30 @@ def links(shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame |
         n = good.count()
         if n:
             found = good if found is None else found.union(good)
-            labels = materialize(connected_components(found), "labels")
+            labels = materialize(connected_components(found), "labels")  # few rounds: its links are mostly stars
         return n
 
     def ordered(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    rounds = 0
-    while True:
-        rows = materialize(_labelled(shared, labels), "open")
-        if rows.isEmpty():
-            return labels
-        # each signature's pivot: its first class under an order that differs by round
-        order = F.xxhash64("cls", F.lit(rounds))
-        pivots = rows.groupBy("sig").agg(F.min_by(F.struct("cls", "comp"), order).alias("p")).select("sig", F.col("p.cls").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
-        star = rows.join(pivots, "sig").where("comp <> pivot_comp").groupBy("cls", "pivot").count()
-        best = star.groupBy("cls").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot")).select(*ordered("cls", "pivot")).distinct()
-        rounds += 1
-        if not add(best):
-            break
-    rows = materialize(_labelled(shared, labels), "open")
-    left = rows.select("sig", F.col("cls").alias("x"), F.col("comp").alias("cx")).join(rows.select("sig", F.col("cls").alias("y"), F.col("comp").alias("cy")), "sig").where("x < y and cx <> cy")
+    def opened() -> DataFrame:
+        return materialize(_labelled(shared, labels), "open")
+
+    # one pivot for each class: of its signatures' first classes, the one with most of them
+    pivots = shared.groupBy("sig").agg(F.min("cls").alias("pivot"))
+    votes = shared.join(pivots, "sig").where("cls <> pivot").groupBy("cls", "pivot").count()
+    add(votes.groupBy("cls").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot")).select(*ordered("cls", "pivot")).distinct())
+    # all pivots across components
+    rows = opened()
+    pivots = rows.groupBy("sig").agg(F.max(F.struct("cls", "comp")).alias("p")).select("sig", "p.cls", "p.comp")
+    star = _side(rows, sets, "x").join(_side(pivots, sets, "y"), "sig").where((F.col("x_comp") != F.col("y_comp")) & may_link("x", "y", num, den))
+    if add(star.select(*ordered("x_cls", "y_cls")).distinct()):
+        rows = opened()
+    # every pair left that its sketches don't rule out
+    wide = materialize(_side(rows, sets, "x"), "wide")
+    again = wide.withColumnsRenamed({c: f"y{c[1:]}" for c in wide.columns if c != "sig"})
+    left = wide.join(again, (wide.sig == again.sig) & (F.col("x_cls") < F.col("y_cls")) & (F.col("x_comp") != F.col("y_comp")) & may_link("x", "y", num, den))
+    left = left.select(F.col("x_cls").alias("x"), F.col("y_cls").alias("y"))
     add(left.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     return labels
 
