@@ -13,7 +13,7 @@ under an attempt's own name and moved to its final name when whole, so a lost
 executor's work is done again without trace, and a rerun over the same token
 table skips shards that are there in full size.
 
-The token table is written once (packed ids, byte planes compressed), which
+The token table is written once (each sequence compressed), which
 freezes the numbering i = rows of earlier partitions + position, whatever is
 recomputed later.
 
@@ -74,22 +74,13 @@ def permute(i: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarra
     return out.astype(np.int64)
 
 
-def _pack(row: np.ndarray, packer) -> bytes:
-    return packer.compress(np.ascontiguousarray(row.view(np.uint8).reshape(len(row), -1).T).tobytes())
-
-
-def _unpack(blob: bytes, dtype: np.dtype, unpacker) -> bytes:
-    planes = np.frombuffer(unpacker.decompress(blob), dtype=np.uint8).reshape(dtype.itemsize, -1)
-    return np.ascontiguousarray(planes.T).tobytes()
-
-
 def token_table(docs: DataFrame, id_col: str, text_col: str, model_path: str, seq_len: int, end_id: int, pad_id: int, dtype: str) -> DataFrame:
     """(doc_ids, n_tokens, blob, at) of every sequence; ``at``: partition and position. Written once."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path, backend="sentencepiece", verify=False)
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=3, write_checksum=False)
         for batch, texts in K.chunks(batches, text_col):
             ids, off, _ = c.encode(texts)
             ends = off[1:] + np.arange(1, texts.n + 1)  # with the end ids
@@ -104,7 +95,7 @@ def token_table(docs: DataFrame, id_col: str, text_col: str, model_path: str, se
             first, last = np.searchsorted(ends, lo, side="right"), np.searchsorted(ends, hi - 1, side="right")
             of = batch.column(id_col).take(pa.array(spread(first, last - first + 1)))
             held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(last - first + 1)]), pa.int32()), of)
-            yield pa.RecordBatch.from_arrays([held, pa.array(hi - lo, pa.int32()), pa.array([_pack(r, packer) for r in flat], pa.binary())], names=["doc_ids", "n_tokens", "blob"])
+            yield pa.RecordBatch.from_arrays([held, pa.array(hi - lo, pa.int32()), pa.array([packer.compress(r.tobytes()) for r in flat], pa.binary())], names=["doc_ids", "n_tokens", "blob"])
 
     rows = docs.select(id_col, text_col).mapInArrow(run, f"doc_ids array<{id_type}>, n_tokens int, blob binary")
     return materialize(rows.withColumn("at", F.monotonically_increasing_id()), "tokens")
@@ -161,7 +152,7 @@ def write_shards(rows: DataFrame, n: int, out_dir: str, seq_len: int, stride: in
                         temp = f"{base}/.{shard_name(open_shard)}-{uuid.uuid4().hex}"
                         sink = store.open_output_stream(temp)
                 if sink is not None:
-                    sink.write(_unpack(blob.as_buffer(), np.dtype(dtype), unpacker))
+                    sink.write(unpacker.decompress(blob.as_buffer()))
             yield pa.RecordBatch.from_arrays([b.column(3), pa.array(slots // stride), pa.array(slots % stride * width), b.column(1), b.column(0)], names=["slot", "shard", "byte_offset", "n_tokens", "doc_ids"])
         close()
 
@@ -171,7 +162,7 @@ def write_shards(rows: DataFrame, n: int, out_dir: str, seq_len: int, stride: in
 
 
 def materialise_training_order(docs: DataFrame, out_dir: str, key: int, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT_MODEL,
-                               seq_len: int = 512, stride: int = 8192, end_id: int = 2, pad_id: int = 0, dtype: str = "uint16") -> DataFrame:
+                               seq_len: int = 4096, stride: int = 1024, end_id: int = 2, pad_id: int = 0, dtype: str = "uint16") -> DataFrame:
     """Tokenise, number, permute and write; returns the index of sequences (written once beside the shards)."""
     from pyarrow import fs
 
@@ -183,7 +174,7 @@ def materialise_training_order(docs: DataFrame, out_dir: str, key: int, id_col:
     return materialize(write_shards(rows, n, out_dir, seq_len, stride, dtype), "index")
 
 
-def read_sequences(out_dir: str, first_slot: int, count: int, seq_len: int = 512, stride: int = 8192, dtype: str = "uint16") -> Iterator[np.ndarray]:
+def read_sequences(out_dir: str, first_slot: int, count: int, seq_len: int = 4096, stride: int = 1024, dtype: str = "uint16") -> Iterator[np.ndarray]:
     """Sequences of consecutive slots from any slot on: one open file and one sequence in memory."""
     from pyarrow import fs
 
