@@ -68,7 +68,7 @@ def removals(docs: DataFrame, id_col: str, site_col: str, text_col: str, min_sit
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = 5, most_removed: float = 0.5, report: bool = False) -> DataFrame:
     """``docs`` with cross-site lines taken out of the text; ``report`` adds n_lines_removed (a column of that name is replaced)."""
-    found = materialize(removals(docs, id_col, site_col, text_col, min_sites, most_removed), "removals").select(F.col("row").alias("_r"), F.col("gone").alias("_gone"))
+    found = materialize(removals(docs, id_col, site_col, text_col, min_sites, most_removed), "removals").select(F.col("row").alias("_r"), F.col("gone").alias("_gone")).hint("merge")  # the same plan at every size
     rows = docs.withColumn("_row", _row(id_col, text_col)).join(found, F.col("_row") == F.col("_r"), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.get("_gone", i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
