@@ -323,6 +323,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     marked = jaccard_components(docs, id_col, text_col, n, num, den)
     best = marked.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "row")).alias("m")).select(F.col("m.row").alias("_row"))
     empty = marked.where("component is null").select(F.col("row").alias("_row")).distinct()
-    keep = materialize(best.union(empty), "keep")
+    keep = materialize(best.union(empty), "keep").hint("merge")  # the same plan at every size
     rows = docs.withColumn("_row", row_hash(id_col, text_col)).join(keep, "_row", "left_semi")
     return rows.dropDuplicates(["_row"]).select(*docs.columns)
