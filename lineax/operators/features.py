@@ -43,10 +43,10 @@ def multi_hot(df: DataFrame, tokens: str = "tokens", out: str = "mut_vec", min_d
 
 # 80
 def one_hot_country(df: DataFrame, col: str = "country", out: str = "country_vec"):
-    """Full dummy coding (no level dropped), levels in alphabetical order."""
+    """Full dummy coding (no level dropped), levels in alphabetical order; a missing value has all zeros."""
     idx = StringIndexer(inputCol=col, outputCol=f"{col}_idx", stringOrderType="alphabetAsc", handleInvalid="keep")
     im = idx.fit(df)
-    enc = OneHotEncoder(inputCol=f"{col}_idx", outputCol=out, dropLast=False)
+    enc = OneHotEncoder(inputCol=f"{col}_idx", outputCol=out, dropLast=True)  # the last level is the one for missing values
     indexed = im.transform(df)
     em = enc.fit(indexed)
     return em.transform(indexed), (im, em)

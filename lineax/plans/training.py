@@ -93,8 +93,8 @@ def training_table(escape_tab: DataFrame, fitness_tab: DataFrame, cutoff: str, t
                    k: int = 5, fold_id: int = 0, seed: int = 13, max_x: int = 5, max_gap: int = 30) -> DataFrame:
     """Combined task rows with row_id, task_id, seq_id, weight, split_class and split.
 
-    Order of steps as upstream: union → seeded numbering → gap filter → ids →
-    weights → split class → clade exclusion → cutoff split → stratified folds
+    Order of steps: union → seeded numbering → gap filter → ids → weights →
+    split class → cutoff split → clade exclusion (past rows only) → stratified folds
     (test = fold ``fold_id`` of ``k``; the rest re-split in 4, first = val).
     Rows on/after the cutoff are labelled ``future``.
 
@@ -117,9 +117,9 @@ def training_table(escape_tab: DataFrame, fitness_tab: DataFrame, cutoff: str, t
     cls = F.when(F.col("major_group") == "fitness", F.concat(F.col("data_group"), F.lit("_"), F.col("clade"))) \
         .otherwise(F.col("data_group"))
     narrow = narrow.withColumn("split_class", cls)
-    if exclude_clades:
-        narrow = filters.exclude_members(narrow, "clade", exclude_clades)
     past, future = filters.split_by_cutoff(narrow, "date_first", cutoff)
+    if exclude_clades:
+        past = filters.exclude_members(past, "clade", exclude_clades)
     past = windows.fold_split(past, fold_id, "split_class", ["row_id"], k, 4, seed, "split")
     rows = past.unionByName(future.withColumn("split", F.lit("future")))
     return rows.join(seqs.select("seq_id", "seq"), "seq_id", "inner")

@@ -8,6 +8,7 @@ stand-in queries on one machine.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -48,7 +49,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not re.match(r"local(\[|$)", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running lineax jobs")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="lineax-ckpt-", dir="/tmp"))
     return sc.getCheckpointDir()
