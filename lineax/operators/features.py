@@ -34,9 +34,16 @@ def haplotype_tokens(df: DataFrame, hap: str = "haplotype", out: str = "tokens",
 
 
 # 79
-def multi_hot(df: DataFrame, tokens: str = "tokens", out: str = "mut_vec", min_df: float = 1.0):
-    """0/1 sparse vector over the token vocabulary of ``df`` (fit on every row given)."""
-    cv = CountVectorizer(inputCol=tokens, outputCol=out, binary=True, minDF=min_df, vocabSize=1 << 22)
+def multi_hot(df: DataFrame, tokens: str = "tokens", out: str = "mut_vec", min_df: float = 1.0, max_vocab: int = 1 << 22):
+    """0/1 sparse vector over the token vocabulary of ``df`` (fit on every row given).
+
+    The vocabulary is held by the driver: more than ``max_vocab`` distinct
+    tokens are an error, none is ever left out.
+    """
+    n = df.select(F.explode(tokens).alias("_t")).distinct().count()
+    if n > max_vocab:
+        raise ValueError(f"{n} distinct tokens, more than max_vocab = {max_vocab}")
+    cv = CountVectorizer(inputCol=tokens, outputCol=out, binary=True, minDF=min_df, vocabSize=max(n, 1))
     model = cv.fit(df)
     return model.transform(df), model
 
