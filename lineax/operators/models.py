@@ -139,11 +139,13 @@ def score_batch(df: DataFrame, make_scorer: Callable[[], Callable[[np.ndarray],
 
     ``make_scorer`` is called once per Python worker and returns ``f(batch) ->
     (len(batch), n_tasks)`` predictions for a ``(len(batch), width)`` input; the
-    result is one array of ``n_tasks`` values per row.
+    result is one array of ``n_tasks`` values per row.  The model counts as
+    non-deterministic, so the optimiser never copies its call into a filter or
+    a second projection: each row is scored once per use of the result.
     """
     udf = predict_batch_udf(make_scorer, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
                             input_tensor_shapes=[[width]])
-    return df.withColumn(out, udf(F.col(input_col)))
+    return df.withColumn(out, udf.asNondeterministic()(F.col(input_col)))
 
 
 def long_predictions(df: DataFrame, pred: str, keys: Sequence[str], task: str = "task_id",

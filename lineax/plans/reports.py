@@ -63,17 +63,19 @@ def drop_before_cutoff(table: DataFrame, cutoffs: DataFrame, patterns: Sequence[
 
 
 # 100
-def prediction_report(preds: DataFrame, tasks: Sequence[str], country_tasks: Sequence[str],
-                      name: str = "name", task: str = "task", value: str = "predicted_outcome") -> DataFrame:
-    """Wide report: name, mean_fitness (mean over the country tasks), one column per task.
-
-    ``tasks`` (the task dictionary) fixes the pivot columns, so no extra job
-    discovers them.
+def prediction_report(scored: DataFrame, tasks: Sequence[str], country_tasks: Sequence[str],
+                      name: str = "name", pred: str = "predicted") -> DataFrame:
+    """Wide report, one row per scored row: name, mean_fitness (mean over the country tasks), one
+    column per task.
+
+    ``pred`` is the array of one value per task in the order of ``tasks``, so the
+    report is a projection without a shuffle; rows of one name stay apart.
+    NULL values don't count in the mean.
     """
-    is_country = F.col(task).isin(list(country_tasks))
-    mean = preds.groupBy(name).agg(F.avg(F.when(is_country, F.col(value))).alias("mean_fitness"))
-    wide = preds.groupBy(name).pivot(task, list(tasks)).agg(F.first(value))
-    return mean.join(wide, name, "inner").select(name, "mean_fitness", *tasks)
+    value = {t: F.get(pred, i) for i, t in enumerate(tasks)}
+    known = F.filter(F.array(*[value[t].cast("double") for t in country_tasks]), lambda v: v.isNotNull())
+    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda total, v: total + v), F.size(known))
+    return scored.select(name, mean.alias("mean_fitness"), *[value[t].alias(t) for t in tasks])
 
 
 # 101
