@@ -30,7 +30,6 @@ COEF_SCHEMA = T.StructType([
     T.StructField("intercept", T.DoubleType()),
     T.StructField("slope", T.DoubleType()),
     T.StructField("iterations", T.IntegerType()),
-    T.StructField("converged", T.BooleanType()),
 ])
 
 
@@ -43,12 +42,16 @@ def daily_counts(df: DataFrame, country: str = "country", day: str = "day_bin",
 def growth_design(counts: DataFrame, ref_hap: str, min_total: int = 20) -> DataFrame:
     """Per-country classes: haplotypes with >= ``min_total`` rows, reference first (index 0).
 
-    Countries where the reference haplotype misses the threshold are dropped
-    (the fit has no baseline there).
+    A country with such haplotypes but without the reference among them has no
+    baseline to fit against, which is an error.
     """
+    if ref_hap is None:
+        raise ValueError("no reference haplotype: none of the reference clade is present in every country")
     totals = counts.groupBy("country", "hap_id").agg(F.sum("n").alias("total")).where(F.col("total") >= min_total)
-    with_ref = totals.where(F.col("hap_id") == ref_hap).select("country")
-    totals = totals.join(with_ref, "country", "left_semi")
+    has_ref = totals.groupBy("country").agg(F.bool_or(F.col("hap_id") == ref_hap).alias("has"))
+    missing = [r.country for r in has_ref.where(~F.col("has")).orderBy("country").limit(20).collect()]
+    if missing:
+        raise ValueError(f"the reference haplotype {ref_hap} has fewer than {min_total} rows in {missing}")
     # One row per kept (country, haplotype): bounded by the number of haplotypes per country.
     w = Window.partitionBy("country").orderBy((F.col("hap_id") != ref_hap).cast("int"), F.col("hap_id"))
     classes = totals.select("country", "hap_id", (F.row_number().over(w) - 1).alias("class_idx"))
@@ -62,18 +65,18 @@ def _fit_one(part: DataFrame, country: str, max_iter: int, tol: float):
     slopes = model.coefficientMatrix.toArray()[:, 0]
     inter = model.interceptVector.toArray()
     iters = int(model.summary.totalIterations)
-    conv = iters < max_iter
-    return [(country, k, float(inter[k] - inter[0]), float(slopes[k] - slopes[0]), iters, conv)
-            for k in range(len(slopes))]
+    return [(country, k, float(inter[k] - inter[0]), float(slopes[k] - slopes[0]), iters) for k in range(len(slopes))]
 
 
-def fit_growth(design: DataFrame, max_bin: int, max_iter: int = 200, tol: float = 1e-10,
-               parallelism: int = 8, cells_per_partition: int = 200_000) -> DataFrame:
+def fit_growth(design: DataFrame, max_bin: int, max_iter: int = 10_000, tol: float = 1e-10,
+               parallelism: int = 8, cells_per_partition: int = 200_000, max_score: float = 1e-7) -> DataFrame:
     """Coefficients relative to class 0 per country: (country, class_idx, intercept, slope, ...).
 
     Each country's cells are re-partitioned to ``ceil(cells / cells_per_partition)``
     partitions, so a small country is one task per iteration and a large one
-    is spread over many.
+    is spread over many.  ``converged`` says that the likelihood's score at the
+    fit is at most ``max_score`` per row (see ``growth_certificate``), whatever
+    made the optimiser stop.
     """
     train = design.select(
         "country",
@@ -88,7 +91,25 @@ def fit_growth(design: DataFrame, max_bin: int, max_iter: int = 200, tol: float
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(parts) or 1))) as pool:
         fitted = list(pool.map(lambda c: _fit_one(parts[c], c, max_iter, tol), sorted(parts)))
     rows = [r for p in fitted for r in p]
-    return design.sparkSession.createDataFrame(rows, COEF_SCHEMA)
+    coefs = design.sparkSession.createDataFrame(rows, COEF_SCHEMA)
+    cert = growth_certificate(design, coefs, max_bin)
+    converged = cert.select("country", (F.col("max_score_per_n") <= max_score).alias("converged"))
+    return materialize(coefs.join(converged, "country"), "growth_coefficients")
+
+
+def growth_fit(counts: DataFrame, ref_hap: str, max_bin: int, min_total: int = 20, bin_size: int = 1,
+               gen_time: float = 2.1, max_iter: int = 10_000, tol: float = 1e-10, parallelism: int = 8):
+    """(relative_re per country and haplotype, design, coefficients) from daily counts."""
+    # Read by every per-country fit and by the certificate: written once, one folder per
+    # country so each fit reads only its own cells.
+    design = materialize(growth_design(counts, ref_hap, min_total), "growth_design", ["country"])
+    coefs = fit_growth(design, max_bin, max_iter, tol, parallelism)
+    classes = design.select("country", "hap_id", "class_idx").distinct()
+    re = F.when(F.col("class_idx") == 0, F.lit(1.0)).otherwise(
+        F.exp(F.col("slope") / F.lit(float(max_bin)) / F.lit(float(bin_size)) * F.lit(gen_time)))
+    table = coefs.join(classes, ["country", "class_idx"]).select(
+        "country", "hap_id", re.alias("relative_re"), "slope", "intercept", "converged")
+    return table, design, coefs
 
 
 def lineage_growth(
@@ -100,32 +121,24 @@ def lineage_growth(
     min_total: int = 20,
     bin_size: int = 1,
     gen_time: float = 2.1,
-    max_iter: int = 200,
+    max_iter: int = 10_000,
     tol: float = 1e-10,
     parallelism: int = 8,
 ) -> DataFrame:
-    """(country, hap_id, relative_re, slope, converged) for every fitted haplotype.
+    """(country, hap_id, relative_re, slope, intercept, converged) for every fitted haplotype.
 
     ``df`` holds one row per sequence with its country, day bin and haplotype.
     """
     counts = materialize(daily_counts(df, country, day, hap), "daily_counts")
     max_bin = int(counts.agg(F.max("day_bin")).first()[0])
-    design = materialize(growth_design(counts, ref_hap, min_total), "growth_design", ["country"])
-    coefs = fit_growth(design, max_bin, max_iter, tol, parallelism)
-    classes = design.select("country", "hap_id", "class_idx").distinct()
-    re = F.when(F.col("class_idx") == 0, F.lit(1.0)).otherwise(
-        F.exp(F.col("slope") / F.lit(float(max_bin)) / F.lit(float(bin_size)) * F.lit(gen_time)))
-    out = coefs.join(classes, ["country", "class_idx"]).select(
-        "country", "hap_id", re.alias("relative_re"), "slope", "intercept", "converged")
-    return out
+    return growth_fit(counts, ref_hap, max_bin, min_total, bin_size, gen_time, max_iter, tol, parallelism)[0]
 
 
-def growth_certificate(design: DataFrame, coefs: DataFrame, max_bin: int) -> DataFrame:
-    """Per country the largest |score| / n of the multinomial likelihood at the fitted coefficients.
+def expected_moments(design: DataFrame, coefs: DataFrame, max_bin: int) -> DataFrame:
+    """(country, class_idx, n, nx): each class's expected rows and expected sum of x = day_bin / max_bin at the fit.
 
-    At the optimum every score component is 0.  Expected counts need every
-    class at every day of a country: the design itself, emitted once with a
-    generator over the per-country coefficient array.
+    Expected counts need every class at every day of a country: emitted once
+    with a generator over the per-country coefficient array and summed map-side.
     """
     x = (F.col("day_bin") / F.lit(float(max_bin))).cast("double")
     days = design.groupBy("country", "day_bin").agg(F.sum("n").alias("nt")).withColumn("x", x)
@@ -136,10 +149,19 @@ def growth_certificate(design: DataFrame, coefs: DataFrame, max_bin: int) -> Dat
     j = j.withColumn("cells", cells).withColumn("m", F.array_max(F.transform("cells", lambda c: c["e"])))
     j = j.withColumn("z", F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + F.exp(c["e"] - F.col("m"))))
     expected = j.select("country", "x", "nt", "m", "z", F.inline("cells")).select(
-        "country", "class_idx", "x", (-F.col("nt") * F.exp(F.col("e") - F.col("m")) / F.col("z")).alias("r"))
-    observed = design.select("country", "class_idx", x.alias("x"), F.col("n").cast("double").alias("r"))
-    resid = observed.unionByName(expected)
-    score = resid.groupBy("country", "class_idx").agg(F.sum("r").alias("ga"), F.sum(F.col("r") * F.col("x")).alias("gb"))
+        "country", "class_idx", "x", (F.col("nt") * F.exp(F.col("e") - F.col("m")) / F.col("z")).alias("r"))
+    return expected.groupBy("country", "class_idx").agg(F.sum("r").alias("n"), F.sum(F.col("r") * F.col("x")).alias("nx"))
+
+
+def growth_certificate(design: DataFrame, coefs: DataFrame, max_bin: int) -> DataFrame:
+    """Per country the largest |score| / n of the multinomial likelihood at the fitted coefficients.
+
+    At the optimum every class's observed and expected moments are equal.
+    """
+    x = (F.col("day_bin") / F.lit(float(max_bin))).cast("double")
+    observed = design.groupBy("country", "class_idx").agg(F.sum("n").alias("on"), F.sum(F.col("n") * x).alias("onx"))
+    score = expected_moments(design, coefs, max_bin).join(observed, ["country", "class_idx"]).select(
+        "country", (F.col("on") - F.col("n")).alias("ga"), (F.col("onx") - F.col("nx")).alias("gb"))
     total = design.groupBy("country").agg(F.sum("n").alias("n_total"))
     worst = score.groupBy("country").agg(F.max(F.greatest(F.abs("ga"), F.abs("gb"))).alias("max_score"))
     return worst.join(total, "country").select("country", (F.col("max_score") / F.col("n_total")).alias("max_score_per_n"))

@@ -48,7 +48,10 @@ def build_haplotypes(samples: DataFrame, muts: DataFrame, min_mut: int = 100, mi
 # 91
 def build_all_mutation_haplotypes(samples: DataFrame, muts: DataFrame, gene: str = "S:",
                                   name: str = "seq_name") -> DataFrame:
-    """(seq_name, haplotype_all, hap_all_id) without any frequency filter."""
+    """(seq_name, haplotype_all, hap_all_id) without any frequency filter.
+
+    ``samples`` are usually those that kept a haplotype: ids number their strings only.
+    """
     m = filters.keep_gene(muts, "mut", gene)
     m = joins.right_join_keep_unmatched(m, samples.select(name).distinct(), name)
     hap = materialize(aggs.haplotype_string(m, name, "mut", "haplotype_all"), "haplotypes_all")
@@ -79,19 +82,10 @@ def prepare(samples: DataFrame, muts: DataFrame, ref_clade: str, min_mut: int =
 
 
 def growth_table(stage: Stage, min_total: int = 20, bin_size: int = 1, gen_time: float = 2.1,
-                 max_iter: int = 200, tol: float = 1e-10):
+                 max_iter: int = 10_000, tol: float = 1e-10):
     """(relative_re per country and haplotype, design, coefficients)."""
-    counts = growth.daily_counts(stage.rows)
-    # Read by every per-country fit and by the certificate: written once, one folder per
-    # country so each fit reads only its own cells.
-    design = materialize(growth.growth_design(counts, stage.ref_hap, min_total), "growth_design", ["country"])
-    coefs = growth.fit_growth(design, stage.max_bin, max_iter, tol)
-    classes = design.select("country", "hap_id", "class_idx").distinct()
-    re = F.when(F.col("class_idx") == 0, F.lit(1.0)).otherwise(
-        F.exp(F.col("slope") / F.lit(float(stage.max_bin)) / F.lit(float(bin_size)) * F.lit(gen_time)))
-    table = coefs.join(classes, ["country", "class_idx"]).select(
-        "hap_id", re.alias("relative_re"), "country", "converged")
-    return table, design, coefs
+    counts = materialize(growth.daily_counts(stage.rows), "daily_counts")
+    return growth.growth_fit(counts, stage.ref_hap, stage.max_bin, min_total, bin_size, gen_time, max_iter, tol)
 
 
 # 92
@@ -107,7 +101,7 @@ def representative_table(stage: Stage, all_haps: DataFrame, coef_table: DataFram
     rep = windows.sample_one_per_group(cand.select("hap_id", "seq_name", "clade", "pango"), "hap_id", "seq_name", seed)
     info = stage.haplotypes.select("hap_id", "haplotype").distinct()
     rep = rep.join(info, "hap_id", "inner")
-    merged = coef_table.select("hap_id", "relative_re", "country").join(rep, "hap_id", "inner")
+    merged = coef_table.select("hap_id", "relative_re", "country", "converged").join(rep, "hap_id", "inner")
     merged = merged.join(first, "hap_id", "left")
     return merged.select("hap_id", "relative_re", "country", "seq_name", "clade", "pango", "haplotype",
-                         "date_first").orderBy(F.desc("relative_re"), "country", "hap_id")
+                         "date_first", "converged").orderBy(F.desc("relative_re"), "country", "hap_id")
