@@ -57,8 +57,9 @@ SAMPLES = CR + """,
 samples AS (SELECT CAST(o.o_orderkey AS VARCHAR) AS seq_name, o.o_orderkey AS sample_id, cr.r_name AS country,
   CAST(o.o_orderdate AS DATE) AS collection_date, o.o_orderpriority AS clade, o.o_orderstatus AS pango
   FROM orders o JOIN cr ON o.o_custkey = cr.c_custkey)"""
-MUTS = """muts AS (SELECT CAST(l_orderkey AS VARCHAR) AS seq_name,
-  'S:' || l_returnflag || CAST(ascii(l_linestatus) AS VARCHAR) || l_linestatus AS mut FROM lineitem)"""
+MUT = """CASE WHEN l_partkey % 10 = 0 THEN 'S:K' || CAST(l_partkey AS VARCHAR) || 'N'
+  WHEN l_quantity <= 2 THEN 'S:L' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || 'P' ELSE 'S:' || l_returnflag || '79O' END"""
+MUTS = f"muts AS (SELECT CAST(l_orderkey AS VARCHAR) AS seq_name, {MUT} AS mut FROM lineitem)"
 S1 = "WITH " + SAMPLES + ",\n" + MUTS
 S4 = "WITH s4 AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
 ESC = """esc AS (SELECT l.l_returnflag AS source, l.l_quantity / 5.0 AS ic50, CAST(l.l_suppkey AS VARCHAR) AS target_virus,
@@ -76,7 +77,7 @@ fit AS (SELECT l.l_extendedprice / 10000.0 AS relative_re, cr.r_name AS country,
 
 
 def hap_sql(min_mut: int = 100, min_hap: int = 20) -> str:
-    """CTEs ``hap`` (seq_name, haplotype, hap_id, country) of build_haplotypes at sf0.01 thresholds."""
+    """CTEs ``hap`` (seq_name, haplotype, hap_id, country) of build_haplotypes."""
     return f""",
 m1 AS (SELECT s.seq_name, m.mut FROM samples s LEFT JOIN (SELECT * FROM muts WHERE contains(mut, 'S:')) m
   ON m.seq_name = s.seq_name),
@@ -502,13 +503,13 @@ def q_join_pred(spark, d):
 def q_count_having(spark, d):
     s, m = _s1(spark, d)
     j = joins.right_join_keep_unmatched(m, s.select("seq_name"), "seq_name")
-    return aggs.count_having(j, "mut", S.scaled(100, d), strict=True)
+    return aggs.count_having(j, "mut", 100, strict=True)
 
 
 @register("filter_groups_by_size", """SELECT doc_id FROM documents WHERE lang IN
   (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= 120)""")
 def q_filter_groups(spark, d):
-    return aggs.filter_groups_by_size(S.documents(spark, d), "lang", S.scaled(120, d)).select("doc_id")
+    return aggs.filter_groups_by_size(S.documents(spark, d), "lang", 120).select("doc_id")
 
 
 @register("value_counts", S4 + " SELECT quality, count(*) AS n FROM s4 WHERE quality IS NOT NULL GROUP BY quality")
@@ -564,7 +565,7 @@ def q_group_min(spark, d):
 
 def _stage(spark, d, bin_size: int = 1):
     s, m = _s1(spark, d)
-    return H.prepare(s, m, "1-URGENT", S.scaled(100, d), S.scaled(20, d), bin_size)
+    return H.prepare(s, m, "1-URGENT", 100, 20, bin_size)
 
 
 @register("reference_haplotype", S1 + hap_sql() + """,
@@ -575,7 +576,7 @@ SELECT hap_id, count_min FROM st WHERE nc = (SELECT count(DISTINCT country) FROM
 ORDER BY count_min DESC, hap_id LIMIT 1""")
 def q_reference_hap(spark, d):
     s, m = _s1(spark, d)
-    haps = H.build_haplotypes(s, m, S.scaled(100, d), S.scaled(20, d))
+    haps = H.build_haplotypes(s, m, 100, 20)
     rows = s.join(haps.select("seq_name", "hap_id").distinct(), "seq_name")
     return aggs.reference_haplotype(rows, "1-URGENT")
 
@@ -763,8 +764,8 @@ def q_union_all(spark, d):
 
 
 # ------------------------------------------------------------ 2.8 arrays / features
-WIDE_SQL = S1 + """, lm AS (SELECT CAST(l_orderkey AS VARCHAR) AS seq_name, l_returnflag AS f, l_linenumber,
-  'S:' || l_returnflag || CAST(ascii(l_linestatus) AS VARCHAR) || l_linestatus AS mut FROM lineitem),
+WIDE_SQL = S1 + f""", lm AS (SELECT CAST(l_orderkey AS VARCHAR) AS seq_name, l_returnflag AS f, l_linenumber,
+  {MUT} AS mut FROM lineitem),
 wide AS (SELECT s.seq_name,
   coalesce(string_agg(CASE WHEN f = 'A' THEN mut END, ',' ORDER BY l_linenumber, mut), '') AS subs,
   coalesce(string_agg(CASE WHEN f = 'N' THEN mut END, ',' ORDER BY l_linenumber, mut), '') AS dels,
@@ -840,7 +841,7 @@ def _escape_tab(spark, d):
 
 
 def _fitness_tab(spark, d):
-    return TR.fitness_task_table(S.fitness_rows(spark, d), S.scaled(300, d), ["P"], "BA.2.86")
+    return TR.fitness_task_table(S.fitness_rows(spark, d), 300, ["P"], "BA.2.86")
 
 
 ESC_TAB_SQL = """, e1 AS (SELECT * FROM esc WHERE source IS NULL OR source NOT IN ('N')),
@@ -1013,12 +1014,9 @@ def q_score(spark, d):
   round(t0, 6) AS fitness_A, round(t1, 6) AS fitness_B, round(t2, 6) AS dms_C FROM s""")
 def q_report(spark, d):
     e = S.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    e = e.withColumn("name", F.col("vec_id").cast("string"))
     scored = models.score_batch(e, _dot_scorer, "x", 3, width=64, batch_size=4, out="pred")
-    long = models.long_predictions(scored, "pred", ["vec_id"], "k")
-    names = F.array(*[F.lit(t) for t in SCORE_TASKS])
-    long = long.select(F.col("vec_id").cast("string").alias("name"), F.element_at(names, F.col("k") + 1).alias("task"),
-                       "predicted_outcome")
-    rep = R.prediction_report(long, SCORE_TASKS, ["fitness_A", "fitness_B"])
+    rep = R.prediction_report(scored, SCORE_TASKS, ["fitness_A", "fitness_B"], pred="pred")
     return rep.select("name", *[r6(c).alias(c) for c in ["mean_fitness", *SCORE_TASKS]])
 
 
@@ -1036,34 +1034,42 @@ def q_evaluate(spark, d):
 
 
 # ------------------------------------------------------------ 2.9 growth and 2.10 plans
-@register("lineage_growth", "SELECT r_name AS country, true AS certified FROM region")
+@register("lineage_growth", S1 + hap_sql() + """,
+rows AS (SELECT DISTINCT s.seq_name, s.country, s.collection_date, h.hap_id FROM samples s
+  JOIN (SELECT DISTINCT seq_name, hap_id FROM hap) h ON s.seq_name = h.seq_name WHERE s.collection_date IS NOT NULL),
+lo AS (SELECT min(collection_date) AS first_day FROM rows)
+SELECT country, hap_id, count(*) AS n, CAST(sum(date_diff('day', first_day, collection_date) + 1) AS BIGINT) AS day_sum
+FROM rows, lo GROUP BY country, hap_id HAVING count(*) >= 20""")
 def q_growth(spark, d):
+    """Expected rows and day sums of every haplotype at the fit; a maximum-likelihood fit has the observed ones."""
     st = _stage(spark, d)
-    table, design, coefs = H.growth_table(st, min_total=S.scaled(20, d))
-    cert = G.growth_certificate(design, coefs, st.max_bin)
-    return cert.select("country", (F.col("max_score_per_n") < 1e-4).alias("certified"))
+    table, design, coefs = H.growth_table(st)
+    classes = design.select("country", "hap_id", "class_idx").distinct()
+    moments = G.expected_moments(design, coefs, st.max_bin).join(classes, ["country", "class_idx"])
+    day_sum = F.round(F.col("nx") * F.lit(float(st.max_bin))).cast("long")
+    return moments.select("country", "hap_id", F.round("n").cast("long").alias("n"), day_sum.alias("day_sum"))
 
 
 @register("build_haplotypes", S1 + hap_sql() + " SELECT seq_name, haplotype, hap_id, country FROM hap")
 def q_build_haps(spark, d):
     s, m = _s1(spark, d)
-    return H.build_haplotypes(s, m, S.scaled(100, d), S.scaled(20, d)).select("seq_name", "haplotype", "hap_id", "country")
+    return H.build_haplotypes(s, m, 100, 20).select("seq_name", "haplotype", "hap_id", "country")
 
 
 ALLHAP_SQL = """,
-a1 AS (SELECT DISTINCT s.seq_name, m.mut FROM (SELECT DISTINCT seq_name FROM samples) s LEFT JOIN (SELECT * FROM muts WHERE contains(mut, 'S:')) m
+a1 AS (SELECT DISTINCT s.seq_name, m.mut FROM (SELECT DISTINCT seq_name FROM {of}) s LEFT JOIN (SELECT * FROM muts WHERE contains(mut, 'S:')) m
   ON m.seq_name = s.seq_name),
 a0 AS (SELECT seq_name, coalesce(string_agg(DISTINCT mut, ', ' ORDER BY mut), 'NA') AS haplotype_all FROM a1 GROUP BY seq_name),
 allhap AS (SELECT a0.*, 'hap_all_' || CAST(dense_rank() OVER (ORDER BY haplotype_all) AS VARCHAR) AS hap_all_id FROM a0)"""
 
 
-@register("build_all_mutation_haplotypes", S1 + ALLHAP_SQL + " SELECT seq_name, haplotype_all, hap_all_id FROM allhap")
+@register("build_all_mutation_haplotypes", S1 + ALLHAP_SQL.format(of="samples") + " SELECT seq_name, haplotype_all, hap_all_id FROM allhap")
 def q_all_haps(spark, d):
     s, m = _s1(spark, d)
     return H.build_all_mutation_haplotypes(s, m)
 
 
-REP_SQL = S1 + hap_sql() + ALLHAP_SQL + """,
+REP_SQL = S1 + hap_sql() + ALLHAP_SQL.format(of="hap") + """,
 rows AS (SELECT s.*, h.hap_id, a.hap_all_id FROM samples s JOIN (SELECT DISTINCT seq_name, hap_id FROM hap) h USING (seq_name)
   JOIN allhap a USING (seq_name)),
 pc AS (SELECT hap_id, hap_all_id, count(*) AS n FROM rows GROUP BY hap_id, hap_all_id),
@@ -1075,9 +1081,8 @@ firsts AS (SELECT hap_id, quantile_disc(collection_date, 0.01) AS date_first FRO
   FROM (SELECT DISTINCT hap_id, haplotype FROM hap) h JOIN major USING (hap_id) JOIN firsts f USING (hap_id)""")
 def q_representative(spark, d):
     st = _stage(spark, d)
-    s, m = _s1(spark, d)
-    allh = H.build_all_mutation_haplotypes(s, m)
-    coef = st.rows.select("hap_id").distinct().select("hap_id", F.lit(1.0).alias("relative_re"), F.lit("ALL").alias("country"))
+    allh = H.build_all_mutation_haplotypes(st.rows, S.mutations(spark, d))
+    coef = st.rows.select("hap_id").distinct().select("hap_id", F.lit(1.0).alias("relative_re"), F.lit("ALL").alias("country"), F.lit(True).alias("converged"))
     rep = H.representative_table(st, allh, coef)
     rows = st.rows.join(allh.select("seq_name", "hap_all_id"), "seq_name")
     pc = rows.groupBy("hap_id", "hap_all_id").agg(F.count(F.lit(1)).alias("n"))
@@ -1096,7 +1101,7 @@ ct AS (SELECT country, count(*) AS n_country FROM hap GROUP BY country)"""
   round(log10(count_hap), 6) AS log10_count, count_hap FROM hc JOIN ct USING (country)""")
 def q_fitness_time(spark, d):
     s, m = _s1(spark, d)
-    hap = H.build_haplotypes(s, m, S.scaled(100, d), S.scaled(20, d))
+    hap = H.build_haplotypes(s, m, 100, 20)
     hc = hap.groupBy("hap_id", "country").agg(F.count(F.lit(1)).alias("count_hap"))
     ct = hap.groupBy("country").agg(F.count(F.lit(1)).alias("n_country"))
     fit = hc.join(ct, "country").select("hap_id", "country", (F.col("count_hap") / F.col("n_country")).alias("relative_re"))
@@ -1168,9 +1173,8 @@ def q_fitness_table(spark, d):
 
 def fitness_table(spark: SparkSession, d: str) -> DataFrame:
     st = _stage(spark, d)
-    s, m = _s1(spark, d)
-    table, _, _ = H.growth_table(st, min_total=S.scaled(20, d))
-    allh = H.build_all_mutation_haplotypes(s, m)
+    table, _, _ = H.growth_table(st, min_total=20)
+    allh = H.build_all_mutation_haplotypes(st.rows, S.mutations(spark, d))
     rep = H.representative_table(st, allh, table)
     return rep.withColumn("date_first", ds("date_first"))
 
@@ -1201,7 +1205,7 @@ FROM tot WHERE country IN (SELECT country FROM ok) GROUP BY country""")
 def q_growth_summary(spark, d):
     """Structure of the fitted table per country: fitted haplotypes, one reference, convergence."""
     st = _stage(spark, d)
-    table, _, _ = H.growth_table(st, min_total=S.scaled(20, d))
+    table, _, _ = H.growth_table(st, min_total=20)
     return table.groupBy("country").agg(
         F.count(F.lit(1)).alias("n_haplotypes"),
         F.sum((F.col("relative_re") == 1.0).cast("long")).alias("n_reference"),

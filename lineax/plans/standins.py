@@ -6,7 +6,9 @@ size grows with the scale factor.  Roles:
 S1 samples + mutations — sample = order; country = region name
    (orders→customer→nation→region); date = order date; clade = order
    priority; lineage label = order status; mutations = one label per line
-   item ``S:<returnflag><ascii(linestatus)><linestatus>`` (6 labels).
+   item: a rare one per part for every tenth part (some 30 rows at every
+   scale), one of two for quantities up to 2 (4 % of rows), else one of
+   three by return flag.
 S2 duplicates — lineitem, where (orderkey, linenumber) is not a key.
 S3 sequences — ``documents.text`` / ``benchmark.text``.
 S4 partially labelled rows — documents left join labels.
@@ -34,11 +36,6 @@ def scale_of(sf_dir: str) -> float:
     return float(m.group(1).rstrip(".")) if m else 0.01
 
 
-def scaled(threshold: int, sf_dir: str, at: float = 0.01) -> int:
-    """A count threshold tuned at sf ``at`` moved to this scale (at least 1)."""
-    return max(1, int(round(threshold * scale_of(sf_dir) / at)))
-
-
 def region_of_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -62,8 +59,11 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def mutation_label(flag: str = "l_returnflag", status: str = "l_linestatus"):
-    return F.concat(F.lit("S:"), F.col(flag), F.ascii(F.col(status)).cast("string"), F.col(status))
+def mutation_label():
+    rare = F.concat(F.lit("S:K"), F.col("l_partkey").cast("string"), F.lit("N"))
+    some = F.concat(F.lit("S:L"), F.col("l_quantity").cast("int").cast("string"), F.lit("P"))
+    common = F.concat(F.lit("S:"), F.col("l_returnflag"), F.lit("79O"))
+    return F.when(F.col("l_partkey") % 10 == 0, rare).when(F.col("l_quantity") <= 2, some).otherwise(common)
 
 
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
