@@ -1,9 +1,9 @@
 """Aggregations (#45–63).
 
-All of them are hash aggregates with map-side partial aggregation, so a key
-that holds a third of the rows is pre-combined in every task before the
-shuffle.  "Pick one row per key" is ``min(struct(order, payload))`` — also a
-partial aggregate — rather than ``row_number`` over a per-key window, which
+All of them aggregate map-side first, so a key that holds a third of the rows
+is pre-combined in every task before the shuffle.  "Pick one row per key" is
+``min(struct(order, payload))`` — also a partial aggregate, planned as a sort
+aggregate where the payload holds strings — rather than ``row_number`` over a per-key window, which
 would send the whole hot key to one task.
 """
 
