@@ -123,11 +123,13 @@ def fold_split(df: DataFrame, fold_id: int, cls: str, key: Sequence[str], k: int
     if not 0 <= fold_id < k:
         raise ValueError(f"fold_id should be between 0 and {k - 1}")
     narrow = df.select(cls, *key)
-    outer = stratified_folds(narrow, cls, key, k, seed, "__f")
-    test = outer.where(F.col("__f") == fold_id).withColumn(out, F.lit("test"))
-    rest = stratified_folds(outer.where(F.col("__f") != fold_id), cls, key, inner_k, seed, "__g")
-    rest = rest.withColumn(out, F.when(F.col("__g") == 0, F.lit("val")).otherwise(F.lit("train"))).drop("__g")
-    labels = rest.drop("__f").unionByName(test.drop("__f")).drop(cls)
+    h = F.xxhash64(*[F.col(c) for c in key], F.lit(seed))
+    rows = with_global_ordinal(narrow, [F.col(cls).asc_nulls_first(), h, *[F.col(c) for c in key]], "__pos")
+    pos = F.col("__pos")
+    # A row's position among the rest: its own less the test rows before it, so one sort serves both splits.
+    rest = pos - F.floor((pos + F.lit(k - 1 - fold_id)) / F.lit(k))
+    split = F.when(pos % k == fold_id, F.lit("test")).when(rest % inner_k == 0, F.lit("val")).otherwise(F.lit("train"))
+    labels = rows.select(*key, split.alias(out))
     return df.join(labels, list(key), "inner")
 
 
