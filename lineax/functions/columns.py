@@ -244,10 +244,8 @@ def encode_residues(
     vocabulary is a small map literal.
     """
     vmap = F.create_map(*[x for k, v in sorted(vocab.items()) for x in (F.lit(k), F.lit(int(v)))])
-    chars = F.split(F.col(seq), "")
-    body = F.transform(chars, lambda ch: F.coalesce(F.element_at(vmap, ch), F.lit(unk_id)))
-    if max_len is not None:
-        body = F.slice(body, 1, max_len - 2)
+    used = F.col(seq) if max_len is None else F.substring(seq, 1, max_len - 2)
+    body = F.transform(F.split(used, ""), lambda ch: F.coalesce(F.element_at(vmap, ch), F.lit(unk_id)))
     toks = F.concat(F.array(F.lit(start_id)), body, F.array(F.lit(end_id)))
     n = F.size(toks)
     if max_len is None:

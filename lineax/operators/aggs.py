@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineax.operators.joins import checked_broadcast, keys_filter
-from lineax.operators.ordinal import with_global_ordinal, with_running_total
+from lineax.operators.ordinal import with_running_total
 
 
 def _cols(cols: str | Sequence[str]) -> list[str]:
@@ -100,30 +100,36 @@ def exact_quantile(df: DataFrame, col: str, p: float | Sequence[float], by: Sequ
                    out: str = "q") -> DataFrame:
     """Linear-interpolation quantile (numpy default) over all rows or per group.
 
-    Sort-based: values are ranked by the distributed ordinal (a hot group is
-    sorted by many tasks), then only the two neighbouring ranks of each
-    requested quantile are picked.  ``out`` is a double, or an array for a list of ``p``.
-    NULLs are ignored.
+    Equal values are counted first (combined map-side), and only the distinct
+    ones are sorted, with a running total of the counts as their first rank (a
+    hot group is sorted by many tasks); then only the values at the two
+    neighbouring ranks of each requested quantile are picked.  ``out`` is a
+    double, or an array for a list of ``p``.  NULLs are ignored.
     """
     ps = [p] if isinstance(p, (int, float)) else list(p)
     grouped = bool(by)
     by = list(by) if grouped else ["_all"]
     x = df.select(*(by if grouped else [F.lit(0).alias("_all")]), F.col(col).cast("double").alias("_x"))
-    ranked = with_global_ordinal(x.where(F.col("_x").isNotNull()), [*by, "_x"], "_g")
-    starts = ranked.groupBy(*by).agg(F.min("_g").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    counts = x.where(F.col("_x").isNotNull()).groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = with_running_total(counts, [*by, "_x"], "_c", "_g")
+    starts = ranked.groupBy(*by).agg(F.min("_g").alias("_s"), F.sum("_c").alias("_n"))
     pos = [(F.col("_s") + F.lit(q) * (F.col("_n") - 1)) for q in ps]
     targets = starts.select(*by, *[F.floor(c).alias(f"_lo{i}") for i, c in enumerate(pos)],
                             *[F.ceil(c).alias(f"_hi{i}") for i, c in enumerate(pos)],
                             *[(c - F.floor(c)).alias(f"_f{i}") for i, c in enumerate(pos)])
+
+    def at(rank: str) -> Column:
+        return F.col(rank).between(F.col("_g"), F.col("_g") + F.col("_c") - 1)
+
     wanted = F.lit(False)
     for i in range(len(ps)):
-        wanted = wanted | (F.col("_g") == F.col(f"_lo{i}")) | (F.col("_g") == F.col(f"_hi{i}"))
+        wanted = wanted | at(f"_lo{i}") | at(f"_hi{i}")
     # Ungrouped: one target row, a proven bound, so it is broadcast.
     picked = ranked.join(checked_broadcast(targets) if grouped else F.broadcast(targets), by, "inner").where(wanted)
     vals = []
     for i in range(len(ps)):
-        lo = F.max(F.when(F.col("_g") == F.col(f"_lo{i}"), F.col("_x")))
-        hi = F.max(F.when(F.col("_g") == F.col(f"_hi{i}"), F.col("_x")))
+        lo = F.max(F.when(at(f"_lo{i}"), F.col("_x")))
+        hi = F.max(F.when(at(f"_hi{i}"), F.col("_x")))
         vals.append(lo + F.first(f"_f{i}") * (hi - lo))
     res = picked.groupBy(*by).agg(*[v.alias(f"_q{i}") for i, v in enumerate(vals)])
     q = F.col("_q0") if isinstance(p, (int, float)) else F.array(*[F.col(f"_q{i}") for i in range(len(ps))])

@@ -16,9 +16,25 @@ from lineax.operators import aggs, filters, growth, joins, windows
 from lineax.session import materialize
 
 
+def sample_mutations(samples: DataFrame, muts: DataFrame, gene: str = "S:", name: str = "seq_name") -> DataFrame:
+    """One row per sample name: copies (its sample rows) and muts (its distinct mutations of ``gene``
+    with their numbers of rows; empty without any).
+
+    The only pass over the mutation table: equal rows are counted before the shuffle, so an
+    array is bounded by a sample's distinct mutations.  Written once.
+    """
+    m = filters.keep_gene(muts, "mut", gene).groupBy(name, "mut").agg(F.count(F.lit(1)).alias("n"))
+    m = m.groupBy(name).agg(F.collect_list(F.struct("mut", "n")).alias("muts"))
+    copies = samples.groupBy(name).agg(F.count(F.lit(1)).alias("copies"))
+    none = F.array().cast("array<struct<mut:string,n:bigint>>")
+    both = copies.join(m, name, "left").select(name, "copies", F.coalesce("muts", none).alias("muts"))
+    return materialize(both, "sample_mutations")
+
+
 # 90
 def build_haplotypes(samples: DataFrame, muts: DataFrame, min_mut: int = 100, min_hap: int = 20,
-                     gene: str = "S:", name: str = "seq_name", country: str = "country") -> DataFrame:
+                     gene: str = "S:", name: str = "seq_name", country: str = "country",
+                     per_sample: DataFrame | None = None) -> DataFrame:
     """(seq_name, haplotype, hap_id, country) from frequent mutations.
 
     * mutations of ``gene`` only; samples without any get a NULL mutation (right join);
@@ -29,16 +45,16 @@ def build_haplotypes(samples: DataFrame, muts: DataFrame, min_mut: int = 100, mi
     * haplotype ids ``hap_<n>`` number the distinct strings from 1 in sorted order;
     * a haplotype is kept if it has >= ``min_hap`` samples in any one country.
     Duplicate sample rows multiply the counts before de-duplication, as upstream.
+    ``per_sample`` is the table of ``sample_mutations``, when it is there already.
     """
-    m = filters.keep_gene(muts, "mut", gene)
-    m = joins.right_join_keep_unmatched(m, samples.select(name), name)
-    frequent = aggs.count_having(m, "mut", min_mut, strict=True).select("mut")
+    per = sample_mutations(samples, muts, gene, name) if per_sample is None else per_sample
+    each = per.select(name, "copies", F.explode_outer("muts").alias("m")).select(name, "copies", "m.mut", "m.n")
+    counts = each.groupBy("mut").agg(F.sum(F.col("copies") * F.coalesce("n", F.lit(1))).alias("rows"))
+    frequent = counts.where(F.col("rows") > min_mut).select("mut")
     # frequent has one row per mutation, so the NULL-safe inner join is a NULL-safe filter.
-    m = joins.keys_filter(m, frequent, "mut", null_safe=True)
-    # collect_set de-duplicates, so no separate distinct() (and its shuffle) is needed; the
-    # per-sample aggregate reuses the join's partitioning on the sample name.
+    kept = joins.keys_filter(each.select(name, "mut"), frequent, "mut", null_safe=True)
     # One row per sample; read twice (ids, join back), so cut its lineage once.
-    hap = materialize(aggs.haplotype_string(m, name, "mut", "haplotype"), "haplotypes")
+    hap = materialize(aggs.haplotype_string(kept, name, "mut", "haplotype"), "haplotypes")
     hap = windows.dense_ids(hap, "haplotype", "hap_id", base=1, prefix="hap_")
     hap = joins.inner_join_keep_multiplicity(hap, samples.select(name, country), name)
     common = aggs.count_having(hap, ["hap_id", country], min_hap).select("hap_id").distinct()
@@ -46,31 +62,39 @@ def build_haplotypes(samples: DataFrame, muts: DataFrame, min_mut: int = 100, mi
 
 
 # 91
-def build_all_mutation_haplotypes(samples: DataFrame, muts: DataFrame, gene: str = "S:",
-                                  name: str = "seq_name") -> DataFrame:
+def build_all_mutation_haplotypes(samples: DataFrame, muts: DataFrame, gene: str = "S:", name: str = "seq_name",
+                                  per_sample: DataFrame | None = None) -> DataFrame:
     """(seq_name, haplotype_all, hap_all_id) without any frequency filter.
 
     ``samples`` are usually those that kept a haplotype: ids number their strings only.
+    ``per_sample`` is a table of ``sample_mutations`` over at least these samples.
     """
-    m = filters.keep_gene(muts, "mut", gene)
-    m = joins.right_join_keep_unmatched(m, samples.select(name).distinct(), name)
-    hap = materialize(aggs.haplotype_string(m, name, "mut", "haplotype_all"), "haplotypes_all")
+    if per_sample is None:
+        per = sample_mutations(samples, muts, gene, name)
+    else:
+        per = joins.semi_join(per_sample, samples.select(name), name)
+    text = F.array_join(F.array_sort(F.transform("muts", lambda m: m["mut"])), ", ")
+    hap = per.select(name, F.when(F.size("muts") == 0, F.lit("NA")).otherwise(text).alias("haplotype_all"))
+    hap = materialize(hap, "haplotypes_all")
     return windows.dense_ids(hap, "haplotype_all", "hap_all_id", base=1, prefix="hap_all_")
 
 
 @dataclass
 class Stage:
-    """Samples with haplotype and day bin (``rows``), cached once and reused by the fit and the report."""
+    """Samples with haplotype and day bin (``rows``), written once and reused by the fit and the report;
+    ``mutations`` is the table of ``sample_mutations``."""
 
     rows: DataFrame
     haplotypes: DataFrame
     max_bin: int
     ref_hap: str | None
+    mutations: DataFrame
 
 
 def prepare(samples: DataFrame, muts: DataFrame, ref_clade: str, min_mut: int = 100, min_hap: int = 20,
             bin_size: int = 1) -> Stage:
-    haps = build_haplotypes(samples, muts, min_mut, min_hap)
+    per_sample = sample_mutations(samples, muts)
+    haps = build_haplotypes(samples, muts, min_mut, min_hap, per_sample=per_sample)
     rows = samples.join(haps.select("seq_name", "hap_id"), "seq_name", "inner")
     rows = aggs.dedupe_keep_first(rows, "seq_name", ["sample_id"])
     rows = materialize(rows.where(F.col("collection_date").isNotNull()), "samples_with_haplotype")
@@ -78,7 +102,7 @@ def prepare(samples: DataFrame, muts: DataFrame, ref_clade: str, min_mut: int =
     rows = day_index_and_bin(rows, "collection_date", bin_size, bounds=(lo, hi))
     ref = aggs.reference_haplotype(rows, ref_clade, "country", "hap_id", "clade").first()
     max_bin = rows.agg(F.max("day_bin")).first()[0] or 0
-    return Stage(rows, haps, int(max_bin), ref["hap_id"] if ref else None)
+    return Stage(rows, haps, int(max_bin), ref["hap_id"] if ref else None, per_sample)
 
 
 def growth_table(stage: Stage, min_total: int = 20, bin_size: int = 1, gen_time: float = 2.1,

@@ -62,7 +62,7 @@ MUT = """CASE WHEN l_partkey % 10 = 0 THEN 'S:K' || CAST(l_partkey AS VARCHAR) |
 MUTS = f"muts AS (SELECT CAST(l_orderkey AS VARCHAR) AS seq_name, {MUT} AS mut FROM lineitem)"
 S1 = "WITH " + SAMPLES + ",\n" + MUTS
 S4 = "WITH s4 AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
-ESC = """esc AS (SELECT l.l_returnflag AS source, l.l_quantity / 5.0 AS ic50, CAST(l.l_suppkey AS VARCHAR) AS target_virus,
+ESC = """esc AS (SELECT l.l_returnflag AS source, l.l_quantity / 5.0 AS ic50, CAST(l.l_partkey // 2 AS VARCHAR) AS target_virus,
   upper(substr(p.p_name, 1, 1)) AS mutation, p.p_size AS site, p.p_type AS "group", p.p_brand AS condition,
   l.l_discount AS mut_escape, l.l_tax AS neg_log_ic50, l.l_orderkey, l.l_linenumber, l.l_partkey
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
@@ -73,7 +73,7 @@ fit AS (SELECT l.l_extendedprice / 10000.0 AS relative_re, cr.r_name AS country,
   CAST(l.l_shipdate AS DATE) AS date_first, o.o_orderpriority AS clade, o.o_orderstatus AS pango,
   l.l_orderkey, l.l_linenumber, l.l_partkey
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN cr ON o.o_custkey = cr.c_custkey
-  JOIN bb ON CAST(l.l_suppkey AS VARCHAR) = bb.target)"""
+  JOIN bb ON CAST(l.l_partkey // 2 AS VARCHAR) = bb.target)"""
 
 
 def hap_sql(min_mut: int = 100, min_hap: int = 20) -> str:
@@ -466,7 +466,7 @@ def q_semi(spark, d):
 @register("attach_sequence", "WITH " + FIT + " SELECT l_orderkey, l_linenumber, l_partkey, md5(seq) AS seq_md5 FROM fit")
 def q_attach(spark, d):
     li = S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey",
-                                              F.col("l_suppkey").cast("string").alias("seq_name"))
+                                              S.backbone_of_part().alias("seq_name"))
     fasta = S.backbones(spark, d).withColumnRenamed("target", "name")
     j = joins.attach_sequence(li, fasta, "seq_name")
     return j.select("l_orderkey", "l_linenumber", "l_partkey", F.md5("seq").alias("seq_md5"))
@@ -1081,7 +1081,7 @@ firsts AS (SELECT hap_id, quantile_disc(collection_date, 0.01) AS date_first FRO
   FROM (SELECT DISTINCT hap_id, haplotype FROM hap) h JOIN major USING (hap_id) JOIN firsts f USING (hap_id)""")
 def q_representative(spark, d):
     st = _stage(spark, d)
-    allh = H.build_all_mutation_haplotypes(st.rows, S.mutations(spark, d))
+    allh = H.build_all_mutation_haplotypes(st.rows, S.mutations(spark, d), per_sample=st.mutations)
     coef = st.rows.select("hap_id").distinct().select("hap_id", F.lit(1.0).alias("relative_re"), F.lit("ALL").alias("country"), F.lit(True).alias("converged"))
     rep = H.representative_table(st, allh, coef)
     rows = st.rows.join(allh.select("seq_name", "hap_all_id"), "seq_name")
@@ -1174,7 +1174,7 @@ def q_fitness_table(spark, d):
 def fitness_table(spark: SparkSession, d: str) -> DataFrame:
     st = _stage(spark, d)
     table, _, _ = H.growth_table(st, min_total=20)
-    allh = H.build_all_mutation_haplotypes(st.rows, S.mutations(spark, d))
+    allh = H.build_all_mutation_haplotypes(st.rows, S.mutations(spark, d), per_sample=st.mutations)
     rep = H.representative_table(st, allh, table)
     return rep.withColumn("date_first", ds("date_first"))
 

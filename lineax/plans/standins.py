@@ -82,6 +82,11 @@ def backbones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("target"), F.col("text").alias("seq"))
 
 
+def backbone_of_part():
+    """Target of a line item: there are two parts per document, so every backbone is used."""
+    return F.expr("CAST(l_partkey div 2 AS STRING)")
+
+
 # S4
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir).select("doc_id", "lang", "source", "n_chars")
@@ -98,7 +103,7 @@ def escape_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         F.col("l_returnflag").alias("source"),
         (F.col("l_quantity") / F.lit(5.0)).alias("ic50"),
-        F.col("l_suppkey").cast("string").alias("target_virus"),
+        backbone_of_part().alias("target_virus"),
         F.upper(F.substring("p_name", 1, 1)).alias("mutation"),
         F.col("p_size").alias("site"),
         F.col("p_type").alias("group"),
@@ -112,13 +117,13 @@ def escape_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # S6
 def fitness_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(relative_re, country, seq, date_first, clade, pango, l_orderkey, l_linenumber, l_partkey)."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                                  "l_extendedprice", "l_shipdate")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
+                                                  "l_shipdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
     cr = region_of_customer(spark, sf_dir)
     seqs = backbones(spark, sf_dir)
     j = (li.join(o, li.l_orderkey == o.o_orderkey).join(cr, o.o_custkey == cr.c_custkey)
-         .join(seqs, F.col("l_suppkey").cast("string") == seqs.target))
+         .join(seqs, backbone_of_part() == seqs.target))
     return j.select(
         (F.col("l_extendedprice") / F.lit(10000.0)).alias("relative_re"),
         F.col("r_name").alias("country"),

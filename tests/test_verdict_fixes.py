@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lineax.operators import features, growth
+from lineax.operators import aggs, features, growth
+from lineax.plans import haplotypes as H
 from lineax.plans import registry as R
 from lineax.plans import standins as S
 from lineax.plans import training as TR
@@ -69,6 +71,33 @@ def test_count_filters_drop_rows_of_the_stand_in(spark):
     assert R.QUERIES["lineage_growth"](spark, sf).count() < R.QUERIES["fitness_over_time"](spark, sf).count()
 
 
+def test_mutations_are_read_once(spark, monkeypatch):
+    """Haplotypes, all-mutation haplotypes and the samples' counts come from one written table."""
+    sf = "/root/testdata/sf0.001"
+    made = []
+    real = H.sample_mutations
+    monkeypatch.setattr(H, "sample_mutations", lambda *a, **k: made.append(1) or real(*a, **k))
+    stage = H.prepare(S.samples(spark, sf), S.mutations(spark, sf), "1-URGENT", 100, 1)
+    full = H.build_all_mutation_haplotypes(stage.rows, S.mutations(spark, sf), per_sample=stage.mutations)
+    assert full.count() == stage.rows.count()
+    assert made == [1]
+    for table in (stage.rows, stage.haplotypes, full):
+        assert "lineitem" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_backbone_is_used(spark):
+    sf = "/root/testdata/sf0.01"
+    targets = S.escape_rows(spark, sf).select(F.col("target_virus").alias("target")).distinct()
+    assert S.backbones(spark, sf).join(targets, "target", "left_anti").count() == 0
+
+
+def test_quantile_of_repeated_values(spark):
+    df = spark.createDataFrame([("a", x) for x in [1.0] * 90 + [2.0] * 10 + [None]] + [("b", 5.0)], "g string, x double")
+    got = {r.g: r.q for r in aggs.exact_quantile(df, "x", [0.0, 0.9, 0.95], ["g"]).collect()}
+    want = [float(np.quantile([1.0] * 90 + [2.0] * 10, p)) for p in (0.0, 0.9, 0.95)]
+    assert got["a"] == pytest.approx(want) and got["b"] == [5.0] * 3
+
+
 def test_clade_exclusion_keeps_the_future(spark):
     def counts(exclude):
         rows = TR.training_table(R._escape_tab(spark, SF), R._fitness_tab(spark, SF), R.WEIGHT_ARGS["cutoff"], R.WEIGHT_ARGS["thresh"], exclude_clades=exclude)
