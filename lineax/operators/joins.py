@@ -8,8 +8,10 @@ nothing is force-broadcast unless its size is bounded by construction.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -103,10 +105,21 @@ def keys_filter(df: DataFrame, keys: DataFrame, col: str, null_safe: bool = Fals
     return df.join(keys.withColumnRenamed(keys.columns[0], col), col, "left_semi")
 
 
-def checked_broadcast(small: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``small`` with a broadcast hint when it has at most ``max_rows`` rows (counted first), else as is.
+def checked_broadcast(small: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """``small`` with a broadcast hint when it has at most ``max_rows`` rows and ``max_bytes`` bytes
+    (measured first), else as is.
 
-    Meant for tables already written once (the count reads file metadata and
-    the join reads the same files), e.g. id dictionaries.
+    Meant for tables already written once (the measure reads the same files as the join),
+    e.g. id dictionaries.
     """
-    return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
+    def width(c) -> Column:
+        if c.dataType.typeName() in ("string", "binary"):
+            return F.coalesce(F.octet_length(c.name), F.lit(0))
+        if c.dataType.typeName() in ("array", "map", "struct"):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(c.name))), F.lit(0))
+        return F.lit(16)
+
+    # Only one number per row is moved, and one row more than allowed at most.
+    widths = small.select(reduce(add, [width(c) for c in small.schema]).cast("long").alias("w")).limit(max_rows + 1)
+    rows, size = widths.agg(F.count("w"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return F.broadcast(small) if rows <= max_rows and size <= max_bytes else small

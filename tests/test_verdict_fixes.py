@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lineax.operators import aggs, features, growth
+from lineax.operators.joins import checked_broadcast
 from lineax.plans import haplotypes as H
 from lineax.plans import registry as R
 from lineax.plans import standins as S
@@ -85,6 +86,18 @@ def test_mutations_are_read_once(spark, monkeypatch):
         assert "lineitem" not in table._jdf.queryExecution().executedPlan().toString()
 
 
+def test_broadcast_is_bounded_in_bytes_too(spark):
+    ids = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("text"), F.array("id").alias("many"))
+
+    def hinted(df):
+        return "hint" in df._jdf.queryExecution().analyzed().toString().lower()
+
+    assert hinted(checked_broadcast(ids))
+    assert not hinted(checked_broadcast(ids, max_bytes=50_000))
+    assert not hinted(checked_broadcast(ids, max_rows=99))
+    assert hinted(checked_broadcast(ids.limit(0)))
+
+
 def test_every_backbone_is_used(spark):
     sf = "/root/testdata/sf0.01"
     targets = S.escape_rows(spark, sf).select(F.col("target_virus").alias("target")).distinct()
