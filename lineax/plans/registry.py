@@ -949,32 +949,29 @@ def q_select_rf(spark, d):
     return spark.createDataFrame([(int(i),) for i in idx], "feature_index int")
 
 
-def _fit_predict(spark, d, fn, **kw):
+def _fit_predict(spark, d, fn):
     m = _model_frame(spark, d)
     slicer, _ = models.select_features_rf(m.where(F.col("data_class") == "train"), "features", "outcome", k=200)
     m = slicer.transform(m)
-    model, score = fn(m.where(F.col("data_class") == "train"), "selected", "outcome", **kw)
+    model, score = fn(m.where(F.col("data_class") == "train"), "selected", "outcome")
     pred = model.transform(m.where(F.col("data_class").isin("test", "future")))
     return pred.select("p_partkey", "data_class", "outcome", "predicted_outcome")
 
 
-# Search budgets of the registered checks are small; the library defaults are the reference's.
+# The searches run with the library's defaults: the reference's draws, folds and ranges.
 @register("regress_random_forest")
 def q_rf(spark, d):
-    return _fit_predict(spark, d, models.regress_random_forest, n_draws=2, folds=3,
-                        space={"numTrees": lambda r: r.randint(20, 40), "maxDepth": lambda r: r.choice([5, 10])})
+    return _fit_predict(spark, d, models.regress_random_forest)
 
 
 @register("regress_lasso")
 def q_lasso(spark, d):
-    return _fit_predict(spark, d, models.regress_lasso, n_draws=3, folds=3)
+    return _fit_predict(spark, d, models.regress_lasso)
 
 
 @register("regress_boosted_trees")
 def q_gbt(spark, d):
-    return _fit_predict(spark, d, models.regress_boosted_trees, n_draws=2, folds=3,
-                        space={"maxDepth": lambda r: r.randint(3, 5), "maxIter": lambda r: r.randint(10, 20),
-                               "stepSize": lambda r: r.uniform(0.1, 0.4)})
+    return _fit_predict(spark, d, models.regress_boosted_trees)
 
 
 SCORE_TASKS = ["fitness_A", "fitness_B", "dms_C"]

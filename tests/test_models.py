@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.ml.linalg import Vectors
 
 from lineax.operators import models
+from lineax.plans import registry
 
 
 def _frame(spark, x, y):
@@ -55,3 +56,24 @@ def test_score_batch_long_predictions(spark):
     scored = models.score_batch(df, make, "x", 3, width=2, batch_size=1)
     long = {(r.id, r.task_id): r.predicted_outcome for r in models.long_predictions(scored, "predicted", ["id"]).collect()}
     assert long == {(1, 0): 1.0, (1, 1): 2.0, (1, 2): 3.0, (2, 0): 3.0, (2, 1): -1.0, (2, 2): 2.0}
+
+
+def test_registered_searches_are_the_reference_s(spark, monkeypatch):
+    """Draws, folds and ranges that reach the search of each registered model query."""
+    got = {}
+
+    class Same:
+        def transform(self, df):
+            return df.withColumn("predicted_outcome", df.outcome)
+
+    def search(estimator, space, n_draws, train, label, folds, seed, parallelism):
+        got[type(estimator).__name__] = (space, n_draws, folds)
+        return Same(), 0.0
+
+    frame = spark.createDataFrame([(1, "train", 1.0), (2, "test", 2.0)], "p_partkey long, data_class string, outcome double")
+    monkeypatch.setattr(registry, "_model_frame", lambda spark, d: frame)
+    monkeypatch.setattr(models, "select_features_rf", lambda *a, **k: (Same(), []))
+    monkeypatch.setattr(models, "_search", search)
+    for name in ("regress_random_forest", "regress_lasso", "regress_boosted_trees"):
+        assert [r.p_partkey for r in registry.QUERIES[name](spark, "").collect()] == [2]
+    assert got == {"RandomForestRegressor": (models.RF_SPACE, 20, 5), "LinearRegression": (models.LASSO_SPACE, 30, 5), "GBTRegressor": (models.GBT_SPACE, 30, 5)}
