@@ -8,10 +8,10 @@ third of all documents is one small sketch per task.  Lines whose estimate is
 within ``margin`` of the threshold get an exact distinct count; the rest are
 decided by the sketch.
 
-Cross-site lines are removed from every document they occur in, with one
-exception: a document more than ``most_removed`` of whose words would go is a
-copy of a document, not a page with boilerplate, and stays whole; copies are
-the business of near-duplicate operators, which keep one of them.
+Cross-site lines are removed from every document they occur in, whatever their
+share of it, with one exception: a document all of whose lines are cross-site
+shares its whole text with others and stays whole; copies are the business of
+near-duplicate operators, which keep one of them.
 
 Only DataFrame functions; documents meet their removals in one join by a hash
 of the row, and texts without removals are passed on as they are.
@@ -55,20 +55,20 @@ def spread_lines(lines: DataFrame, min_sites: int, margin: float = 0.15, precisi
     return exact.where(F.col("sites") >= min_sites).union(sure)
 
 
-def removals(docs: DataFrame, id_col: str, site_col: str, text_col: str, min_sites: int, most_removed: float) -> DataFrame:
+def removals(docs: DataFrame, id_col: str, site_col: str, text_col: str, min_sites: int) -> DataFrame:
     """(row, gone) per row that loses lines; gone: for each line, whether it goes."""
     lines = materialize(line_rows(docs, id_col, site_col, text_col), "lines")
     wide = materialize(spread_lines(lines, min_sites).select(F.col("line").alias("wide")), "boilerplate")
     marked = lines.join(wide, (F.col("line") == F.col("wide")) & (F.col("words") > 0), "left").select("row", "words", "at", F.col("wide").isNotNull().alias("goes"))
     # repeated rows have one hash: their lines count equally often, and the set holds each once
     per = marked.groupBy("row").agg(F.sum("words").alias("all"), F.sum(F.when(F.col("goes"), F.col("words")).otherwise(0)).alias("lost"), F.collect_set(F.struct("at", "goes")).alias("marks"))
-    per = per.where((F.col("lost") > 0) & (F.col("lost") <= F.lit(most_removed) * F.col("all")))
+    per = per.where((F.col("lost") > 0) & (F.col("lost") < F.col("all")))
     return per.select("row", F.transform(F.array_sort("marks"), lambda x: x["goes"]).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = 5, most_removed: float = 0.5, report: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = 5, report: bool = False) -> DataFrame:
     """``docs`` with cross-site lines taken out of the text; ``report`` adds n_lines_removed (a column of that name is replaced)."""
-    found = materialize(removals(docs, id_col, site_col, text_col, min_sites, most_removed), "removals").select(F.col("row").alias("_r"), F.col("gone").alias("_gone")).hint("merge")  # the same plan at every size
+    found = materialize(removals(docs, id_col, site_col, text_col, min_sites), "removals").select(F.col("row").alias("_r"), F.col("gone").alias("_gone")).hint("merge")  # the same plan at every size
     rows = docs.withColumn("_row", _row(id_col, text_col)).join(found, F.col("_row") == F.col("_r"), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.get("_gone", i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)

@@ -280,3 +280,12 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs).columns == docs.columns
     few = spark.createDataFrame([(i, f"{notice}\n{own[i]}", f"s{i % 4}") for i in range(12)], "doc_id long, text string, source string")
     assert all(x.n_lines_removed == 0 for x in line_dedup.dedup_lines(few, report=True).collect())
+
+
+def test_line_dedup_of_mostly_boilerplate(spark):
+    """Two of three lines, and most words, stand on six sites: they go; a document of nothing else is a copy and stays."""
+    head, foot = "All rights reserved by the owner of this site", "Subscribe to the letter and follow the news of every week"
+    rows = [(i, f"{head}\nshort note {i}\n{foot}", f"s{i % 6}") for i in range(12)] + [(20 + i, f"{head}\n{foot}", f"s{i}") for i in range(6)]
+    got = {x.doc_id: (x.text, x.n_lines_removed) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), report=True).collect()}
+    assert all(got[i] == (f"short note {i}", 2) for i in range(12))
+    assert all(got[20 + i] == (f"{head}\n{foot}", 0) for i in range(6))
