@@ -4,8 +4,11 @@ A public vocabulary is a ruler for text it was fitted to: ordinary prose of a
 language takes a steady number of its tokens per word and characters per
 token, next to no byte fallback, and a wide spread of tokens.  Symbol noise,
 shouting, separator-ridden tables and mojibake leave those bands.  Bands are
-per language (``lang`` column) or, where the language has none, per the
-text's main script.
+per language (``lang`` column), also for a text in another script than its
+language's, or, where the language has none, per the text's main script.
+Scripts that the vocabulary holds letter by letter (Greek, Hebrew, ...) show
+noise only by long words and byte fallback; scripts without spaces only by
+characters per token, byte fallback and entropy.
 
 Measures are taken over all words of the whole text: each distinct word of a
 batch is encoded once and its tokens count as often as the word occurs.
@@ -50,16 +53,33 @@ class Band:
     entropy_rise: float = 0.034
 
 
-#: Bands for DEFAULT_MODEL. Languages and scripts absent here take "other".
+#: Bands for DEFAULT_MODEL. Languages and scripts absent here take "other". Those of other scripts than Latin lie
+#: between ordinary sentences (about 20 to 45 words a language) and random letters or ``%%%|||`` suffixes.
 BANDS: dict[str, Band] = {
     "en": (latin := Band(3.05, 1.45, 7.0, 0.05, 0.682)),
     "de": replace(latin, max_tokens_per_word=3.35),
     "fr": replace(latin, max_tokens_per_word=3.25),
     "es": replace(latin, max_tokens_per_word=3.45),
     "Latin": replace(latin, max_tokens_per_word=4.0, min_entropy=0.55),
+    "Cyrillic": (cyrillic := Band(4.5, 1.3, 7.0, 0.05, 0.60)),
+    "Greek": (greek := Band(9.0, 0.65, 7.0, 0.10, 0.38)),
+    "Armenian": Band(10.0, 0.55, 7.0, 0.30, 0.38),
+    "Hebrew": (hebrew := Band(8.0, 0.65, 7.0, 0.10, 0.38)),
+    "Arabic": (arabic := Band(8.0, 0.60, 7.0, 0.10, 0.38)),
+    "Devanagari": (devanagari := Band(9.0, 0.55, 7.0, 0.25, 0.38)),
+    "Tamil": Band(15.5, 0.60, 7.0, 0.25, 0.38),
+    "Thai": (thai := Band(1e9, 0.75, 7.0, 0.20, 0.38)),
+    "Georgian": Band(10.0, 0.65, 7.0, 0.12, 0.38),
+    "Han": (han := Band(1e9, 0.60, 7.0, 0.45, 0.60)),
+    "Hangul": (hangul := Band(6.5, 0.50, 7.0, 0.30, 0.55)),
+    **dict.fromkeys(("ru", "uk", "bg"), cyrillic), "el": greek, "he": hebrew, **dict.fromkeys(("ar", "fa"), arabic), "hi": devanagari, "th": thai, **dict.fromkeys(("zh", "ja"), han), "ko": hangul,
     "other": Band(1e9, 0.25, 8.0, 0.80, 0.30, entropy_rise=0.0),
 }
 
+#: Code points of the scripts that have bands; Han holds Kana, too.
+SCRIPTS = {"Cyrillic": [(0x400, 0x52F)], "Greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)], "Armenian": [(0x530, 0x58F)], "Hebrew": [(0x590, 0x5FF)], "Arabic": [(0x600, 0x77F), (0xFB80, 0xFDFF), (0xFE80, 0xFEFF)],
+           "Devanagari": [(0x900, 0x97F)], "Tamil": [(0xB80, 0xBFF)], "Thai": [(0xE00, 0xE7F)], "Georgian": [(0x10C0, 0x10FF)], "Han": [(0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF)], "Hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7BF)]}
+
 #: Texts of more tokens are not expected to use more different ones (in powers of 2).
 ENTROPY_BITS = 9.0
 
@@ -124,12 +144,32 @@ def token_measures(texts: K.Texts, doc, starts, ends, h, model) -> dict[str, np.
     return {"n_tokens": n_tokens.astype(np.int64), "byte_share": n_bytes / np.maximum(n_tokens, 1), "token_entropy": bits / most}
 
 
+def _script_table() -> np.ndarray:
+    """The number of the script in SCRIPTS, or their count, by the first two UTF-8 bytes of a character of two or three."""
+    out = np.full((256, 256), len(SCRIPTS), dtype=np.int64)
+    for i, ranges in enumerate(SCRIPTS.values()):
+        for lo, hi in ranges:
+            for c in range(lo, hi + 1):
+                b = chr(c).encode()
+                out[b[0], b[1]] = i
+    return out
+
+
+SCRIPT_OF = _script_table()
+
+
 def main_script(texts: K.Texts) -> np.ndarray:
-    """Whether most letters of a text are Latin: ASCII letters and two-byte letters below U+0250 against longer UTF-8 sequences."""
+    """Latin where most letters of a text are (ASCII letters and two-byte letters below U+0250 against longer UTF-8 sequences), else its most frequent script of SCRIPTS, else other."""
     data = texts.data
     latin = np.concatenate([[0], np.cumsum(LETTER[data] | ((data >= 0xC3) & (data <= 0xC9)))])
     rest = np.concatenate([[0], np.cumsum(data > 0xC9)])
-    return np.diff(latin[texts.off]) >= np.diff(rest[texts.off])
+    names, n = np.array([*SCRIPTS, "other"], dtype=object), len(SCRIPTS)
+    at = np.flatnonzero(data > 0xC9)
+    script = SCRIPT_OF[data[at], data[np.minimum(at + 1, len(data) - 1)]]
+    doc = np.searchsorted(texts.off, at, side="right") - 1
+    counts = np.bincount((doc * (n + 1) + script)[script < n], minlength=texts.n * (n + 1)).reshape(texts.n, n + 1)
+    counts[:, n] = counts[:, :n].max(axis=1, initial=0) == 0
+    return np.where(np.diff(latin[texts.off]) >= np.diff(rest[texts.off]), "Latin", names[counts.argmax(axis=1)])
 
 
 def measure(texts: K.Texts, langs: list[str | None], model, bands: dict[str, Band], min_words: int, max_repeat: int) -> dict[str, np.ndarray]:
@@ -139,9 +179,7 @@ def measure(texts: K.Texts, langs: list[str | None], model, bands: dict[str, Ban
     m["tokens_per_word"] = m["n_tokens"] / n
     m["chars_per_token"] = m["word_chars"] / np.maximum(m["n_tokens"], 1)
     m["base_failed"] = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat * m["n_words"])
-    latin = main_script(texts)
-    own = [bands.get(lang) if lang is not None and is_latin else None for lang, is_latin in zip(langs, latin, strict=True)]
-    band = [b or bands["Latin" if is_latin else "other"] for b, is_latin in zip(own, latin, strict=True)]
+    band = [bands.get(lang) or bands.get(script) or bands["other"] for lang, script in zip(langs, main_script(texts), strict=True)]
     limit = {f: np.array([getattr(b, f) for b in band]) for f in Band.__dataclass_fields__}
     why = np.full(texts.n, None, dtype=object)
     for name, wrong in (

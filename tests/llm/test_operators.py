@@ -67,6 +67,29 @@ def test_quality(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+ORDINARY = {
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης.",
+    "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء. لكل إنسان حق التمتع بكافة الحقوق والحريات",
+    "he": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה.",
+    "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए।",
+    "ko": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다.",
+    "zh": "人人生而自由, 在尊严和权利上一律平等。 他们赋有理性和良心, 并应以兄弟关系的精神相对待。 " * 5}
+LETTERS = {"ru": (0x430, 0x44F), "el": (0x3B1, 0x3C9), "ar": (0x627, 0x64A), "he": (0x5D0, 0x5EA), "hi": (0x905, 0x939), "ko": (0xAC00, 0xD7A3), "zh": (0x4E00, 0x9FFF)}
+
+
+@pytest.mark.parametrize("lang", ORDINARY)
+def test_quality_of_other_scripts(spark, lang):
+    """Ordinary sentences pass with and without their label; random letters do not, nor either of them as English; suffixes not where words have spaces."""
+    r = random.Random(7)
+    noise = " ".join("".join(chr(r.randint(*LETTERS[lang])) for _ in range(r.randint(5, 30))) for _ in range(200))
+    suffixed = " ".join(w + "%%%|||" for w in ORDINARY[lang].split())
+    rows = [(i, t, k) for i, (t, k) in enumerate([(ORDINARY[lang], None), (ORDINARY[lang], lang), (noise, None), (noise, lang), (noise, "en"), (suffixed, None), (suffixed, lang)])]
+    got = {x.doc_id: x.rejected_by for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), min_words=10, max_repeat=100).collect()}
+    assert got[0] is None and got[1] is None, got
+    assert all(got[i] for i in (2, 3, 4)) and (lang == "zh" or got[5] and got[6]), got
+
+
 # ------------------------------------------------------------------ 6
 AWKWARD = [None, "", " ", "  a  b\n\n c ", "Été\tü 漢字 🙂 <s> </s> <0x0A>", "\n", "x" * 5000, " lead", "tail  ", "a b", "\x00\x01"]
 
