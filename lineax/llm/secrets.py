@@ -3,11 +3,14 @@
 Base kinds are patterns, leftmost and non-overlapping per kind.  The added
 kind ``novel`` reports strings that compression cannot explain: a candidate
 (20 or more token characters, some letters and some digits) in a sensitive
-context (a word such as key or credential shortly before it) is compressed
-after a dictionary of common identifiers and the text around it; its marginal
-bytes, measured against compressing that dictionary's context alone, must be
-at least ``novelty`` of its length.  Identifiers, paths and repeated values
-cost few bytes, random strings most of their length.
+context (a word such as key or credential shortly before it, or before a
+candidate that it follows without letters or digits between) is compressed
+after a dictionary of common identifiers and the text around it, without the
+candidate's other occurrences; its marginal bytes, measured against
+compressing that dictionary's context alone, must be at least ``novelty`` of
+its length or, if less, of what its own characters cost when shuffled: long
+strings of a small alphabet are Huffman coded, random or not.  Identifiers and
+paths cost few bytes, random strings most of their length.
 
 Spans are code points, end exclusive, of the whole match.
 
@@ -18,6 +21,7 @@ repeated rows are scanned alike; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -36,6 +40,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")  # maximal runs, so the short on
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+LEAST_RATE = 0.5
 CONTEXT = re.compile(r"key|secret|token|passw|passphrase|credential|auth|bearer|private|signature|session|cookie", re.I | re.A)
 #: Words that code and settings are made of; what a candidate shares with them is not news.
 IDENTIFIERS = (" access account action address admin agent algorithm api application argument array async attribute auth authorization base64 bearer binary buffer bucket build byte cache callback"
@@ -58,6 +63,24 @@ def marginal_bytes(candidate: str, context: str, level: int = 3) -> int:
     return len(primed.compress(candidate.encode())) - len(primed.compress(b""))
 
 
+def surroundings(text: str, s: int, e: int, around: int) -> str:
+    """The text around a candidate, other occurrences of it blanked, also those that the window cuts."""
+    word, n = text[s:e], e - s
+    blank = " " * n
+    return text[max(0, s - around - n): s].replace(word, blank)[-around:] + text[e: e + around + n].replace(word, blank)[:around]
+
+
+def is_novel(word: str, context: str, novelty: float) -> bool:
+    cost, n = marginal_bytes(word, context), len(word)
+    if cost >= novelty * n:
+        return True
+    # half a byte a character is what random hex needs; below that even an unexplained string holds little
+    if cost < novelty * n * LEAST_RATE:
+        return False
+    shuffled = "".join(random.Random(n).sample(word, n))
+    return cost >= novelty * min(n, max(marginal_bytes(shuffled, context), LEAST_RATE * n))
+
+
 def scan(text: str, around: int = 200, before: int = 40, novelty: float = 0.75) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind as in ``KINDS``."""
     found: list[tuple[int, int, int]] = []
@@ -68,14 +91,17 @@ def scan(text: str, around: int = 200, before: int = 40, novelty: float = 0.75)
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     found.sort()
     starts, reach = [s for s, _, _ in found], list(accumulate((e for _, e, _ in found), max))
+    last, sensitive = 0, False
     for m in CANDIDATE.finditer(text):
         s, e, word = m.start(), m.end(), m[0]
+        runs_on = sensitive and s - last <= before and not any(map(str.isalnum, text[last:s]))
+        last, sensitive = e, runs_on or CONTEXT.search(text, max(0, s - before), s) is not None
         if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
             continue
         earlier = bisect_left(starts, e)  # base spans that begin before its end
-        if earlier and reach[earlier - 1] > s or not CONTEXT.search(text, max(0, s - before), s):
+        if earlier and reach[earlier - 1] > s or not sensitive:
             continue
-        if marginal_bytes(word, text[max(0, s - around): s] + text[e: e + around]) >= novelty * (e - s):
+        if is_novel(word, surroundings(text, s, e, around), novelty):
             found.append((s, e, 3))
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
 

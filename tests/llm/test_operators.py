@@ -247,6 +247,34 @@ def test_secrets(spark):
     assert got[8].n_novel == got[9].n_novel == 0
 
 
+def _novel(text):
+    return [text[s:e] for s, e, kind in secrets.scan(text) if kind == "novel"]
+
+
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789"])
+@pytest.mark.parametrize("n", [40, 96, 256, 512])
+def test_secrets_of_small_alphabets(alphabet, n):
+    r = random.Random(n)
+    for _ in range(20):
+        key = "".join(r.choices(alphabet, k=n))
+        if HEX_RUN.search(key) is None:
+            assert _novel(f"the private key {key} ok") == [key]
+
+
+HEX_RUN = re.compile("[0-9a-f]{16}")
+
+
+def test_secrets_repeated_and_in_lists():
+    r = random.Random(8)
+    keys = ["".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40)) for _ in range(4)]
+    assert _novel(f"the key {keys[0]} again: the key {keys[0]} ok") == [keys[0]] * 2
+    cut = f"the key {keys[0]} {'plain words here ' * 12} the key {keys[0]} ok"
+    assert _novel(cut) == [keys[0]] * 2
+    assert _novel("credentials:\n" + ",\n".join(keys)) == keys
+    assert _novel(f"credentials: {keys[0]} and then many other words that follow and are not about them {keys[1]}") == [keys[0]]
+    assert _novel("private key " + "configuration_identifier_" * 12 + "9") == [] == _novel("private key " + "0" * 200 + "a" + "0" * 50)
+
+
 # ------------------------------------------------------------------ 10
 def test_html(spark):
     page = ('<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy</div><article><h1>Head &amp; more</h1><p><b>Un</b>closed\n  text<br><p>Second &eacute;.<p>Be.'
