@@ -224,6 +224,28 @@ def test_urls(spark):
     assert {r.page_id: r.verdict for r in urls.judge_urls(pages, URL_RULES, html_col=None, redirects=logged).collect()}[5] == "block"
 
 
+def test_url_links_are_decoded_and_resolved(spark):
+    from html import unescape
+    from urllib.parse import urljoin
+
+    refs = ["/a", "b.html", "?id=1", "//other.net/p", "../up", "./x/../y", "../../../top", "..", ".", "d/", "#top", "?a=1&amp;c=2", "/q?a=1&#38;c=2&#x26;d=3", "/t?u=http://z.net/", "http://abs.net/p?x=1&amp;y=2", "/caf&eacute;&#128512;", "/p?a=1&copy=2&amp&b=3", "/no&such;name"]
+    seen = ["http://a.net/x/y/z?old=1#f", "https://b.net", "http://c.net/"]
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [(u, shape.format(x)) for u in seen for x in refs for shape in (link, refresh)]
+    rows += [("http://d.net/1", '<base href="/deep/er/">' + link.format("p")), ("http://d.net/2", link.format("mailto:a@b.net")), ("http://d.net/3", link.format("")), ("http://d.net/4", link.format("a//b/../c"))]
+    got = {(r.src, r.dst) for r in urls.page_links(spark.createDataFrame(rows, "url string, html string"), "url", "html").collect()}
+
+    def plain(u):
+        return u.split("#")[0]
+
+    want = {(u, plain(urljoin(u, unescape(x).replace("©=2", "&copy=2")))) for u in seen for x in refs} | {("http://d.net/1", "http://d.net/deep/er/p"), ("http://d.net/4", "http://d.net/a//c")}
+    assert {(u, plain(x)) for u, x in got} == want
+    pages = spark.createDataFrame([(1, "http://c.net/de/1", link.format("//x.com/de/9")), (2, "http://e.net/2", link.format("/3?a=1&amp;c=2")), (3, "http://e.net/3?a=1&c=2", link.format("http://x.com/de/9"))], "page_id long, url string, html string")
+    from lineax.llm.queries import URL_RULES
+
+    assert {r.page_id: r.verdict for r in urls.judge_urls(pages, URL_RULES).collect()} == dict.fromkeys((1, 2, 3), "block")
+
+
 # ------------------------------------------------------------------ 5
 def brute_spans(text):
     text, out = text or "", []
