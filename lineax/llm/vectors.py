@@ -1,9 +1,9 @@
 """Operator 7, embedding near-duplicates by collision-counting projections.
 
 Each of ``lists`` lists gives a vector a cell code (signs of ``bits`` random
-projections) and a position (one further projection).  Sorted by (list, code,
-position), two vectors collide in a list when their codes are equal and the
-other lies in the window of half-width ``window`` around the one.  Pairs that
+projections) and a position (one further projection).  Two vectors collide in
+a list when their codes are equal and the other's position lies in the window
+of half-width ``window`` around the one's.  Pairs that
 collide in at least ``least`` lists are verified by their cosine in double
 precision, so no link below the threshold is returned.
 
@@ -13,7 +13,8 @@ probability p = (1 - t / pi) ** bits * P(|N(0, 1)| <= window / d), d = 2 sin(t /
 least ``recall``.  ``bits`` grows with log2 of the number of vectors, so a
 list's cells keep the same mean size and collisions grow about as the input.
 
-Windows are joined by grid: position / window, equal or neighbouring cells.
+Nothing is sorted by position: windows are found by an equi-join on grid cells,
+position / window, equal or neighbouring ones, with the pairs a sort would give.
 
 Equal vectors (after scaling) are one class: they are never paired, a link
 between classes counts as many links as the other class has vectors.

@@ -189,6 +189,26 @@ def test_vectors_match_brute_force(spark):
     assert vectors.vector_components(df.limit(0)).collect() == []
 
 
+def test_windows_are_those_of_a_sort(spark):
+    """The grid join's pairs are those of a scan over each list's codes and positions in sorted order, as the module says."""
+    unit = np.random.default_rng(3).standard_normal((60, 8))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    bits, window, lists, seed = 2, 0.3, 6, 5
+    x = (unit @ np.random.default_rng([seed, 8]).standard_normal((8, lists * (bits + 1)))).reshape(60, lists, bits + 1)
+    want = []
+    for k in range(lists):
+        code = (x[:, k, 1:] > 0) @ np.array([1, 2])
+        order = sorted(range(60), key=lambda i: (code[i], x[i, k, 0]))
+        for p, i in enumerate(order):
+            for j in order[p + 1:]:
+                if code[j] != code[i] or x[j, k, 0] - x[i, k, 0] > window:
+                    break
+                want.append((min(i, j), max(i, j)))
+    classes = spark.createDataFrame([(i, u.tolist()) for i, u in enumerate(unit)], "cls long, unit array<double>")
+    assert sorted(map(tuple, vectors.collisions(classes, bits, window, lists, seed).collect())) == sorted(want)
+    assert "Sorted by" not in vectors.__doc__ and "equi-join on grid cells" in vectors.__doc__
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(40)] + [(500, 501 + i) for i in range(50)]
