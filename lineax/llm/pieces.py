@@ -1,9 +1,10 @@
-"""Operator 6, SentencePiece encoding and decoding on the tokenizers library.
+"""Operator 6, SentencePiece encoding on the tokenizers library, decoding by piece table.
 
 The model's protobuf is parsed and rebuilt as a ``tokenizers.Tokenizer`` (see
 ``piece_model``).  Texts are encoded batch by batch, each batch's new segments
 on several threads; every distinct segment is also encoded by the
-sentencepiece library and compared (``parity``).
+sentencepiece library and compared (``parity``; whole texts are not).  Decoding
+joins the bytes of the model's pieces, without either library.
 
 Defined results: a null or empty text has no ids, parity and round trip hold;
 rows keep their multiplicity; a text's own "▁" decodes to a space (the marker
