@@ -54,7 +54,7 @@ class Band:
 
 
 #: Bands for DEFAULT_MODEL. Languages and scripts absent here take "other". Those of other scripts than Latin lie
-#: between ordinary sentences (about 20 to 45 words a language) and random letters or ``%%%|||`` suffixes.
+#: between ordinary sentences (14 to 45 words a language where words have spaces) and random letters or ``%%%|||`` suffixes.
 BANDS: dict[str, Band] = {
     "en": (latin := Band(3.05, 1.45, 7.0, 0.05, 0.682)),
     "de": replace(latin, max_tokens_per_word=3.35),
