@@ -76,14 +76,13 @@ r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN t
   ('0x' || substr(md5('29|' || doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r""",
     "op2_line_dedup": rf"""
-WITH l AS (SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-w AS (SELECT *, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line, len(regexp_extract_all(raw, '{_W}')) AS words FROM l),
-b AS (SELECT line FROM w WHERE words > 0 GROUP BY line HAVING count(DISTINCT coalesce('s' || source, 'none')) >= 5),
-f AS (SELECT w.doc_id, w.text, raw, pos, words, words > 0 AND b.line IS NOT NULL AS goes FROM w LEFT JOIN b ON w.line = b.line),
-d AS (SELECT doc_id, any_value(text) AS text, sum(words) AS n, coalesce(sum(words) FILTER (goes), 0) AS lost, count(*) FILTER (goes) AS gone,
-  coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT goes), '') AS kept FROM f GROUP BY doc_id)
-SELECT x.doc_id, CASE WHEN lost > 0 AND lost <= 0.5 * n THEN gone ELSE 0 END::BIGINT AS n_lines_removed,
-  md5(CASE WHEN lost > 0 AND lost <= 0.5 * n THEN kept ELSE x.text END) AS text_md5 FROM documents x LEFT JOIN d USING (doc_id)""",
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+w AS (SELECT *, CASE WHEN regexp_matches(raw, '{_W}') THEN regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') END AS line FROM l),
+wide AS (SELECT line FROM w WHERE line IS NOT NULL GROUP BY line HAVING count(DISTINCT source) + bool_or(source IS NULL)::INT >= 5),
+judged AS (SELECT doc_id, raw, pos, line IN (SELECT line FROM wide) AND line IS NOT NULL AS goes, line IS NOT NULL AS counts FROM w),
+mixed AS (SELECT doc_id, count(*) FILTER (goes) AS gone, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT goes), '') AS kept
+  FROM judged GROUP BY doc_id HAVING bool_or(goes) AND bool_or(counts AND NOT goes))
+SELECT d.doc_id, coalesce(gone, 0)::BIGINT AS n_lines_removed, md5(coalesce(kept, d.text)) AS text_md5 FROM documents d LEFT JOIN mixed USING (doc_id)""",
     "op4_url_equivalence": r"""
 WITH RECURSIVE rules(action, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 links AS (SELECT url AS src, unnest(list_concat(
