@@ -131,13 +131,13 @@ def flat(column: pa.Array) -> Texts:
     return Texts(data, off - off[0])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Cut batches into runs of whole texts of about ``CHUNK_BYTES``; a longer text is a run of its own."""
+def chunks(batches: Iterator[pa.RecordBatch], text_col: str, size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Cut batches into runs of whole texts of about ``size`` bytes; a longer text is a run of its own."""
     for batch in batches:
         texts = flat(batch.column(text_col))
         lo = 0
         while lo < texts.n:
-            hi = int(np.searchsorted(texts.off, texts.off[lo] + CHUNK_BYTES, side="right")) - 1
+            hi = int(np.searchsorted(texts.off, texts.off[lo] + size, side="right")) - 1
             hi = min(max(hi, lo + 1), texts.n)
             a, z = texts.off[lo], texts.off[hi]
             yield batch.slice(lo, hi - lo), Texts(texts.data[a:z], texts.off[lo: hi + 1] - a)

@@ -8,14 +8,13 @@ scores or (for BPE models) the merges that the pieces' scores imply.
 
 from __future__ import annotations
 
-import itertools
 import os
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
+from lineax.llm.id_table import IdTable, spread
 from lineax.llm.kernel import Texts
 
 MARK = "▁"
@@ -139,17 +138,17 @@ class SegmentCodec:
     of the model reaches over such a place; then encoding the parts gives the
     text's encoding, and equal parts need encoding once.  Models for which that
     does not hold (checked on the vocabulary), or whose normaliser changes
-    text, encode whole texts.  The table of known segments holds about ``keep``
-    entries and falls back to the last batch's beyond that; results don't
-    depend on it.  ``backend``: ``tokenizers`` (``verify`` compares every
-    distinct segment with the sentencepiece library), or ``sentencepiece``.
+    text, encode whole texts.  The table of known segments holds at most ``keep``
+    bytes; results don't depend on it.  ``backend``: ``tokenizers`` (``verify``
+    compares every distinct segment with the sentencepiece library), or
+    ``sentencepiece``.
     """
 
-    def __init__(self, model: PieceModel, threads: int = 2, keep: int = 400_000, backend: str = "tokenizers", verify: bool = True):
+    def __init__(self, model: PieceModel, threads: int = 2, keep: int = 16 << 20, backend: str = "tokenizers", verify: bool = True):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         words = [p for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED)]
-        self.m, self.keep = model, keep
+        self.m, self.known = model, IdTable(keep)
         self.whole = bool(model.charsmap or model.remove_extra_whitespaces or not model.escape_whitespaces or any(kind == USER_DEFINED for _, _, kind in model.pieces)
                           or any("\n" in p or MARK in p.lstrip(MARK) for p in words))
         self.tok = build_tokenizer(model, segments=not self.whole) if backend == "tokenizers" else None
@@ -158,7 +157,6 @@ class SegmentCodec:
             import sentencepiece
 
             self.ref = sentencepiece.SentencePieceProcessor(model_proto=model.proto) if self.whole else reference_processor(model)
-        self.known: dict[int, bytes] = {}  # ids as int32, after one byte that tells whether the libraries agree
         table = [self._bytes(p, kind) for p, _, kind in model.pieces]
         self.piece_len = np.array([len(b) for b in table], dtype=np.int64)
         self.piece_off = np.cumsum(self.piece_len) - self.piece_len
@@ -190,10 +188,7 @@ class SegmentCodec:
         prefix = first & (self.m.add_dummy_prefix and not self.whole)
         h = np.where(prefix, ~h, h)  # with a space put before it, it is another segment
         names, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        rows = self._rows(texts, names, starts[at].tolist(), ends[at].tolist(), prefix[at])
-        good = np.array([r[0] == 1 for r in rows], dtype=bool)
-        length = np.array([len(r) // 4 for r in rows], dtype=np.int64)
-        ids = np.frombuffer(b"".join([r[1:] for r in rows]), dtype=np.int32)
+        ids, length, good = self.segment_ids(texts, names, starts[at], ends[at], prefix[at])
         n = length[inverse]
         out = ids[spread((np.cumsum(length) - length)[inverse], n)]
         per_doc = np.zeros(texts.n + 1, dtype=np.int64)
@@ -201,20 +196,17 @@ class SegmentCodec:
         agree = np.bincount(doc, weights=~good[inverse], minlength=texts.n) == 0
         return out, per_doc, agree
 
-    def _rows(self, texts: Texts, names: np.ndarray, starts, ends, prefix) -> list[bytes]:
-        keys, known = names.tolist(), self.known
-        new = [i for i, k in enumerate(keys) if k not in known]
-        for part in itertools.batched(new, 20_000):
-            words = [(" " if prefix[i] else "") + texts.text(starts[i], ends[i]) for i in part]
+    def segment_ids(self, texts: Texts, names: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all segments, their numbers, whether the libraries agree) of segments with ascending distinct ``names``."""
+        def encode(part: np.ndarray) -> tuple[list[list[int]], list[bool] | None]:
+            words = [(" " if p else "") + texts.text(s, e) for p, s, e in zip(prefix[part].tolist(), starts[part].tolist(), ends[part].tolist(), strict=True)]
             theirs = self.ref.encode(words, num_threads=1) if self.ref else None
-            ours = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)] if self.tok else theirs
-            for k, i in enumerate(part):
-                same = theirs is None or ours[k] == theirs[k]
-                known[keys[i]] = (b"\1" if same else b"\0") + array("i", ours[k]).tobytes()
-        rows = [known[k] for k in keys]
-        if len(known) > self.keep:
-            self.known = dict(zip(keys, rows, strict=True))
-        return rows
+            if not self.tok:
+                return theirs, None
+            ours = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+            return ours, None if theirs is None else [x == y for x, y in zip(ours, theirs, strict=True)]
+
+        return self.known.lookup(names, encode)
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> Texts:
         """The texts' bytes: pieces with marks as spaces, byte pieces as bytes, without the prefix's space."""
@@ -233,14 +225,9 @@ _CODECS: dict[tuple, SegmentCodec] = {}
 
 
 def codec(path: str, **options) -> SegmentCodec:
-    """One codec per Python worker and setting."""
+    """The worker's codec: one at a time, another setting takes the place of the last."""
     key = (path, *sorted(options.items()))
     if key not in _CODECS:
+        _CODECS.clear()
         _CODECS[key] = SegmentCodec(read_model(path), **options)
     return _CODECS[key]
-
-
-def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Concatenation of ``arange(start[i], start[i] + n[i])``."""
-    total = int(n.sum())
-    return np.arange(total, dtype=np.int64) + np.repeat(start - (np.cumsum(n) - n), n)

@@ -36,7 +36,7 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", carry: list[str] | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path, threads=threads)
-        for batch, texts in K.chunks(batches, text_col):
+        for batch, texts in K.chunks(batches, text_col, K.CHUNK_BYTES // 2):
             ids, off, agree = c.encode(texts)
             back = c.decode(ids, off)
             same = [back.data[a:b].tobytes() == texts.data[x:y].tobytes() for a, b, x, y in zip(back.off[:-1], back.off[1:], texts.off[:-1], texts.off[1:], strict=True)]

@@ -125,9 +125,7 @@ def base_counts(texts: K.Texts, doc, starts, ends, h, window: int = 8) -> dict[s
 def token_measures(texts: K.Texts, doc, starts, ends, h, model) -> dict[str, np.ndarray]:
     """Tokens, byte-fallback share and entropy per text, each word encoded on its own."""
     names, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-    rows = model._rows(texts, names, starts[at].tolist(), ends[at].tolist(), np.ones(len(at), dtype=bool))
-    length = np.array([len(r) // 4 for r in rows], dtype=np.int64)
-    ids = np.frombuffer(b"".join([r[1:] for r in rows]), dtype=np.int32)
+    ids, length, _ = model.segment_ids(texts, names, starts[at], ends[at], np.ones(len(at), dtype=bool))
     off = np.cumsum(length) - length
     pair, times = np.unique(doc * np.int64(max(len(names), 1)) + inverse, return_counts=True)
     pd, pw = np.divmod(pair, max(len(names), 1))
@@ -212,7 +210,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str | None
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(model_path, backend="sentencepiece", verify=False)
-        for batch, texts in K.chunks(batches, text_col):
+        for batch, texts in K.chunks(batches, text_col, K.CHUNK_BYTES // 4):  # many arrays a word
             langs = batch.column(lang_col).to_pylist() if lang_col else [None] * texts.n
             m = measure(texts, langs, model, bands, min_words, max_repeat)
             cols = {f.name: batch.column(f.name) for f in fields}

@@ -134,6 +134,14 @@ def test_small_codec_table_gives_the_same_ids():
         assert np.array_equal(one.encode(texts)[0], two.encode(texts)[0])
 
 
+def test_codec_table_stays_within_its_bytes():
+    codec, r = SegmentCodec(read_model(MODEL), keep=200_000), random.Random(3)
+    for _ in range(6):
+        texts = K.flat(pa.array([" ".join("".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(3000))]))
+        codec.encode(texts)
+        assert codec.known.nbytes() <= 200_000
+
+
 # ------------------------------------------------------------------ 9
 def test_permutation_is_a_bijection():
     for n in (1, 2, 3, 17, 256, 1000, 4097):
