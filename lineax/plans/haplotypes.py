@@ -106,10 +106,9 @@ def prepare(samples: DataFrame, muts: DataFrame, ref_clade: str, min_mut: int =
 
 
 def growth_table(stage: Stage, min_total: int = 20, bin_size: int = 1, gen_time: float = 2.1,
-                 max_iter: int = 10_000, tol: float = 1e-10):
+                 max_iter: int = 100, tol: float = 1e-10):
     """(relative_re per country and haplotype, design, coefficients)."""
-    counts = materialize(growth.daily_counts(stage.rows), "daily_counts")
-    return growth.growth_fit(counts, stage.ref_hap, stage.max_bin, min_total, bin_size, gen_time, max_iter, tol)
+    return growth.lineage_growth(stage.rows, stage.ref_hap, stage.max_bin, min_total=min_total, bin_size=bin_size, gen_time=gen_time, max_iter=max_iter, tol=tol)
 
 
 # 92
