@@ -1,9 +1,10 @@
 """Loss weights, feature selection, regressors and batch scoring (#83–88).
 
-Models are Spark ML estimators (distributed training); hyper-parameter search
-is a seeded random draw from the reference's ranges evaluated with
-``CrossValidator`` (R², 5 folds) in parallel.  Scoring with a user model runs
-in Arrow batches on the executors (``predict_batch_udf``).
+Feature selection is a Spark ML forest; the three regressors are fitted by
+``trees`` and ``lasso``, whose searches share passes over the rows among all
+draws and folds (seeded random draws from fixed ranges, mean R² over 5 folds).
+Scoring with a user model runs in Arrow batches on the executors
+(``predict_batch_udf``).
 """
 
 from __future__ import annotations
@@ -13,16 +14,15 @@ import random
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lineax.functions.columns import conditional_label
+from lineax.operators import lasso, trees
 
 
 # 83
@@ -78,58 +78,76 @@ def _log_uniform(lo: float, hi: float):
     return lambda r: math.exp(r.uniform(math.log(lo), math.log(hi)))
 
 
+# The ranges of the three searches.
 RF_SPACE = {
-    "numTrees": lambda r: r.randint(500, 1000),
-    "maxDepth": lambda r: r.choice([10, 20, 30]),
-    "featureSubsetStrategy": lambda r: r.choice(["sqrt", "log2", "all"]),
-    "minInstancesPerNode": lambda r: r.randint(1, 4),
-    "subsamplingRate": lambda r: r.choice([1.0, 0.632]),
+    "trees": lambda r: r.randint(500, 1000),
+    "max_depth": lambda r: r.choice([10, 20, 30, None]),
+    "max_features": lambda r: r.choice(["sqrt", "log2", None]),
+    "min_samples_split": lambda r: r.randint(5, 20),
+    "min_samples_leaf": lambda r: r.randint(1, 4),
+    "bootstrap": lambda r: r.choice([True, False]),
 }
 LASSO_SPACE = {
-    "regParam": _log_uniform(1e-5, 1e-3),
-    "maxIter": lambda r: r.randint(8000, 10000),
+    "alpha": _log_uniform(1e-5, 1e-3),
+    "max_iter": lambda r: r.randint(8000, 10000),
     "tol": _log_uniform(1e-5, 1e-3),
 }
-GBT_SPACE = {
-    "maxDepth": lambda r: r.randint(10, 30),
-    "stepSize": lambda r: r.uniform(0.1, 0.4),
-    "maxIter": lambda r: r.randint(800, 1000),
-    "minInstancesPerNode": lambda r: r.randint(1, 10),
+BOOST_SPACE = {
+    "max_depth": lambda r: r.randint(30, 50),
+    "learning_rate": lambda r: r.uniform(0.1, 0.4),
+    "rounds": lambda r: r.randint(800, 1000),
+    "min_child_weight": lambda r: r.randint(1, 10),
+    "reg_alpha": lambda r: r.uniform(1e-6, 1e-4),
+    "reg_lambda": lambda r: r.uniform(0, 10),
 }
+#: Fixed values beside the search: most leaves of a boosted tree and least rows of a leaf.
+BOOST_FIXED = {"leaves": 31, "min_child_samples": 20}
+#: Patterns x cuts up to which a model is fitted in one task (32 MB of cut indicators).
+MAX_CELLS = 4_000_000
 
 
-def _search(estimator, space: dict, n_draws: int, train: DataFrame, label: str, folds: int, seed: int,
-            parallelism: int):
-    maps = [{estimator.getParam(k): v for k, v in d.items()} for d in _draws(space, n_draws, seed)]
-    ev = RegressionEvaluator(labelCol=label, predictionCol="predicted_outcome", metricName="r2")
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, numFolds=folds, seed=seed,
-                        parallelism=parallelism)
-    model = cv.fit(train)
-    return model.bestModel, float(max(model.avgMetrics))
+def _fit_trees(train: DataFrame, features: str, label: str, draws: Callable[[int], list[dict]], folds: int, seed: int, boosted: bool, max_cells: int):
+    bins = trees.find_bins(train, features)
+    patterns = trees.pattern_table(train, bins, features, label, folds, seed)
+    model, score = trees.search(train.sparkSession, patterns, bins, draws(len(bins.cuts)), folds, boosted, max_cells)
+    return trees.TreeModel(model, bins, features), score
+
+
+def forest_params(draw: dict, width: int, seed: int) -> dict:
+    """A draw in the terms of ``trees``: features per node, depth without limit as a number."""
+    per_node = {"sqrt": int(math.sqrt(width)), "log2": int(math.log2(max(width, 1))), None: width}[draw["max_features"]]
+    return {**draw, "per_node": max(1, per_node), "max_depth": math.inf if draw["max_depth"] is None else draw["max_depth"], "seed": seed}
 
 
 # 85
 def regress_random_forest(train: DataFrame, features: str = "selected", label: str = "outcome", n_draws: int = 20,
-                          folds: int = 5, seed: int = 42, parallelism: int = 4, space: dict | None = None):
-    est = RandomForestRegressor(featuresCol=features, labelCol=label, predictionCol="predicted_outcome", seed=seed)
-    return _search(est, space or RF_SPACE, n_draws, train, label, folds, seed, parallelism)
+                          folds: int = 5, seed: int = 42, space: dict | None = None, max_cells: int = MAX_CELLS):
+    """The best of ``n_draws`` forests by mean R2 over ``folds``, fitted on all rows: (model, score).
+
+    Bootstrap counts are Poisson draws hashed from a row's content, so trees
+    don't depend on partitions; sample limits count drawn rows.
+    """
+    def draws(width: int) -> list[dict]:
+        return [forest_params(d, width, seed) for d in _draws(space or RF_SPACE, n_draws, seed)]
+
+    return _fit_trees(train, features, label, draws, folds, seed, False, max_cells)
 
 
 # 86
 def regress_lasso(train: DataFrame, features: str = "selected", label: str = "outcome", n_draws: int = 30,
-                  folds: int = 5, seed: int = 42, parallelism: int = 4, space: dict | None = None):
-    """L1 least squares with the same objective as coordinate-descent Lasso (no standardisation)."""
-    est = LinearRegression(featuresCol=features, labelCol=label, predictionCol="predicted_outcome",
-                           elasticNetParam=1.0, standardization=False)
-    return _search(est, space or LASSO_SPACE, n_draws, train, label, folds, seed, parallelism)
+                  folds: int = 5, seed: int = 42, space: dict | None = None):
+    """L1 least squares (no standardisation), all fits from one pass over the rows: (model, score)."""
+    return lasso.search(train, features, label, _draws(space or LASSO_SPACE, n_draws, seed), folds, seed)
 
 
 # 87
 def regress_boosted_trees(train: DataFrame, features: str = "selected", label: str = "outcome", n_draws: int = 30,
-                          folds: int = 5, seed: int = 42, parallelism: int = 4, space: dict | None = None):
-    """Gradient-boosted trees (level-wise; Spark has no leaf-wise booster, numbers differ)."""
-    est = GBTRegressor(featuresCol=features, labelCol=label, predictionCol="predicted_outcome", seed=seed)
-    return _search(est, space or GBT_SPACE, n_draws, train, label, folds, seed, parallelism)
+                          folds: int = 5, seed: int = 42, space: dict | None = None, max_cells: int = MAX_CELLS):
+    """Leaf-wise boosted histogram trees on squared error, best of ``n_draws``: (model, score)."""
+    def draws(width: int) -> list[dict]:
+        return [BOOST_FIXED | d for d in _draws(space or BOOST_SPACE, n_draws, seed)]
+
+    return _fit_trees(train, features, label, draws, folds, seed, True, max_cells)
 
 
 # 88

@@ -10,6 +10,7 @@ rounded to 6 digits on both sides; long texts are compared through md5.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
@@ -958,7 +959,7 @@ def _fit_predict(spark, d, fn):
     return pred.select("p_partkey", "data_class", "outcome", "predicted_outcome")
 
 
-# The searches run with the library's defaults: the reference's draws, folds and ranges.
+# The searches run with the library's defaults: the fixed draws, folds and ranges.
 @register("regress_random_forest")
 def q_rf(spark, d):
     return _fit_predict(spark, d, models.regress_random_forest)
@@ -974,6 +975,73 @@ def q_gbt(spark, d):
     return _fit_predict(spark, d, models.regress_boosted_trees)
 
 
+def _one_split_frame(spark, d):
+    """The model frame's features and a class by part key that SQL can tell; the outcome depends on two of the tokens."""
+    m = _model_frame(spark, d)
+    planted = F.array_contains("tokens", PLANTED[0]).cast("double") * 3 + F.array_contains("tokens", PLANTED[1]).cast("double") * 2
+    return (m.withColumn("data_class", F.when(F.col("p_partkey") % 10 < 6, "train").when(F.col("p_partkey") % 10 < 8, "test").otherwise("future"))
+            .withColumn("planted", planted + F.col("outcome") / 100))
+
+
+#: Words of part names.
+PLANTED = ("blue", "red")
+PARTS_SQL = """WITH p AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS tokens, p_type, p_retailprice / 1000.0 AS outcome,
+  CASE WHEN p_partkey % 10 < 6 THEN 'train' WHEN p_partkey % 10 < 8 THEN 'test' ELSE 'future' END AS data_class FROM part),
+f AS (SELECT p_partkey, unnest(list_concat(list_transform(tokens, lambda t: 't:' || t), ['c:' || p_type])) AS feature FROM p)"""
+
+
+def _stump(m, fn, space):
+    train = m.where(F.col("data_class") == "train")
+    model, _ = fn(train, "features", "outcome", n_draws=1, folds=2, space={k: (lambda r, v=v: v) for k, v in space.items()})
+    rows = model.transform(m.where(F.col("data_class") != "train"))
+    return rows.select("p_partkey", "data_class", r6("outcome").alias("outcome"), r6("predicted_outcome").alias("predicted_outcome"))
+
+
+STUMP_SQL = PARTS_SQL + """,
+train AS (SELECT * FROM p WHERE data_class = 'train'),
+every AS (SELECT count(*) AS n, sum(outcome) AS s FROM train),
+g AS (SELECT feature, count(*) AS n1, sum(outcome) AS s1 FROM f JOIN train USING (p_partkey) GROUP BY feature),
+best AS (SELECT feature, s1 / n1 AS with_it, (s - s1) / (n - n1) AS without_it FROM g, every WHERE n1 >= 2 AND n - n1 >= 2
+  ORDER BY s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1) DESC LIMIT 1)
+SELECT p_partkey, data_class, round(outcome, 6) AS outcome,
+  round(CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.p_partkey = p.p_partkey AND f.feature = best.feature) THEN with_it ELSE without_it END, 6) AS predicted_outcome
+FROM p, best WHERE data_class <> 'train'"""
+
+
+@register("boosted_stump", STUMP_SQL)
+def q_boosted_stump(spark, d):
+    """One round, one split, whole steps: the outcome's mean on the two sides of the best feature."""
+    return _stump(_one_split_frame(spark, d), models.regress_boosted_trees, {"max_depth": 9, "learning_rate": 1.0, "rounds": 1, "min_child_weight": 1, "min_child_samples": 2, "leaves": 2, "reg_alpha": 0.0, "reg_lambda": 0.0})
+
+
+@register("forest_stump", STUMP_SQL)
+def q_forest_stump(spark, d):
+    """A forest of one tree of depth one on all rows and features: the same split, grown by patterns on Spark."""
+    fn = partial(models.regress_random_forest, max_cells=0)
+    return _stump(_one_split_frame(spark, d), fn, {"trees": 1, "max_depth": 1, "max_features": None, "min_samples_split": 2, "min_samples_leaf": 2, "bootstrap": False})
+
+
+@register("lasso_single", PARTS_SQL.replace("p_type, p_retailprice", "p_size::DOUBLE AS x, p_type, p_retailprice") + """,
+m AS (SELECT covar_pop(x, outcome) AS c, var_pop(x) AS v, avg(x) AS mx, avg(outcome) AS my FROM p WHERE data_class = 'train'),
+w AS (SELECT sign(c) * greatest(abs(c) - 0.0005, 0) / v AS w, mx, my FROM m)
+SELECT p_partkey, data_class, round(outcome, 6) AS outcome, round(my + w * (x - mx), 6) AS predicted_outcome FROM p, w WHERE data_class <> 'train'""")
+def q_lasso_single(spark, d):
+    """One feature: the fit has a closed form."""
+    from pyspark.ml.functions import array_to_vector
+    m = _one_split_frame(spark, d).withColumn("features", array_to_vector(F.array(F.col("p_size").cast("double"))))
+    return _stump(m, models.regress_lasso, {"alpha": 0.0005, "max_iter": 1000, "tol": 1e-12})
+
+
+@register("select_features_planted", f"SELECT token FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part) WHERE token IN {PLANTED}")
+def q_select_planted(spark, d):
+    """Two features of all decide the outcome, and two are to be selected."""
+    p = S.table(spark, d, "part").withColumn("tokens", F.array_distinct(F.split("p_name", " ")))
+    words = features.multi_hot(p, "tokens", "mut_vec")[1].vocabulary
+    m = _one_split_frame(spark, d)
+    _, idx = models.select_features_rf(m.where(F.col("data_class") == "train"), "features", "planted", k=2)
+    return spark.createDataFrame([(words[i] if i < len(words) else None,) for i in idx], "token string")
+
+
 SCORE_TASKS = ["fitness_A", "fitness_B", "dms_C"]
 
 
