@@ -902,9 +902,11 @@ def q_loss_weights(spark, d):
     return w.groupBy("major_group2", r6("weight").alias("weight")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _train_table(spark, d, fold_id=0):
-    return TR.training_table(_escape_tab(spark, d), _fitness_tab(spark, d), WEIGHT_ARGS["cutoff"], WEIGHT_ARGS["thresh"],
-                             WEIGHT_ARGS["fitness_mult"], WEIGHT_ARGS["recent_mult"], (), 5, fold_id, 13)
+def _train_table(spark, d, name="sliding", **changes):
+    """A run's table on the stand-ins: all targets, dates within the line items'."""
+    texts = S.backbones(spark, d).withColumnRenamed("target", "base")
+    changes = {"target": None, "exclude_clades": (), **WEIGHT_ARGS, **changes}
+    return TR.training_variant(name, S.escape_rows(spark, d), S.fitness_refs(spark, d), texts, ["N"], 300, ["P"], **changes)
 
 
 TRAIN_SQL = ALL_TAB_SQL + """,
@@ -930,6 +932,29 @@ def q_training_table(spark, d):
     return t.groupBy("split_class", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
+PAST_SQL = "past AS (SELECT * FROM cls WHERE date_first < DATE '1999-01-01' OR date_first IS NULL)"
+
+
+@register("training_sliding", TRAIN_SQL.replace(PAST_SQL, PAST_SQL[:-1].replace("WHERE ", "WHERE (") + ") AND (clade IS NULL OR clade NOT IN ('1-URGENT', '5-LOW')))"))
+def q_training_sliding(spark, d):
+    """Two clades are no part of the past, but of the future."""
+    t = _train_table(spark, d, exclude_clades=("1-URGENT", "5-LOW"))
+    return t.groupBy("split_class", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("training_rows", ALL_TAB_SQL.replace("<= 5 AND", "<= 0 AND").replace("<= 30)", "<= 2)") + """,
+seqs AS (SELECT seq, row_number() OVER (ORDER BY seq COLLATE "binary") - 1 AS seq_id, length(seq) - length(replace(seq, 'X', '')) AS count_x,
+  length(seq) - length(replace(seq, '-', '')) AS count_hyphen FROM (SELECT DISTINCT seq FROM cat2)),
+tasks AS (SELECT data_group, row_number() OVER (ORDER BY data_group COLLATE "binary") - 1 AS task_id FROM (SELECT DISTINCT data_group FROM cat2))
+SELECT wt.data_group, task_id, seq_id, md5(seqs.seq) AS seq_md5, count_x::INT AS count_x, count_hyphen::INT AS count_hyphen, round(weight, 6) AS weight, round(outcome, 6) AS outcome, count(*) AS n
+FROM wt JOIN seqs USING (seq) JOIN tasks USING (data_group) GROUP BY ALL""")
+def q_training_rows(spark, d):
+    """Ids, counts, weights and outcomes of all rows, with gap limits that drop sequences."""
+    t = _train_table(spark, d, max_x=0, max_gap=2)
+    cols = ["data_group", "task_id", "seq_id", F.md5("seq").alias("seq_md5"), F.col("count_x").cast("int").alias("count_x"), F.col("count_hyphen").cast("int").alias("count_hyphen"), r6("weight").alias("weight"), r6("outcome").alias("outcome")]
+    return t.select(*cols).groupBy("data_group", "task_id", "seq_id", "seq_md5", "count_x", "count_hyphen", "weight", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _model_frame(spark, d):
     """S9: part-name tokens + size bucket as country -> retail price; data_class by partkey hash."""
     p = S.table(spark, d, "part")

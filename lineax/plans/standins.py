@@ -115,19 +115,19 @@ def escape_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # S6
-def fitness_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(relative_re, country, seq, date_first, clade, pango, l_orderkey, l_linenumber, l_partkey)."""
+def fitness_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(relative_re, country, base, date_first, clade, pango, l_orderkey, l_linenumber, l_partkey); base: name of the sequence."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
                                                   "l_shipdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
     cr = region_of_customer(spark, sf_dir)
-    seqs = backbones(spark, sf_dir)
-    j = (li.join(o, li.l_orderkey == o.o_orderkey).join(cr, o.o_custkey == cr.c_custkey)
-         .join(seqs, backbone_of_part() == seqs.target))
+    known = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("base"))
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(cr, o.o_custkey == cr.c_custkey)
+    j = j.withColumn("base", backbone_of_part()).join(known, "base", "left_semi")
     return j.select(
         (F.col("l_extendedprice") / F.lit(10000.0)).alias("relative_re"),
         F.col("r_name").alias("country"),
-        F.col("seq"),
+        F.col("base"),
         F.col("l_shipdate").cast("date").alias("date_first"),
         F.col("o_orderpriority").alias("clade"),
         F.col("o_orderstatus").alias("pango"),
@@ -135,6 +135,14 @@ def fitness_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fitness_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``fitness_refs`` with the sequence's text as seq."""
+    rows = fitness_refs(spark, sf_dir)
+    seqs = backbones(spark, sf_dir)
+    out = ["seq" if c == "base" else c for c in rows.columns]
+    return rows.join(seqs, rows.base == seqs.target).select(*out)
+
+
 # S8
 def header_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample_id, header): full headers, with pieces missing for some keys to exercise parsing."""

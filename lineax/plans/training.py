@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lineax.functions import columns as C
 from lineax.operators import aggs, filters, joins, models, setops, windows
 from lineax.operators.features import task_vectors
-from lineax.operators.ordinal import with_global_ordinal
+from lineax.operators.sequences import base_table, edit_dictionary, edit_digests
 from lineax.session import materialize
 
 # Fixed values of the reference runs.
@@ -27,15 +27,15 @@ VARIANTS = {
 
 
 # 97
-def escape_task_table(escape: DataFrame, refs: DataFrame, targets: Sequence[str] | None = None,
+def escape_task_edits(escape: DataFrame, targets: Sequence[str] | None = None,
                       negative_sources: Sequence[str] = NEGATIVE_SOURCES, ic50_max: float = 10.0,
                       q: float = 0.95) -> DataFrame:
-    """(group, data_group, outcome, seq) from antibody-escape measurements.
+    """(group, data_group, outcome, base, position, mutant) from antibody-escape measurements.
 
     Filters come before scaling: source exclusion (NULL sources kept), IC50 < max,
     target list.  Outcome = log10(escape * potency + 1) scaled per epitope group
-    by (x - min) / (p95 - min), clipped to [0, 1].  The sequence is the target's
-    backbone with the mutant residue substituted at the (gapped) site.
+    by (x - min) / (p95 - min), clipped to [0, 1].  The sequence is an edit of
+    its target's backbone (``operators.sequences``).
     """
     e = filters.exclude_members(escape, "source", negative_sources)
     e = filters.threshold_filter(e, "ic50", "<", ic50_max)
@@ -47,6 +47,15 @@ def escape_task_table(escape: DataFrame, refs: DataFrame, targets: Sequence[str]
     e = C.potency_weighted_escape(e, "mut_escape", "neg_log_ic50", "mut_escape_w")
     e = C.log_transform(e, "mut_escape_w", "outcome_pre", base=10, pseudo=1.0)
     e = windows.scale_within_group(e, "group", "outcome_pre", q, "outcome")
+    return e.select("group", "data_group", "outcome", F.col("target").alias("base"), "position", "mutant")
+
+
+def escape_task_table(escape: DataFrame, refs: DataFrame, targets: Sequence[str] | None = None,
+                      negative_sources: Sequence[str] = NEGATIVE_SOURCES, ic50_max: float = 10.0,
+                      q: float = 0.95) -> DataFrame:
+    """(group, data_group, outcome, seq): the rows of ``escape_task_edits`` with the mutant residue
+    substituted at the (gapped) site of the target's backbone."""
+    e = escape_task_edits(escape, targets, negative_sources, ic50_max, q).withColumnRenamed("base", "target")
     e = joins.backbone_join(e, refs.select("target", "seq"), "target")
     e = C.apply_substitution(e, "seq", "position", "mutant")
     return e.select("group", "data_group", "outcome", "seq")
@@ -54,8 +63,9 @@ def escape_task_table(escape: DataFrame, refs: DataFrame, targets: Sequence[str]
 
 # 98
 def fitness_task_table(fitness: DataFrame, min_country: int = 300, pango_members: Sequence[str] = BA286_PANGO,
-                       new_clade: str = "BA.2.86", lo: float = 0.001, hi: float = 0.999) -> DataFrame:
-    """(group, data_group, outcome, seq, date_first, clade, country) from per-country fitness rows.
+                       new_clade: str = "BA.2.86", lo: float = 0.001, hi: float = 0.999, seq: str = "seq") -> DataFrame:
+    """(group, data_group, outcome, seq, date_first, clade, country) from per-country fitness rows;
+    ``seq`` names the column of the sequence, or of its name.
 
     Countries with fewer than ``min_country`` rows go first; the global
     quantiles of ln(relative_re) are taken after that filter.
@@ -66,53 +76,40 @@ def fitness_task_table(fitness: DataFrame, min_country: int = 300, pango_members
     f = windows.quantile_normalise(f, "relative_re_log", lo, hi, "outcome")
     f = C.tag_source(f, "group", "fitness")
     f = f.withColumn("data_group", F.concat(F.lit("fitness_"), F.col("country")))
-    return f.select("group", "data_group", "outcome", "seq", F.col("date_first").cast("date").alias("date_first"),
+    return f.select("group", "data_group", "outcome", seq, F.col("date_first").cast("date").alias("date_first"),
                     "clade", "country")
 
 
-def sequence_dictionary(seqs: DataFrame, seq: str = "seq", max_x: int = 5, max_gap: int = 30) -> DataFrame:
-    """(seq_h, seq_m, seq, seq_id, count_x, count_hyphen): one row per distinct sequence that
-    passes the gap filter, ids 0.. in sorted (code-point) order.
-
-    Sequences are grouped by a 64-bit hash plus md5 of the text with map-side
-    combining, so each distinct sequence crosses the network about once; two
-    different texts with the same digests would fail the job rather than merge.
-    """
-    d = seqs.select(F.xxhash64(seq).alias("seq_h"), F.md5(seq).alias("seq_m"), F.col(seq).alias("seq"))
-    d = d.groupBy("seq_h", "seq_m").agg(F.min("seq").alias("seq"), F.max("seq").alias("_other"))
-    same = F.when(F.col("seq") == F.col("_other"), F.col("seq")).otherwise(
-        F.raise_error(F.lit("sequence digest collision")).cast("string"))
-    d = C.gap_counts(d.withColumn("seq", same).drop("_other"), "seq")
-    d = filters.gap_filter(d, max_x, max_gap)
-    return with_global_ordinal(d, ["seq"], "seq_id")
-
-
 # 99
-def training_table(escape_tab: DataFrame, fitness_tab: DataFrame, cutoff: str, thresh: str,
+def training_table(escape_edits: DataFrame, fitness_refs: DataFrame, texts: DataFrame, cutoff: str, thresh: str,
                    fitness_mult: float = 2.0, recent_mult: float = 1.0, exclude_clades: Sequence[str] = (),
                    k: int = 5, fold_id: int = 0, seed: int = 13, max_x: int = 5, max_gap: int = 30) -> DataFrame:
     """Combined task rows with row_id, task_id, seq_id, weight, split_class and split.
 
+    ``escape_edits``: rows of ``escape_task_edits``; ``fitness_refs``: rows of
+    ``fitness_task_table(seq="base")``; ``texts``: (base, seq), the backbones and
+    sequences that they name.
+
     Order of steps: union → seeded numbering → gap filter → ids → weights →
     split class → cutoff split → clade exclusion (past rows only) → stratified folds
     (test = fold ``fold_id`` of ``k``; the rest re-split in 4, first = val).
     Rows on/after the cutoff are labelled ``future``.
 
-    Task rows travel with a digest of their sequence, never the text: the
-    text lives once in the sequence dictionary and is attached at the end.
+    Task rows travel with a digest of their sequence, never the text: texts are
+    built once per distinct sequence, in the dictionary, and attached at the end.
     """
-    cat = setops.union_by_name_fill(fitness_tab, escape_tab)
-    seqs = sequence_dictionary(cat.select("seq"), "seq", max_x, max_gap)
-    narrow = cat.select("group", "data_group", "outcome", "date_first", "clade", "country",
-                        F.xxhash64("seq").alias("seq_h"), F.md5("seq").alias("seq_m"))
-    narrow = windows.shuffle_and_number(
-        narrow, ["group", "data_group", "outcome", "seq_h", "seq_m", "date_first", "clade", "country"], seed, "row_id")
-    lookup = joins.checked_broadcast(seqs.select("seq_h", "seq_m", "seq_id", "count_x", "count_hyphen"))
-    narrow = narrow.join(lookup, ["seq_h", "seq_m"], "inner")
+    bases = base_table(texts)
+    cat = setops.union_by_name_fill(fitness_refs, escape_edits)
+    cols = ["group", "data_group", "outcome", "date_first", "clade", "country"]
+    narrow = materialize(edit_digests(cat, bases).select(*cols, "base", "position", "mutant", "z1", "z2"), "task_edits")
+    seqs = edit_dictionary(narrow, bases, max_x, max_gap)
+    narrow = windows.shuffle_and_number(narrow.select(*cols, "z1", "z2"), ["group", "data_group", "outcome", "z1", "z2", "date_first", "clade", "country"], seed, "row_id")
+    lookup = joins.checked_broadcast(seqs.select("z1", "z2", "seq_id", "count_x", "count_hyphen"))
+    narrow = narrow.join(lookup, ["z1", "z2"], "inner")
     narrow = windows.dense_ids(narrow, "data_group", "task_id")
     # Weights (one scalar aggregation), the fold keys and the final join all read
     # these rows: write them once instead of recomputing the ids three times.
-    narrow = materialize(narrow.drop("seq_h", "seq_m"), "task_rows")
+    narrow = materialize(narrow.drop("z1", "z2"), "task_rows")
     narrow = models.loss_weights(narrow, cutoff, thresh, fitness_mult, recent_mult)
     cls = F.when(F.col("major_group") == "fitness", F.concat(F.col("data_group"), F.lit("_"), F.col("clade"))) \
         .otherwise(F.col("data_group"))
@@ -125,6 +122,18 @@ def training_table(escape_tab: DataFrame, fitness_tab: DataFrame, cutoff: str, t
     return rows.join(seqs.select("seq_id", "seq"), "seq_id", "inner")
 
 
+def training_variant(name: str, escape: DataFrame, fitness: DataFrame, texts: DataFrame, negative_sources: Sequence[str] = NEGATIVE_SOURCES,
+                     min_country: int = 300, pango_members: Sequence[str] = BA286_PANGO, k: int = 5, fold_id: int = 0, seed: int = 13,
+                     max_x: int = 5, max_gap: int = 30, **changes) -> DataFrame:
+    """The training table of a reference run (``VARIANTS``), from escape measurements, fitness rows that
+    name their sequence in ``base``, and the texts; ``changes`` replace settings of the run."""
+    run = VARIANTS[name] | changes
+    edits = escape_task_edits(escape, [run["target"]] if run["target"] else None, negative_sources)
+    refs = fitness_task_table(fitness, min_country, pango_members, seq="base")
+    return training_table(edits, refs, texts, run["cutoff"], run["thresh"], run["fitness_mult"], run["recent_mult"], run["exclude_clades"],
+                          k, fold_id, seed, max_x, max_gap)
+
+
 def dedupe_cells(rows: DataFrame) -> DataFrame:
     """One label per (seq_id, task_id): the highest row id wins (last write)."""
     return aggs.dedupe_keep_first(rows, ["seq_id", "task_id"], [F.col("row_id")], keep="last")

@@ -1,7 +1,7 @@
 import numpy as np
 
 from lineax.operators import aggs
-from lineax.plans.training import sequence_dictionary
+from lineax.operators.sequences import base_table, edit_dictionary, edit_digests
 
 
 def test_grouped_exact_quantile_matches_numpy_with_hot_group(spark):
@@ -25,8 +25,9 @@ def test_filter_groups_literal_and_join_paths_agree(spark):
 
 
 def test_sequence_dictionary_sorted_ids_and_gap_filter(spark):
-    seqs = spark.createDataFrame([("MKV",), ("AAA",), ("MKV",), ("X" * 6 + "A",), ("B-C",)], "seq string")
-    d = {r.seq: (r.seq_id, r.count_x, r.count_hyphen) for r in sequence_dictionary(seqs).collect()}
+    bases = base_table(spark.createDataFrame([("a", "MKV"), ("b", "AAA"), ("c", "MKV"), ("d", "X" * 6 + "A"), ("e", "B-C")], "base string, seq string"))
+    rows = spark.createDataFrame([(x, None, None) for x in "abcdea"], "base string, position int, mutant string")
+    d = {r.seq: (r.seq_id, r.count_x, r.count_hyphen) for r in edit_dictionary(edit_digests(rows, bases), bases).collect()}
     assert d == {"AAA": (0, 0, 0), "B-C": (1, 0, 1), "MKV": (2, 0, 0)}
 
 

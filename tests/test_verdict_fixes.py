@@ -113,7 +113,7 @@ def test_quantile_of_repeated_values(spark):
 
 def test_clade_exclusion_keeps_the_future(spark):
     def counts(exclude):
-        rows = TR.training_table(R._escape_tab(spark, SF), R._fitness_tab(spark, SF), R.WEIGHT_ARGS["cutoff"], R.WEIGHT_ARGS["thresh"], exclude_clades=exclude)
+        rows = R._train_table(spark, SF, exclude_clades=exclude)
         return {(r.clade, r.future): r["count"] for r in rows.groupBy("clade", (F.col("split") == "future").alias("future")).count().collect()}
 
     everything = counts(())
