@@ -10,14 +10,14 @@ First pass, without context: a block is *good* or *bad* by link density,
 length and stop-word density, *near-good* or *short* where these don't settle
 it.  Second pass: undecided blocks take the label of the nearest decided
 blocks of their region; between a good and a bad one, near-good blocks are
-kept and short ones follow the nearer (good on a tie).  Regions are the page's
-article or main elements and the rest.  In an article a block can only turn
-bad by its links: its short paragraphs, headings and unknown languages stay,
-as nothing else inside it is called boilerplate.  If a page has an article or
-main element with text, only blocks inside such elements are candidates.
+kept and short ones follow the nearer (good on a tie).  If a page has an article
+or main element with text, only blocks inside such elements are candidates;
+there length and stop words make blocks good and links make them bad, parts that
+structure takes out count for no neighbour, and without any decided block all
+stay.
 
 Defined results: null or empty html gives an empty text; unclosed tags end
-with their parent; undecodable references stay as they are; repeated rows are
+with their parent; after a quote that never ends, tags end at the next ``>``; undecodable references stay as they are; repeated rows are
 extracted alike; other columns are not read unless carried.
 """
 
@@ -52,7 +52,9 @@ STOP_WORDS = frozenset(
     " le la les de des et un une est que qui dans pour pas sur au par ce il elle plus avec son se ne en du ou mais nous vous sont"
     " el los las y que en por con para una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre no se del".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+TOKEN = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+ENDS = {"<!--": "-->", "<![CDATA[": "]]>"}
+QUOTE_OR_END = re.compile("[\"'>]")
 ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPACE = re.compile(r"\s+")
 CONTENT_TAGS = frozenset(["article", "main"])
@@ -84,10 +86,71 @@ def _named_out(tag: str, attrs: str) -> bool:
     return False
 
 
+class Tags:
+    """Tags of a page in turn; work is in proportion to the page, however broken it is."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag, or -1. After a quote that never ends, quotes count for nothing."""
+        page, i = self.page, at
+        while self.quotes:
+            m = QUOTE_OR_END.search(page, i)
+            if m and m[0] == ">":
+                return m.start()
+            close = page.find(m[0], m.end()) if m else -1
+            if close < 0:
+                self.quotes = False
+            i = close + 1
+        return page.find(">", at)
+
+
+@dataclass
+class OpenTags:
+    """The open elements: a stack in which an inline element may close beneath others."""
+
+    stack: list[tuple[str, bool, bool] | None]
+    places: dict[str, list[int]]  # of each name, in order
+    block_places: list[int]
+
+    def push(self, entry: tuple[str, bool, bool]) -> None:
+        self.places.setdefault(entry[0], []).append(len(self.stack))
+        if entry[0] in BLOCK_TAGS:
+            self.block_places.append(len(self.stack))
+        self.stack.append(entry)
+
+    def last(self, tag: str) -> int:
+        at = self.places.get(tag)
+        return at[-1] if at else -1
+
+    def inmost(self) -> str:
+        while self.stack and self.stack[-1] is None:
+            self.stack.pop()
+        return self.stack[-1][0] if self.stack else ""
+
+    def close(self, tag: str) -> list[tuple[str, bool, bool]]:
+        """End the inmost ``tag``, and what is open in it; an inline element does not end the blocks begun in it."""
+        at = self.last(tag)
+        if at < 0:
+            return []
+        if tag not in BLOCK_TAGS and self.block_places and self.block_places[-1] > at:
+            entry, self.stack[at] = self.stack[at], None
+            self.places[tag].pop()
+            return [entry]
+        ended = [e for e in self.stack[at:] if e]
+        del self.stack[at:]
+        for e in ended:
+            self.places[e[0]].pop()
+            if e[0] in BLOCK_TAGS:
+                self.block_places.pop()
+        return ended
+
+
 def blocks(page: str) -> list[Block]:
     """The page's non-empty blocks in order."""
     found: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # (tag, silent, out)
+    tags, opened = Tags(page), OpenTags([], {}, [])
     depth = {"a": 0, "content": 0, "silent": 0, "out": 0, "heading": 0}
     text: list[str] = []
     linked = 0
@@ -108,15 +171,8 @@ def blocks(page: str) -> list[Block]:
         depth["out"] += step * out
 
     def close(tag: str) -> None:
-        at = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == tag), None)
-        if at is None:
-            return
-        if tag not in BLOCK_TAGS and any(t in BLOCK_TAGS for t, _, _ in open_tags[at + 1:]):
-            # an inline element does not end the blocks begun in it
-            count(*open_tags.pop(at), -1)
-            return
-        while len(open_tags) > at:
-            count(*open_tags.pop(), -1)
+        for entry in opened.close(tag):
+            count(*entry, -1)
 
     def say(raw: str) -> None:
         nonlocal linked
@@ -126,39 +182,41 @@ def blocks(page: str) -> list[Block]:
             if depth["a"]:
                 linked += len(plain.strip())
 
-    i = 0
-    while True:
-        m = TOKEN.search(page, i)
-        if not m:
-            say(page[i:])
-            break
-        say(page[i: m.start()])
-        i = m.end()
+    said = i = 0  # text is said up to the first, tags are read up to the second
+    while m := TOKEN.search(page, i):
         if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                say(m[0][9:].removesuffix("]]>"))
+            mark = ENDS.get(m[0], ">")
+            stop = page.find(mark, m.end())
+            say(page[said: m.start()])
+            if m[0] == "<![CDATA[":
+                say(page[m.end(): stop if stop >= 0 else len(page)])
+            said = i = stop + len(mark) if stop >= 0 else len(page)
             continue
-        tag = m[2].lower()
+        stop = tags.end(m.end())
+        if stop < 0:  # no tag ends any more
+            break
+        say(page[said: m.start()])
+        said = i = stop + 1
+        tag, attrs = m[2].lower(), page[m.end(): stop]
         if tag in BLOCK_TAGS:
             flush()
         if m[1]:
             close(tag)
             continue
-        if tag in BLOCK_TAGS and tag != "br" and open_tags and open_tags[-1][0] == "p":
+        if tag in BLOCK_TAGS and tag != "br" and opened.inmost() == "p":
             close("p")
         if tag in RAW_TAGS:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, i)
-            i = end.end() if end else len(page)
+            said = i = end.end() if end else len(page)
             continue
-        if tag in VOID_TAGS or m[3].endswith("/") and tag not in BLOCK_TAGS:
+        if tag in VOID_TAGS or attrs.endswith("/") and tag not in BLOCK_TAGS:
             continue
-        if tag == "li":
-            last = next((t for t, _, _ in reversed(open_tags) if t in ("li", "ul", "ol")), "")
-            if last == "li":
-                close("li")
-        entry = (tag, tag in SILENT_TAGS, _named_out(tag, m[3]))
-        open_tags.append(entry)
+        if tag == "li" and opened.last("li") > max(opened.last("ul"), opened.last("ol")):
+            close("li")
+        entry = (tag, tag in SILENT_TAGS, _named_out(tag, attrs))
+        opened.push(entry)
         count(*entry, 1)
+    say(page[said:])
     flush()
     return found
 
@@ -186,7 +244,8 @@ def classify(found: list[Block], max_links: float = 0.33, short: int = 70, long:
 
 def settle(found: list[Block], labels: list[str]) -> list[bool]:
     """Second pass: whether each block is text."""
-    decided: list[tuple[int, bool]] = [(i, x == "good") for i, x in enumerate(labels) if x in ("good", "bad")]
+    # inside an article, what its structure takes out (a share bar between paragraphs) says nothing of its neighbours
+    decided: list[tuple[int, bool]] = [(i, x == "good") for i, (b, x) in enumerate(zip(found, labels, strict=True)) if x == "good" or x == "bad" and not (b.out and b.content)]
     before: list[tuple[int, bool] | None] = []
     last = None
     known = dict(decided)
@@ -204,13 +263,11 @@ def settle(found: list[Block], labels: list[str]) -> list[bool]:
     for i, (b, x) in enumerate(zip(found, labels, strict=True)):
         if x in ("good", "bad"):
             out.append(x == "good")
-        elif b.content:
-            out.append(True)  # nothing calls it boilerplate
         else:
             p, n = before[i], after[i]
             sides = [s for s in (p, n) if s]
             if not sides:
-                out.append(x == "near")
+                out.append(x == "near" or b.content > 0)  # an article is text where nothing says otherwise
             elif len(sides) == 1 or p[1] == n[1]:
                 out.append(sides[0][1])
             else:
