@@ -10,8 +10,11 @@ Slots are dealt to tasks by ranges of whole shards; each task streams its
 shards in slot order into files of fixed stride: sequence of slot s is at byte
 (s mod stride) * seq_len * width of shard s div stride.  A shard is written
 under an attempt's own name and moved to its final name when whole, so a lost
-executor's work is done again without trace, and a rerun over the same token
-table skips shards that are there in full size.
+executor's work is done again without trace.  Shards carry the *edition* in
+their names: a digest of key, layout and every sequence of the token table.
+A rerun of the same edition (``tokens`` given) skips shards that are there in
+full size; another key or text is another edition and never meets old files.
+A manifest, written last, names the edition that readers take.
 
 The token table is written once (each sequence compressed), which
 freezes the numbering i = rows of earlier partitions + position, whatever is
@@ -24,6 +27,8 @@ are repeated texts; the last sequence of a batch of texts is filled up with
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import re
 import uuid
@@ -42,6 +47,7 @@ from lineax.session import materialize
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 U = np.uint64
 ROUNDS = 6
+MANIFEST = "manifest.json"
 
 
 def _network(x: np.ndarray, half: int, keys: list[int]) -> np.ndarray:
@@ -101,13 +107,13 @@ def token_table(docs: DataFrame, id_col: str, text_col: str, model_path: str, se
     return materialize(rows.withColumn("at", F.monotonically_increasing_id()), "tokens")
 
 
-def numbered(tokens: DataFrame, key: int) -> tuple[DataFrame, int]:
-    """Sequences with their global ``slot``, and their number."""
+def numbered(tokens: DataFrame, key: int) -> tuple[DataFrame, int, str]:
+    """Sequences with their global ``slot``, their number, and a digest of them all."""
     rows = tokens.withColumn("pid", F.shiftright("at", 33))
-    sizes = rows.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("at", "blob").cast("decimal(38,0)")).alias("h"))
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition of the token table
-    offsets = materialize(sizes.select("pid", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off")), "offsets")
-    n = offsets.agg(F.sum("n")).first()[0] or 0
+    offsets = materialize(sizes.select("pid", "n", "h", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off")), "offsets")
+    n, digest = offsets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("h").cast("string"), F.lit(""))).first()
     index = rows.join(F.broadcast(offsets.select("pid", "off")), "pid").withColumn("i", F.col("off") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,14 +122,14 @@ def numbered(tokens: DataFrame, key: int) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(permute(i, n, key))], names=["doc_ids", "n_tokens", "blob", "slot"])
 
     kind = tokens.schema["doc_ids"].dataType.simpleString()
-    return index.select("doc_ids", "n_tokens", "blob", "i").mapInArrow(run, f"doc_ids {kind}, n_tokens int, blob binary, slot long"), n
+    return index.select("doc_ids", "n_tokens", "blob", "i").mapInArrow(run, f"doc_ids {kind}, n_tokens int, blob binary, slot long"), n, digest
 
 
-def shard_name(shard: int) -> str:
-    return f"shard-{shard:08d}.bin"
+def shard_name(shard: int, edition: str) -> str:
+    return f"shard-{edition}-{shard:08d}.bin"
 
 
-def write_shards(rows: DataFrame, n: int, out_dir: str, seq_len: int, stride: int, dtype: str) -> DataFrame:
+def write_shards(rows: DataFrame, n: int, out_dir: str, seq_len: int, stride: int, dtype: str, edition: str) -> DataFrame:
     """Write every shard under ``out_dir``; return one row per sequence: slot, shard, byte offset, n_tokens, doc_ids."""
     width = np.dtype(dtype).itemsize * seq_len
     n_shards = max(1, -(-n // stride))
@@ -139,7 +145,7 @@ def write_shards(rows: DataFrame, n: int, out_dir: str, seq_len: int, stride: in
         def close() -> None:
             if sink is not None:
                 sink.close()
-                store.move(temp, f"{base}/{shard_name(open_shard)}")
+                store.move(temp, f"{base}/{shard_name(open_shard, edition)}")
 
         for b in batches:
             slots = b.column(3).to_numpy()
@@ -147,9 +153,9 @@ def write_shards(rows: DataFrame, n: int, out_dir: str, seq_len: int, stride: in
                 if slot // stride != open_shard:
                     close()
                     open_shard, sink = slot // stride, None
-                    info = store.get_file_info(f"{base}/{shard_name(open_shard)}")
+                    info = store.get_file_info(f"{base}/{shard_name(open_shard, edition)}")
                     if info.type == fs.FileType.NotFound or info.size != width * min(stride, n - open_shard * stride):
-                        temp = f"{base}/.{shard_name(open_shard)}-{uuid.uuid4().hex}"
+                        temp = f"{base}/.{shard_name(open_shard, edition)}-{uuid.uuid4().hex}"
                         sink = store.open_output_stream(temp)
                 if sink is not None:
                     sink.write(unpacker.decompress(blob.as_buffer()))
@@ -162,28 +168,53 @@ def write_shards(rows: DataFrame, n: int, out_dir: str, seq_len: int, stride: in
 
 
 def materialise_training_order(docs: DataFrame, out_dir: str, key: int, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT_MODEL,
-                               seq_len: int = 4096, stride: int = 1024, end_id: int = 2, pad_id: int = 0, dtype: str = "uint16") -> DataFrame:
-    """Tokenise, number, permute and write; returns the index of sequences (written once beside the shards)."""
+                               seq_len: int = 4096, stride: int = 1024, end_id: int = 2, pad_id: int = 0, dtype: str = "uint16", tokens: DataFrame | None = None) -> DataFrame:
+    """Tokenise, number, permute and write; returns the index of sequences (written once beside the shards).
+
+    ``tokens``: a table of ``token_table`` that an earlier, broken-off call has written; ``docs`` is then not read.
+    """
     from pyarrow import fs
 
     out_dir = re.sub(r"^file:/+", "file:///", out_dir)
     store, base = fs.FileSystem.from_uri(out_dir)
     store.create_dir(base, recursive=True)
-    tokens = token_table(docs, id_col, text_col, model_path, seq_len, end_id, pad_id, dtype)
-    rows, n = numbered(tokens, key)
-    return materialize(write_shards(rows, n, out_dir, seq_len, stride, dtype), "index")
+    if tokens is None:
+        tokens = token_table(docs, id_col, text_col, model_path, seq_len, end_id, pad_id, dtype)
+    rows, n, digest = numbered(tokens, key)
+    layout = {"key": key, "n": n, "seq_len": seq_len, "stride": stride, "dtype": dtype, "tokens": digest}
+    edition = hashlib.sha256(json.dumps(layout, sort_keys=True).encode()).hexdigest()[:16]
+    index = materialize(write_shards(rows, n, out_dir, seq_len, stride, dtype, edition), "index")
+    temp = f"{base}/.manifest-{uuid.uuid4().hex}"
+    with store.open_output_stream(temp) as f:
+        f.write(json.dumps(layout | {"edition": edition}, sort_keys=True).encode())
+    store.move(temp, f"{base}/{MANIFEST}")
+    return index
+
+
+def read_manifest(out_dir: str) -> dict:
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", out_dir))
+    with store.open_input_file(f"{base}/{MANIFEST}") as f:
+        return json.loads(f.read())
+
 
+def read_sequences(out_dir: str, first_slot: int, count: int, **expected) -> Iterator[np.ndarray]:
+    """Sequences of consecutive slots from any slot on: one open file and one sequence in memory.
 
-def read_sequences(out_dir: str, first_slot: int, count: int, seq_len: int = 4096, stride: int = 1024, dtype: str = "uint16") -> Iterator[np.ndarray]:
-    """Sequences of consecutive slots from any slot on: one open file and one sequence in memory."""
+    ``expected``: settings (key, seq_len, stride, dtype ...) that the manifest must have.
+    """
     from pyarrow import fs
 
     store, base = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", out_dir))
-    width = np.dtype(dtype).itemsize * seq_len
+    m = read_manifest(out_dir)
+    if wrong := {k: m.get(k) for k, v in expected.items() if m.get(k) != v}:
+        raise ValueError(f"the shards were written with {wrong}")
+    stride, width = m["stride"], np.dtype(m["dtype"]).itemsize * m["seq_len"]
     slot = first_slot
     while slot < first_slot + count:
-        with store.open_input_file(f"{base}/{shard_name(slot // stride)}") as f:
+        with store.open_input_file(f"{base}/{shard_name(slot // stride, m['edition'])}") as f:
             f.seek(slot % stride * width)
             for _ in range(min(stride - slot % stride, first_slot + count - slot)):
-                yield np.frombuffer(f.read(width), dtype=dtype)
+                yield np.frombuffer(f.read(width), dtype=m["dtype"])
                 slot += 1
