@@ -245,7 +245,7 @@ def test_urls(spark):
 
     got = sorted(map(tuple, urls.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict").collect()))
     assert got == sorted([(1, "a.example.org", "/en/5", "org/", "allow"), (2, "b.example.org", "/es/x", "example.org/es/", "block"), (3, "c.net", "/de/1", None, "block"), (4, "d.net", "/z", None, "block"), (4, "d.net", "/z", None, "block"),
-                          (5, "e.net", "/1", None, "allow"), (6, "", "", None, "allow"), (7, "", "", None, "allow"), (8, "x.com", "/de/1", "com/de/", "block"), (9, "org", "", None, "allow"), (10, "morg", "/", None, "allow")], key=str) or got == sorted(got)
+                          (5, "e.net", "/1", None, "allow"), (6, "", "", None, "allow"), (7, "", "", None, "allow"), (8, "x.com", "/de/1", "com/de/", "block"), (9, "org", "", None, "allow"), (10, "morg", "/", None, "allow")])
     by = {r[0]: r[4] for r in got}
     assert by == {1: "allow", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "allow", 10: "allow"}
     logged = spark.createDataFrame([("http://e.net/1", "http://x.com/de/2"), (None, "http://x.com/de/2")], "src string, dst string")
