@@ -15,6 +15,14 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the like of it that no column of ``df`` has (columns' names don't differ by case alone)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def unit_hash(*cols: Column | str, salt: str = "") -> Column:
     """A number in [0, 1) from md5 (the same in SQL engines); null counts as its own value."""
     parts = [F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("\x00")) for c in cols]

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineax.llm.common import WORD
+from lineax.llm.common import WORD, free_name
 from lineax.session import materialize
 
 TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -68,11 +68,12 @@ def removals(docs: DataFrame, id_col: str, site_col: str, text_col: str, min_sit
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = 5, report: bool = False) -> DataFrame:
     """``docs`` with cross-site lines taken out of the text; ``report`` adds n_lines_removed (a column of that name is replaced)."""
-    found = materialize(removals(docs, id_col, site_col, text_col, min_sites), "removals").select(F.col("row").alias("_r"), F.col("gone").alias("_gone")).hint("merge")  # the same plan at every size
-    rows = docs.withColumn("_row", _row(id_col, text_col)).join(found, F.col("_row") == F.col("_r"), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.get("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
+    row, other, gone = (free_name(docs, c) for c in ("_row", "_other", "_gone"))
+    found = materialize(removals(docs, id_col, site_col, text_col, min_sites), "removals").select(F.col("row").alias(other), F.col("gone").alias(gone)).hint("merge")  # the same plan at every size
+    rows = docs.withColumn(row, _row(id_col, text_col)).join(found, F.col(row) == F.col(other), "left")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.get(gone, i)), "\n")
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)
     out = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if not (report and c == "n_lines_removed")]
     if report:
-        out.append(F.coalesce(F.size(F.filter("_gone", lambda x: x)), F.lit(0)).cast("long").alias("n_lines_removed"))
+        out.append(F.coalesce(F.size(F.filter(gone, lambda x: x)), F.lit(0)).cast("long").alias("n_lines_removed"))
     return rows.select(*out)
