@@ -85,6 +85,28 @@ def haplotype_string(df: DataFrame, key: str, mut: str = "mut", out: str = "hapl
     return df.groupBy(key).agg(F.when(F.size(arr) == 0, F.lit(na)).otherwise(joined).alias(out))
 
 
+#: Modulus and salts of set digests.
+DIGEST_MODULUS = (1 << 61) - 1
+DIGEST_SALTS = {"z1": 307, "z2": 401}
+
+
+def set_digest(items: Column) -> list[Column]:
+    """z1 and z2 of an array of distinct strings: sums of the items' hashes, so equal sets in any order have equal
+    digests, and an array of a row needs neither sorting nor joining to be told from another."""
+    def total(salt: int) -> Column:
+        terms = F.transform(items, lambda x: F.pmod(F.xxhash64(x, F.lit(salt)), F.lit(DIGEST_MODULUS)))
+        return F.aggregate(terms, F.lit(0).cast("long"), lambda acc, x: (acc + x) % F.lit(DIGEST_MODULUS))
+
+    return [total(salt).alias(z) for z, salt in DIGEST_SALTS.items()]
+
+
+def set_dictionary(rows: DataFrame, items: str, out: str = "haplotype", sep: str = ", ", na: str = "NA") -> DataFrame:
+    """(z1, z2, out): the canonical string of each distinct set of ``rows`` (z1, z2 and the array ``items``), built once."""
+    one = rows.groupBy(*DIGEST_SALTS).agg(F.first(items).alias("_i"))
+    text = F.array_join(F.array_sort("_i"), sep)
+    return one.select(*DIGEST_SALTS, F.when(F.size("_i") == 0, F.lit(na)).otherwise(text).alias(out))
+
+
 # 51
 def first_seen_quantile(df: DataFrame, key: str | Sequence[str], date: str, p: float = 0.01,
                         out: str = "date_first") -> DataFrame:

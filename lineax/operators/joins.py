@@ -2,7 +2,9 @@
 
 Broadcast is left to Spark's size estimate and to AQE's runtime statistics
 (which re-plans to a broadcast hash join only when the measured side is small);
-nothing is force-broadcast unless its size is bounded by construction.
+nothing is force-broadcast unless its size is bounded by construction or was
+measured.  Beyond that bound, ``skew_join`` deals keys that hold a large share of
+the rows over many tasks.
 """
 
 from __future__ import annotations
@@ -57,11 +59,12 @@ def attach_sequence(meta: DataFrame, fasta: DataFrame, name: str = "seq_name",
 
     ``fasta`` must have one row per name (``read_fasta(dup='first')``).
     """
-    f = fasta.select(F.col(fasta_name).alias("__name"), F.col(seq).alias("__seq"))
-    j = meta.join(f, meta[name] == f["__name"], "left")
+    f = fasta.select(F.col(fasta_name).alias(name), F.col(seq).alias("__seq"))
+    cols = meta.columns
+    j = skew_join(meta, f, [name], "left").select(*cols, "__seq")
     checked = F.when(F.col("__seq").isNull(),
                      F.raise_error(F.concat(F.lit("no sequence for name: "), F.col(name).cast("string"))))
-    return j.withColumn(seq, F.coalesce(F.col("__seq"), checked.cast("string"))).drop("__name", "__seq")
+    return j.withColumn(seq, F.coalesce(F.col("__seq"), checked.cast("string"))).drop("__seq")
 
 
 # 42
@@ -83,6 +86,12 @@ def join_predictions(pred: DataFrame, rows: DataFrame, key: str = "row_id") -> D
     return pred.join(rows, key, "inner")
 
 
+def few_keys(keys: DataFrame, most: int = 10_000) -> list | None:
+    """The values of a one-column table of distinct keys, or None if there are more than ``most``."""
+    fetched = [r[0] for r in keys.limit(most + 1).collect()]
+    return fetched if len(fetched) <= most else None
+
+
 def keys_filter(df: DataFrame, keys: DataFrame, col: str, null_safe: bool = False,
                 max_literal: int = 10_000) -> DataFrame:
     """Rows of ``df`` whose ``col`` is among ``keys`` (one column, distinct values).
@@ -92,8 +101,8 @@ def keys_filter(df: DataFrame, keys: DataFrame, col: str, null_safe: bool = Fals
     no skew from a hot key).  Otherwise ``df`` is semi-joined with the keys.
     With ``null_safe`` a NULL key matches NULL values.
     """
-    fetched = [r[0] for r in keys.limit(max_literal + 1).collect()]
-    if len(fetched) <= max_literal:
+    fetched = few_keys(keys, max_literal)
+    if fetched is not None:
         vals = [v for v in fetched if v is not None]
         cond = F.col(col).isin(vals) if vals else F.lit(False)
         if null_safe and len(vals) < len(fetched):
@@ -102,12 +111,60 @@ def keys_filter(df: DataFrame, keys: DataFrame, col: str, null_safe: bool = Fals
     if null_safe:
         k = keys.select(F.col(keys.columns[0]).alias("__k"))
         return df.join(k, df[col].eqNullSafe(k["__k"]), "left_semi")
-    return df.join(keys.withColumnRenamed(keys.columns[0], col), col, "left_semi")
+    return skew_join(df, keys.withColumnRenamed(keys.columns[0], col), [col], "left_semi").select(*df.columns)
+
+
+def heavy_keys(df: DataFrame, on: Sequence[str], share: float, tracked: int = 4096) -> list[int]:
+    """Hashes (``xxhash64``) of non-null keys with about ``share`` of all rows or more, by a frequent-items
+    sketch that tasks build and the aggregate merges; at most 1 / share of them."""
+    h = F.when(~key_is_null(on), F.xxhash64(*on)).alias("h")
+    k = min(tracked // 4, max(1, int(2 / share)))
+    n, top = df.select(h).agg(F.count(F.lit(1)), F.expr(f"approx_top_k(h, {k}, {tracked})")).first()
+    return [r["item"] for r in top if r["item"] is not None and r["count"] >= share * n]
+
+
+def key_is_null(on: Sequence[str]) -> Column:
+    return reduce(Column.__or__, [F.col(c).isNull() for c in on])
+
+
+def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int | None = None,
+              share: float | None = None) -> DataFrame:
+    """``big`` joined with ``small`` on equal ``on`` columns (inner, left or left_semi), hot keys of ``big`` dealt over many tasks.
+
+    Keys with at least ``share`` of the rows (default: half a partition's) are found first; their rows in ``big``
+    get one of ``salts`` numbers and their rows in ``small`` one copy of each.  All other rows are joined plainly,
+    and rows without a key, which match nothing, are spread by the number alone.  ``big`` is read twice.
+    """
+    if how not in ("inner", "left", "left_semi"):
+        raise ValueError(f"{how} joins are not dealt over tasks")
+    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = salts or max(2, min(64, parts))
+    hot = heavy_keys(big, on, share or max(1e-3, 0.5 / parts))
+    h = F.xxhash64(*on)
+    is_hot = h.isin(hot) if hot else F.lit(False)
+    number = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    dealt = big.withColumn("__salt", F.when(is_hot | key_is_null(on), number).otherwise(0))
+    if how != "left":
+        dealt = dealt.where(~key_is_null(on))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = small.where(~key_is_null(on)).withColumn("__salt", F.explode(copies))
+    return dealt.join(spread, [*on, "__salt"], how).drop("__salt")
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """``big`` joined with a dictionary: broadcast when it is measured to be small enough, else by ``skew_join``."""
+    if small_enough(small, max_rows, max_bytes):
+        return big.join(F.broadcast(small), list(on), how)
+    return skew_join(big, small, on, how)
 
 
 def checked_broadcast(small: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
-    """``small`` with a broadcast hint when it has at most ``max_rows`` rows and ``max_bytes`` bytes
-    (measured first), else as is.
+    """``small`` with a broadcast hint when it is ``small_enough``, else as is."""
+    return F.broadcast(small) if small_enough(small, max_rows, max_bytes) else small
+
+
+def small_enough(small: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    """Whether ``small`` has at most ``max_rows`` rows and ``max_bytes`` bytes (measured).
 
     Meant for tables already written once (the measure reads the same files as the join),
     e.g. id dictionaries.
@@ -122,4 +179,4 @@ def checked_broadcast(small: DataFrame, max_rows: int = 200_000, max_bytes: int
     # Only one number per row is moved, and one row more than allowed at most.
     widths = small.select(reduce(add, [width(c) for c in small.schema]).cast("long").alias("w")).limit(max_rows + 1)
     rows, size = widths.agg(F.count("w"), F.coalesce(F.sum("w"), F.lit(0))).first()
-    return F.broadcast(small) if rows <= max_rows and size <= max_bytes else small
+    return rows <= max_rows and size <= max_bytes

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lineax.functions.columns import clip01_col
 from lineax.operators.aggs import exact_quantile
-from lineax.operators.joins import checked_broadcast
+from lineax.operators.joins import lookup_join
 from lineax.operators.ordinal import with_global_ordinal, with_group_ordinal
 
 
@@ -88,8 +88,7 @@ def dense_ids(df: DataFrame, col: str, out: str = "id", base: int = 0, prefix: s
     code = F.col("__o") + F.lit(base)
     code = F.concat(F.lit(prefix), code.cast("string")) if prefix is not None else code
     ranked = ranked.select(col, code.alias(out))
-    # The dictionary is written once; broadcast it only after counting it.
-    return df.join(checked_broadcast(ranked), col, "left")
+    return lookup_join(df, ranked, [col], "left")
 
 
 # 69

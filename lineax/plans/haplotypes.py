@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lineax.functions.columns import day_index_and_bin
 from lineax.operators import aggs, filters, growth, joins, windows
+from lineax.operators.ordinal import with_global_ordinal
 from lineax.session import materialize
 
 
@@ -51,11 +52,8 @@ def build_haplotypes(samples: DataFrame, muts: DataFrame, min_mut: int = 100, mi
     each = per.select(name, "copies", F.explode_outer("muts").alias("m")).select(name, "copies", "m.mut", "m.n")
     counts = each.groupBy("mut").agg(F.sum(F.col("copies") * F.coalesce("n", F.lit(1))).alias("rows"))
     frequent = counts.where(F.col("rows") > min_mut).select("mut")
-    # frequent has one row per mutation, so the NULL-safe inner join is a NULL-safe filter.
-    kept = joins.keys_filter(each.select(name, "mut"), frequent, "mut", null_safe=True)
-    # One row per sample; read twice (ids, join back), so cut its lineage once.
-    hap = materialize(aggs.haplotype_string(kept, name, "mut", "haplotype"), "haplotypes")
-    hap = windows.dense_ids(hap, "haplotype", "hap_id", base=1, prefix="hap_")
+    kept = _frequent_sets(per, frequent, name)
+    hap = _with_ids(kept, "haplotype", "hap_id", "hap_").select(name, "haplotype", "hap_id")
     hap = joins.inner_join_keep_multiplicity(hap, samples.select(name, country), name)
     common = aggs.count_having(hap, ["hap_id", country], min_hap).select("hap_id").distinct()
     return joins.keys_filter(hap, common, "hap_id")
@@ -73,10 +71,36 @@ def build_all_mutation_haplotypes(samples: DataFrame, muts: DataFrame, gene: str
         per = sample_mutations(samples, muts, gene, name)
     else:
         per = joins.semi_join(per_sample, samples.select(name), name)
-    text = F.array_join(F.array_sort(F.transform("muts", lambda m: m["mut"])), ", ")
-    hap = per.select(name, F.when(F.size("muts") == 0, F.lit("NA")).otherwise(text).alias("haplotype_all"))
-    hap = materialize(hap, "haplotypes_all")
-    return windows.dense_ids(hap, "haplotype_all", "hap_all_id", base=1, prefix="hap_all_")
+    sets = per.select(name, F.transform("muts", lambda m: m["mut"]).alias("set"))
+    return _with_ids(sets, "haplotype_all", "hap_all_id", "hap_all_").select(name, "haplotype_all", "hap_all_id")
+
+
+def _frequent_sets(per: DataFrame, frequent: DataFrame, name: str, max_literal: int = 10_000) -> DataFrame:
+    """(name, set) of the samples that have a frequent mutation, or none at all if that is frequent.
+
+    Few enough frequent mutations are literals, and each sample's array is filtered where it is, without a shuffle.
+    """
+    few = joins.few_keys(frequent, max_literal)
+    if few is None:
+        each = per.select(name, F.explode_outer(F.transform("muts", lambda m: m["mut"])).alias("mut"))
+        kept = joins.keys_filter(each, frequent, "mut", null_safe=True, max_literal=0)
+        return kept.groupBy(name).agg(F.collect_list("mut").alias("set"))
+    values = [v for v in few if v is not None]
+    own = F.transform("muts", lambda m: m["mut"])
+    sets = per.select(name, "muts", (F.filter(own, lambda m: m.isin(values)) if values else F.array().cast("array<string>")).alias("set"))
+    bare = (F.size("muts") == 0) if len(values) < len(few) else F.lit(False)
+    return sets.where((F.size("set") > 0) | bare).select(name, "set")
+
+
+def _with_ids(sets: DataFrame, text: str, ident: str, prefix: str) -> DataFrame:
+    """``sets`` (with an array ``set``) with the set's canonical string and its id, 1.. in the strings' order.
+
+    Rows are told apart by set digests; strings are made and sorted for distinct sets only.
+    """
+    coded = sets.select("*", *aggs.set_digest(F.col("set")))
+    named = with_global_ordinal(aggs.set_dictionary(coded, "set", text), [text], "_n", salt=False)
+    named = named.select(*aggs.DIGEST_SALTS, text, F.concat(F.lit(prefix), (F.col("_n") + 1).cast("string")).alias(ident))
+    return joins.lookup_join(coded.drop("set"), named, list(aggs.DIGEST_SALTS))
 
 
 @dataclass
@@ -120,7 +144,7 @@ def representative_table(stage: Stage, all_haps: DataFrame, coef_table: DataFram
     first = aggs.first_seen_quantile(rows, "hap_id", "collection_date", 0.01, "date_first")
     pair_counts = rows.groupBy("hap_id", "hap_all_id").agg(F.count(F.lit(1)).alias("n"))
     major = windows.top_one_per_group(pair_counts, "hap_id", "n", "hap_all_id").select("hap_id", "hap_all_id")
-    cand = rows.join(major, ["hap_id", "hap_all_id"], "inner")
+    cand = joins.lookup_join(rows, major, ["hap_id", "hap_all_id"])
     rep = windows.sample_one_per_group(cand.select("hap_id", "seq_name", "clade", "pango"), "hap_id", "seq_name", seed)
     info = stage.haplotypes.select("hap_id", "haplotype").distinct()
     rep = rep.join(info, "hap_id", "inner")

@@ -104,8 +104,7 @@ def training_table(escape_edits: DataFrame, fitness_refs: DataFrame, texts: Data
     narrow = materialize(edit_digests(cat, bases).select(*cols, "base", "position", "mutant", "z1", "z2"), "task_edits")
     seqs = edit_dictionary(narrow, bases, max_x, max_gap)
     narrow = windows.shuffle_and_number(narrow.select(*cols, "z1", "z2"), ["group", "data_group", "outcome", "z1", "z2", "date_first", "clade", "country"], seed, "row_id")
-    lookup = joins.checked_broadcast(seqs.select("z1", "z2", "seq_id", "count_x", "count_hyphen"))
-    narrow = narrow.join(lookup, ["z1", "z2"], "inner")
+    narrow = joins.lookup_join(narrow, seqs.select("z1", "z2", "seq_id", "count_x", "count_hyphen"), ["z1", "z2"])
     narrow = windows.dense_ids(narrow, "data_group", "task_id")
     # Weights (one scalar aggregation), the fold keys and the final join all read
     # these rows: write them once instead of recomputing the ids three times.
@@ -119,7 +118,7 @@ def training_table(escape_edits: DataFrame, fitness_refs: DataFrame, texts: Data
         past = filters.exclude_members(past, "clade", exclude_clades)
     past = windows.fold_split(past, fold_id, "split_class", ["row_id"], k, 4, seed, "split")
     rows = past.unionByName(future.withColumn("split", F.lit("future")))
-    return rows.join(seqs.select("seq_id", "seq"), "seq_id", "inner")
+    return joins.lookup_join(rows, seqs.select("seq_id", "seq"), ["seq_id"])
 
 
 def training_variant(name: str, escape: DataFrame, fitness: DataFrame, texts: DataFrame, negative_sources: Sequence[str] = NEGATIVE_SOURCES,
