@@ -1261,6 +1261,28 @@ def q_fitness_table(spark, d):
     return fitness_table(spark, d)
 
 
+@register("fitness_table_facts", REP_SQL + """,
+per AS (SELECT country, hap_id, count(*) AS n FROM rows WHERE clade = '1-URGENT' AND collection_date IS NOT NULL GROUP BY country, hap_id),
+st AS (SELECT hap_id, min(n) AS count_min, count(*) AS nc FROM per GROUP BY hap_id),
+ref AS (SELECT hap_id FROM st WHERE nc = (SELECT count(DISTINCT country) FROM rows WHERE clade = '1-URGENT') ORDER BY count_min DESC, hap_id LIMIT 1),
+tot AS (SELECT country, hap_id FROM rows WHERE collection_date IS NOT NULL GROUP BY country, hap_id HAVING count(*) >= 20)
+SELECT tot.country, tot.hap_id, h.haplotype, CAST(f.date_first AS VARCHAR) AS date_first, true AS converged, tot.hap_id = (SELECT hap_id FROM ref) AS is_reference, true AS rep_ok
+FROM tot JOIN (SELECT DISTINCT hap_id, haplotype FROM hap) h USING (hap_id) JOIN firsts f USING (hap_id)""")
+def q_fitness_facts(spark, d):
+    """The flagship's rows in what SQL can tell: fitted haplotypes, their strings and first dates, the one with
+    relative_re 1 in every country, and that the representative is a sample of the haplotype's commonest full one."""
+    st = _stage(spark, d)
+    table, _, _ = H.growth_table(st, min_total=20)
+    allh = H.build_all_mutation_haplotypes(st.rows, S.mutations(spark, d), per_sample=st.mutations)
+    rep = H.representative_table(st, allh, table)
+    rows = st.rows.join(allh.select("seq_name", "hap_all_id"), "seq_name")
+    pc = rows.groupBy("hap_id", "hap_all_id").agg(F.count(F.lit(1)).alias("n"))
+    major = windows.top_one_per_group(pc, "hap_id", "n", "hap_all_id").select("hap_id", "hap_all_id")
+    member = rows.join(major, ["hap_id", "hap_all_id"]).select("hap_id", "seq_name").distinct().withColumn("ok", F.lit(True))
+    out = rep.join(member, ["hap_id", "seq_name"], "left")
+    return out.select("country", "hap_id", "haplotype", ds("date_first").alias("date_first"), "converged", (F.col("relative_re") == 1.0).alias("is_reference"), F.coalesce("ok", F.lit(False)).alias("rep_ok"))
+
+
 def fitness_table(spark: SparkSession, d: str) -> DataFrame:
     st = _stage(spark, d)
     table, _, _ = H.growth_table(st, min_total=20)
