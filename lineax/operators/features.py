@@ -61,15 +61,16 @@ def one_hot_country(df: DataFrame, col: str = "country", out: str = "country_vec
 
 # 81
 def task_vectors(df: DataFrame, seq_id: str = "seq_id", task_id: str = "task_id", outcome: str = "outcome",
-                 weight: str = "weight", row_id: str = "row_id", by: Sequence[str] = ()) -> DataFrame:
-    """Sparse per-sequence label vectors: one (task, outcome, weight, row) per task, sorted by task.
+                 weight: str = "weight", row_id: str = "row_id", by: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """Sparse per-sequence label vectors: one (task, outcome, weight, row, ``carry`` columns) per task, sorted by task.
 
     Duplicate (seq, task) cells keep the highest row id (last write wins); both
     steps are partial aggregates.
     """
     last = (df.groupBy(seq_id, task_id, *by)
-            .agg(F.max(F.struct(F.col(row_id), F.col(outcome), F.col(weight))).alias("_l"))
+            .agg(F.max(F.struct(F.col(row_id), F.col(outcome), F.col(weight), *[F.col(c) for c in carry])).alias("_l"))
             .select(seq_id, *by, F.struct(F.col(task_id).alias("task_id"), F.col("_l").getField(outcome).alias("outcome"),
                                          F.col("_l").getField(weight).alias("weight"),
-                                         F.col("_l").getField(row_id).alias("row_id")).alias("_cell")))
+                                         F.col("_l").getField(row_id).alias("row_id"),
+                                         *[F.col("_l").getField(c).alias(c) for c in carry]).alias("_cell")))
     return last.groupBy(seq_id, *by).agg(F.sort_array(F.collect_list("_cell")).alias("labels"))

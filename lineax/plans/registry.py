@@ -23,6 +23,7 @@ from lineax.operators import growth as G
 from lineax.operators.ordinal import with_global_ordinal
 from lineax.plans import haplotypes as H
 from lineax.plans import reports as R
+from lineax.plans import samples as SM
 from lineax.plans import standins as S
 from lineax.plans import training as TR
 from lineax.session import scratch_path
@@ -1100,6 +1101,25 @@ def q_score(spark, d):
     return long.select("vec_id", F.col("task_id").cast("int").alias("task_id"), r6("predicted_outcome").alias("predicted_outcome"))
 
 
+@register("prediction_table", SCORE_SQL + """, n AS (SELECT count(*) AS n FROM embeddings),
+v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS at FROM embeddings),
+r AS (SELECT v.vec_id, (l_linenumber % 3)::INT AS task_id, l_orderkey * 8 + l_linenumber AS row_id, l_discount AS outcome, l_tax AS weight, l_returnflag AS clade
+  FROM lineitem, n JOIN v ON l_orderkey % n.n = v.at),
+last AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY vec_id, task_id ORDER BY row_id DESC, outcome DESC, weight DESC, clade DESC) = 1)
+SELECT vec_id, task_id, row_id, round(outcome, 6) AS outcome, clade, round([t0, t1, t2][task_id + 1], 6) AS predicted_outcome
+FROM last JOIN s USING (vec_id)""")
+def q_prediction_table(spark, d):
+    """Labelled cells of scored sequences with the columns of their rows."""
+    e = S.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    numbered = with_global_ordinal(e.select("vec_id"), ["vec_id"], "at")
+    li = S.table(spark, d, "lineitem").withColumn("at", F.col("l_orderkey") % F.lit(e.count()))
+    rows = li.join(numbered, "at").select("vec_id", (F.col("l_linenumber") % 3).cast("int").alias("task_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),
+                                          F.col("l_discount").alias("outcome"), F.col("l_tax").alias("weight"), F.col("l_returnflag").alias("clade"))
+    vectors = features.task_vectors(rows, "vec_id", carry=["clade"]).join(e, "vec_id")
+    out = TR.prediction_table(vectors, _dot_scorer, "x", 3, 64, keep=["vec_id"])
+    return out.select("vec_id", "task_id", "row_id", r6("outcome").alias("outcome"), "clade", r6("predicted_outcome").alias("predicted_outcome"))
+
+
 @register("prediction_report", SCORE_SQL + """ SELECT CAST(vec_id AS VARCHAR) AS name, round((t0 + t1) / 2, 6) AS mean_fitness,
   round(t0, 6) AS fitness_A, round(t1, 6) AS fitness_B, round(t2, 6) AS dms_C FROM s""")
 def q_report(spark, d):
@@ -1140,6 +1160,30 @@ def q_growth(spark, d):
     return moments.select("country", "hap_id", F.round("n").cast("long").alias("n"), day_sum.alias("day_sum"))
 
 
+@register("surveillance_samples", "WITH " + CR + """,
+h AS (SELECT o.o_orderkey, cr.c_custkey, cr.c_name, cr.n_name, 'v/' || cr.n_name || '/' || cr.c_name || '/' || year(o_orderdate)::VARCHAR AS head,
+  strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS d, o_orderstatus AS pango, o_orderpriority AS clade FROM orders o JOIN cr ON o.o_custkey = cr.c_custkey),
+calls AS (SELECT o_orderkey, n_name, c_name, d, pango, clade, CASE pango WHEN 'F' THEN head || '|' || d || '|' || d WHEN 'O' THEN head || '|' || substr(d, 1, 7) ELSE 'v/' || n_name || '/' || c_name END AS seq_name FROM h),
+good AS (SELECT * FROM (SELECT *, length(seq_name) - length(replace(seq_name, '1', '')) AS ones FROM calls) WHERE ones < 8 AND ones % 4 <> 1),
+one AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY seq_name ORDER BY o_orderkey) = 1),
+dated AS (SELECT one.*, CASE WHEN n_name IN ('NATION_3', 'NATION_14') THEN 'UK' ELSE n_name END AS country FROM one JOIN customer c ON one.c_name = c.c_name
+  WHERE pango = 'F' AND d <= '1998-06-30' AND c.c_custkey % 5 <> 0),
+big AS (SELECT country FROM dated GROUP BY country HAVING count(*) > 60)
+SELECT seq_name, o_orderkey AS sample_id, country, c_name AS name, d AS collection_date, clade, pango FROM dated WHERE country IN (SELECT country FROM big)""")
+def q_surveillance_samples(spark, d):
+    """From written files to samples."""
+    heads = S.header_strings(spark, d)
+    orders = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderpriority").alias("clade"), F.col("o_orderstatus").alias("pango"))
+    calls, quality, records = (scratch_path(spark, x) for x in ("calls", "quality", "records"))
+    TX.write_tsv(heads.join(orders, "sample_id").select("sample_id", F.col("header").alias("seqName"), "clade", "pango"), calls)
+    ones = F.length("name") - F.length(F.replace("name", F.lit("1"), F.lit("")))
+    TX.write_tsv(heads.select(F.col("header").alias("name")).distinct().select("name", F.lit(1000).alias("length"), (ones * 1.25).alias("count_n"), F.when(ones % 4 == 1, 2).otherwise(1).alias("count_stop")), quality)
+    TX.write_csv(S.table(spark, d, "customer").select(F.concat_ws("/", F.lit("v"), F.lit("any"), "c_name", F.lit("1996")).alias("virus_name"), F.when(F.col("c_custkey") % 5 == 0, "Mink").otherwise("Human").alias("host")), records)
+    out = SM.surveillance_samples(TX.read_tsv(spark, calls, "sample_id bigint, seqName string, clade string, pango string"), TX.read_tsv(spark, quality, "name string, length double, count_n double, count_stop int"),
+                                  TX.read_csv(spark, records, "virus_name string, host string"), "1998-06-30", virus="v", min_country=60, nations=["NATION_3", "NATION_14"])
+    return out.select(F.col("seqName").alias("seq_name"), "sample_id", "country", "name", ds("collection_date").alias("collection_date"), "clade", "pango")
+
+
 @register("build_haplotypes", S1 + hap_sql() + " SELECT seq_name, haplotype, hap_id, country FROM hap")
 def q_build_haps(spark, d):
     s, m = _s1(spark, d)

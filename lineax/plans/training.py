@@ -143,3 +143,17 @@ def chunked_task_vectors(rows: DataFrame, n: int = 10, seed: int = 13) -> DataFr
     cells = dedupe_cells(rows.select("seq_id", "task_id", "outcome", "weight", "row_id"))
     cells = windows.task_chunks(cells, "seq_id", "task_id", n, seed, "chunk")
     return task_vectors(cells, by=("chunk",))
+
+
+def prediction_table(vectors: DataFrame, make_scorer, input_col: str, n_tasks: int, width: int, batch_size: int = 4,
+                     labels: str = "labels", keep: Sequence[str] = ("seq_id",)) -> DataFrame:
+    """One row per labelled cell with its predicted_outcome, for test or future sequences.
+
+    ``vectors``: sequences with their encoding and label vector (``task_vectors``, whose ``carry``
+    columns stand for the columns of the label rows).  Each sequence is scored once, and its labels pick
+    their task's score where they are: unlabelled tasks give no row, and nothing is joined or shuffled.
+    """
+    scored = models.score_batch(vectors, make_scorer, input_col, n_tasks, width, batch_size, "__scores")
+    fields = vectors.schema[labels].dataType.elementType.names
+    cells = F.transform(labels, lambda x: F.struct(*[x[f].alias(f) for f in fields], F.get("__scores", x["task_id"].cast("int")).alias("predicted_outcome")))
+    return scored.select(*keep, F.inline(cells))
