@@ -21,10 +21,11 @@ only.  The few sets with more sign the empty ones too.  No pair is lost.
 
 Candidates.  Rows (signature, class) are sorted by signature; each shared
 signature's first class is its pivot.  A hot signature (many near copies)
-never emits its pairs: first each class is paired with its commonest pivot, then,
-across the components so far, with its signatures' other pivots; signatures
-whose classes are all in one component drop out, and only what is left is
-paired in full, across components.  The join that does so drops pairs whose
+never emits its pairs: first each class is paired with its commonest pivot,
+then, across the components so far, with a random class of each of its
+signatures, so that a class near a large group meets many of its members and
+joins it; signatures whose classes are all in one component drop
+out, and only what is left is paired in full, across components.  The join that does so drops pairs whose
 parity sketches differ in more bits than linked sets can have differing
 features (a differing feature flips one bit, so the sketches' distance never
 exceeds the sets').  Every remaining candidate's Jaccard similarity is computed exactly on whole sets.
@@ -46,12 +47,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineax.llm import kernel as K
-from lineax.llm.common import connected_components
+from lineax.llm.common import connected_components, free_name
 from lineax.llm.piece_model import spread
 from lineax.session import materialize
 
 U = np.uint64
 PARTS = 3
+#: Bytes of texts at a time: a word takes some twenty numbers here.
+RUN_BYTES = 1 << 20
 #: Parity sketches: so many 64-bit words, one bit for each of the buckets that features are hashed into.
 SKETCH = [f"p{i}" for i in range(8)]
 
@@ -122,7 +125,7 @@ def class_table(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFram
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in K.chunks(batches, "text"):
+        for batch, texts in K.chunks(batches, "text", RUN_BYTES):
             doc, h = K.shingle_sets(texts, n)
             size = np.bincount(doc, minlength=texts.n)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(size, pa.int64()), K.to_long(_class_ids(doc, h, size))], ["id", "row", "n_shingles", "cls"])
@@ -138,7 +141,7 @@ def row_hash(id_col: str, text_col: str) -> Column:
 def signature_table(docs: DataFrame, text_col: str, n: int, num: int, den: int) -> DataFrame:
     """(sig, cls) of every row's set; rows of one batch with equal sets sign once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in K.chunks(batches, text_col):
+        for _, texts in K.chunks(batches, text_col, RUN_BYTES):
             doc, h = K.shingle_sets(texts, n)
             size = np.bincount(doc, minlength=texts.n)
             cls = _class_ids(doc, h, size)
@@ -201,7 +204,7 @@ def parity_sketches(doc: np.ndarray, h: np.ndarray, docs: int) -> np.ndarray:
 def set_table(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, n: int) -> DataFrame:
     """(cls, n, features, parity sketch) of the classes whose representative rows are in ``wanted``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in K.chunks(batches, "text"):
+        for _, texts in K.chunks(batches, "text", RUN_BYTES):
             doc, h = K.shingle_sets(texts, n)
             size = np.bincount(doc, minlength=texts.n)
             off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -273,21 +276,17 @@ def links(shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame |
     def ordered(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    def opened() -> DataFrame:
-        return materialize(_labelled(shared, labels), "open")
-
     # one pivot for each class: of its signatures' first classes, the one with most of them
     pivots = shared.groupBy("sig").agg(F.min("cls").alias("pivot"))
     votes = shared.join(pivots, "sig").where("cls <> pivot").groupBy("cls", "pivot").count()
     add(votes.groupBy("cls").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot")).select(*ordered("cls", "pivot")).distinct())
-    # all pivots across components
-    rows = opened()
-    pivots = rows.groupBy("sig").agg(F.max(F.struct("cls", "comp")).alias("p")).select("sig", "p.cls", "p.comp")
+    # across components, a random class of each signature: a class meets as many of a group's as it shares signatures with it
+    rows = materialize(_labelled(shared, labels), "open")
+    pivots = rows.groupBy("sig").agg(F.max(F.struct(F.xxhash64("cls", "sig"), "cls", "comp")).alias("p")).select("sig", "p.cls", "p.comp")
     star = _side(rows, sets, "x").join(_side(pivots, sets, "y"), "sig").where((F.col("x_comp") != F.col("y_comp")) & may_link("x", "y", num, den))
-    if add(star.select(*ordered("x_cls", "y_cls")).distinct()):
-        rows = opened()
+    add(star.select(*ordered("x_cls", "y_cls")).distinct())
     # every pair left that its sketches don't rule out
-    wide = materialize(_side(rows, sets, "x"), "wide")
+    wide = materialize(_side(_labelled(shared, labels), sets, "x"), "wide")
     again = wide.withColumnsRenamed({c: f"y{c[1:]}" for c in wide.columns if c != "sig"})
     left = wide.join(again, (wide.sig == again.sig) & (F.col("x_cls") < F.col("y_cls")) & (F.col("x_comp") != F.col("y_comp")) & may_link("x", "y", num, den))
     left = left.select(F.col("x_cls").alias("x"), F.col("y_cls").alias("y"))
@@ -321,8 +320,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id. Texts without words all stay, but for repeated rows."""
     marked = jaccard_components(docs, id_col, text_col, n, num, den)
-    best = marked.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "row")).alias("m")).select(F.col("m.row").alias("_row"))
-    empty = marked.where("component is null").select(F.col("row").alias("_row")).distinct()
+    name = free_name(docs, "_row")
+    best = marked.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "row")).alias("m")).select(F.col("m.row").alias(name))
+    empty = marked.where("component is null").select(F.col("row").alias(name)).distinct()
     keep = materialize(best.union(empty), "keep").hint("merge")  # the same plan at every size
-    rows = docs.withColumn("_row", row_hash(id_col, text_col)).join(keep, "_row", "left_semi")
-    return rows.dropDuplicates(["_row"]).select(*docs.columns)
+    rows = docs.withColumn(name, row_hash(id_col, text_col)).join(keep, name, "left_semi")
+    return rows.dropDuplicates([name]).select(*docs.columns)
