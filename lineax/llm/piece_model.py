@@ -119,7 +119,7 @@ def build_tokenizer(m: PieceModel, segments: bool = False):
         steps.append(normalizers.Replace(" ", MARK))
     if steps:
         t.normalizer = normalizers.Sequence(steps)
-    parts = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    parts = [decoders.Replace(m.pieces[m.unk_id][0], " ⁇ "), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     t.decoder = decoders.Sequence(parts + ([decoders.Strip(" ", 1, 0)] if m.add_dummy_prefix and not segments else []))
     return t
 
@@ -221,13 +221,46 @@ class SegmentCodec:
         return Texts(data, ends)
 
 
-_CODECS: dict[tuple, SegmentCodec] = {}
+class Decoder:
+    """Id lists to texts by the rebuilt tokenizer, as the sentencepiece library decodes them.
+
+    One difference: in a run of byte pieces that is no UTF-8 every byte becomes U+FFFD, valid ones among them too.
+    """
+
+    def __init__(self, model: PieceModel, threads: int = 2):
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        self.whole, self.rest = build_tokenizer(model), build_tokenizer(model, segments=True)
+        self.size, self.unk = len(model.pieces), model.unk_id
+        self.silent = {i for i, (_, _, kind) in enumerate(model.pieces) if kind == CONTROL}
+
+    def decode(self, lists: list[list[int]]) -> list[str]:
+        for ids in lists:
+            if ids and not 0 <= min(ids) <= max(ids) < self.size:
+                raise ValueError("an id outside the vocabulary")
+        said = [[i for i in ids if i not in self.silent] for ids in lists]
+        out = self.whole.decode_batch(said, skip_special_tokens=False)
+        for at, ids in enumerate(said):
+            if ids[:1] == [self.unk]:  # its sign begins with a space that is no prefix
+                out[at] = self.rest.decode(ids, skip_special_tokens=False)
+        return out
+
+
+_OPEN: dict[tuple, SegmentCodec | Decoder] = {}
+
+
+def _opened(kind: type, path: str, options: dict):
+    key = (kind, path, *sorted(options.items()))
+    if key not in _OPEN:
+        _OPEN.clear()
+        _OPEN[key] = kind(read_model(path), **options)
+    return _OPEN[key]
 
 
 def codec(path: str, **options) -> SegmentCodec:
     """The worker's codec: one at a time, another setting takes the place of the last."""
-    key = (path, *sorted(options.items()))
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = SegmentCodec(read_model(path), **options)
-    return _CODECS[key]
+    return _opened(SegmentCodec, path, options)
+
+
+def decoder(path: str, **options) -> Decoder:
+    return _opened(Decoder, path, options)

@@ -1,10 +1,11 @@
-"""Operator 6, SentencePiece encoding on the tokenizers library, decoding by piece table.
+"""Operator 6, SentencePiece encoding and decoding on the tokenizers library.
 
 The model's protobuf is parsed and rebuilt as a ``tokenizers.Tokenizer`` (see
 ``piece_model``).  Texts are encoded batch by batch, each batch's new segments
 on several threads; every distinct segment is also encoded by the
-sentencepiece library and compared (``parity``; whole texts are not).  Decoding
-joins the bytes of the model's pieces, without either library.
+sentencepiece library and compared (``parity``; whole texts are not).
+``decode_pieces`` runs whole id lists through the rebuilt tokenizer's decoder;
+the ``round_trip`` of encoding joins the bytes of the model's pieces.
 
 Defined results: a null or empty text has no ids, parity and round trip hold;
 rows keep their multiplicity; a text's own "▁" decodes to a space (the marker
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from lineax.llm import kernel as K
-from lineax.llm.piece_model import codec
+from lineax.llm.piece_model import codec, decoder
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -48,18 +49,17 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", carry: list[str] | No
     return docs.select(*read).mapInArrow(run, StructType(fields + ADDED))
 
 
-def decode_pieces(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model_path: str = DEFAULT_MODEL) -> DataFrame:
-    """``rows`` with the text of their ids (null ids: empty text; invalid UTF-8 from byte pieces becomes U+FFFD)."""
+def decode_pieces(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model_path: str = DEFAULT_MODEL, threads: int = 2) -> DataFrame:
+    """``rows`` with the text of their ids, batch by batch by the rebuilt tokenizer's decoder (null ids: empty text; control
+    pieces say nothing, invalid UTF-8 from byte pieces becomes U+FFFD); ids outside the vocabulary are an error."""
     fields = [f for f in rows.schema.fields if f.name != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model_path, backend="sentencepiece", verify=False)
-        for batch in batches:
-            col = batch.column(ids_col)
-            n = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            back = c.decode(col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(n)]))
-            texts = [back.text(a, b) for a, b in zip(back.off[:-1], back.off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in fields] + [pa.array(texts, pa.string())], names=[*(f.name for f in fields), out_col])
+        d = decoder(model_path, threads=threads)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                texts = d.decode([x.as_py() or [] for x in batch.column(ids_col)])
+                yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in fields] + [pa.array(texts, pa.string())], names=[*(f.name for f in fields), out_col])
 
     return rows.select(*(f.name for f in fields)).mapInArrow(run, StructType([*fields, StructField(out_col, StringType())]))
-

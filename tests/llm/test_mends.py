@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lineax.llm import html_text, jaccard, line_dedup, training_order
+from lineax.llm import html_text, jaccard, line_dedup, pieces, training_order
+from lineax.llm.piece_model import Decoder, read_model
 
 
 def shards(out):
@@ -110,3 +111,18 @@ def test_hostile_pages_take_time_in_proportion(page):
     began = time.process_time()
     html_text.main_text(page)
     assert time.process_time() - began < 3
+
+
+def test_decoding_is_the_sentencepiece_library_s():
+    import random
+
+    import sentencepiece
+
+    sp, d, r = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL), Decoder(read_model(pieces.DEFAULT_MODEL)), random.Random(1)
+    plain = [i for i in range(sp.get_piece_size()) if not sp.is_byte(i)]
+    lists = [[r.choice(plain) for _ in range(r.randrange(30))] for _ in range(2000)] + [[], [0], [0, 0, 300], [1, 2], [1, 300, 0, 2], [0, 1, 0]]
+    lists += [sp.encode(t) for t in ["", " ", "  two  spaces ", "日本語 😀 \x01", "line\n\nline\t", "é" * 50, "<unk> <s> x"]]
+    assert d.decode(lists) == [sp.decode(x) for x in lists]
+    assert d.decode([[3 + 0xE3]]) == ["\ufffd"]
+    with pytest.raises(ValueError, match="vocabulary"):
+        d.decode([[sp.get_piece_size()]])
