@@ -12,6 +12,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lineax.functions.encoding import encode_residues, mask_residues
+
 __all__ = [
     "count_char",
     "residue_counts",
@@ -221,72 +223,3 @@ def rename_select(df: DataFrame, mapping: Mapping[str, str], keep: Sequence[str]
     """Rename ``old -> new`` and optionally keep only ``keep`` (new names) in that order."""
     out = df.withColumnsRenamed(dict(mapping))
     return out.select(*keep) if keep is not None else out
-
-
-# 24
-def encode_residues(
-    df: DataFrame,
-    vocab: Mapping[str, int],
-    seq: str = "seq",
-    max_len: int | None = 1024,
-    start_id: int = 0,
-    end_id: int = 2,
-    pad_id: int = 1,
-    unk_id: int = 3,
-    ids: str = "input_ids",
-    mask: str = "attention_mask",
-) -> DataFrame:
-    """Character-level token ids with start/end markers.
-
-    With ``max_len`` the ids are truncated (first ``max_len - 2`` residues plus
-    both markers) and padded to ``max_len`` as the fine-tuning inputs are; with
-    ``max_len=None`` the whole sequence is encoded without padding.  The
-    vocabulary is a small map literal.
-    """
-    vmap = F.create_map(*[x for k, v in sorted(vocab.items()) for x in (F.lit(k), F.lit(int(v)))])
-    used = F.col(seq) if max_len is None else F.substring(seq, 1, max_len - 2)
-    body = F.transform(F.split(used, ""), lambda ch: F.coalesce(F.element_at(vmap, ch), F.lit(unk_id)))
-    toks = F.concat(F.array(F.lit(start_id)), body, F.array(F.lit(end_id)))
-    n = F.size(toks)
-    if max_len is None:
-        return df.withColumns({ids: toks, mask: F.array_repeat(F.lit(1), n)})
-    padded = F.concat(toks, F.array_repeat(F.lit(pad_id), F.lit(max_len) - n))
-    m = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_len) - n))
-    return df.withColumns({ids: padded, mask: m})
-
-
-# 25
-def mask_residues(
-    df: DataFrame,
-    row_key: str,
-    ids: str = "input_ids",
-    special: Sequence[int] = (0, 1, 2),
-    mask_id: int = 32,
-    vocab_size: int = 33,
-    rate: float = 0.15,
-    seed: int = 13,
-    out_ids: str = "masked_ids",
-    labels: str = "labels",
-) -> DataFrame:
-    """Masked-language-model corpus: ``rate`` of non-special positions are chosen by a
-    hash of (row, position, seed); of those 80 % become ``mask_id``, 10 % a random token,
-    10 % stay.  ``labels`` hold the original id at chosen positions and -100 elsewhere.
-    """
-    specials = F.array(*[F.lit(int(s)) for s in special])
-    per_mille = int(round(rate * 10000))
-
-    def h(tok: Column, i: Column, salt: int) -> Column:
-        return F.pmod(F.xxhash64(F.col(row_key), i, F.lit(seed), F.lit(salt)), F.lit(10000))
-
-    def chosen(tok: Column, i: Column) -> Column:
-        return (~F.array_contains(specials, tok)) & (h(tok, i, 0) < per_mille)
-
-    def new_tok(tok: Column, i: Column) -> Column:
-        r = h(tok, i, 1)
-        rnd = F.pmod(F.xxhash64(F.col(row_key), i, F.lit(seed), F.lit(2)), F.lit(vocab_size)).cast("int")
-        return F.when(~chosen(tok, i), tok).when(r < 8000, F.lit(mask_id)).when(r < 9000, rnd).otherwise(tok)
-
-    return df.withColumns({
-        out_ids: F.transform(F.col(ids), new_tok),
-        labels: F.transform(F.col(ids), lambda tok, i: F.when(chosen(tok, i), tok).otherwise(F.lit(-100))),
-    })

@@ -355,6 +355,31 @@ def q_mask_residues(spark, d):
     return agg.select("n_eligible", ((share >= 0.13) & (share <= 0.17)).alias("share_ok"))
 
 
+def _mixed_sql(x: str) -> str:
+    """The steps of the 32-bit finaliser, from column x0 to x5."""
+    return (f"SELECT *, xor({x}0, {x}0 >> 16) AS {x}1, ({x}1 * 2146121005) & 4294967295 AS {x}2, xor({x}2, {x}2 >> 15) AS {x}3, "
+            f"(({x}3::HUGEINT * 2221713035) % 4294967296)::BIGINT AS {x}4, xor({x}4, {x}4 >> 16) AS {x}5 FROM ")
+
+
+MASK_SQL = """WITH d AS (SELECT doc_id, ('0x' || substr(md5('13|' || doc_id::VARCHAR), 1, 8))::BIGINT AS seed, regexp_extract_all(text, '(?s).') AS chars FROM documents),
+p AS (SELECT doc_id, seed, len(chars) AS n, unnest(chars) AS c, generate_subscripts(chars, 1) AS place FROM d),
+k AS (SELECT doc_id, n, place, CASE WHEN c ~ '[a-z]' THEN ascii(c) - 97 + 4 ELSE 3 END AS id, {0} FROM p),
+ha AS (""" + _mixed_sql("a") + "k), hb AS (" + _mixed_sql("b") + "ha), hc AS (" + _mixed_sql("c") + """hb),
+r AS (SELECT doc_id, place, id, b5, c5, row_number() OVER (PARTITION BY doc_id ORDER BY a5, place) <= floor(0.15 * n + 0.5) AS chosen FROM hc),
+m AS (SELECT doc_id, place, CASE WHEN NOT chosen THEN id WHEN b5 * 10 < 8 * 4294967296 THEN 32 WHEN b5 * 10 < 9 * 4294967296 THEN c5 % 33 ELSE id END AS masked, CASE WHEN chosen THEN id ELSE -100 END AS label FROM r),
+t AS (SELECT doc_id, string_agg(masked::VARCHAR, ',' ORDER BY place) AS ids, string_agg(label::VARCHAR, ',' ORDER BY place) AS labels FROM m GROUP BY doc_id)
+SELECT doc_id, md5('0,' || coalesce(ids || ',', '') || '2') AS ids_md5, md5('-100,' || coalesce(labels || ',', '') || '-100') AS labels_md5 FROM documents LEFT JOIN t USING (doc_id)"""
+MASK_SQL = MASK_SQL.replace("{0}", ", ".join(f"(seed + place * 2654435769 + {i * 0x85EBCA6B & 0xFFFFFFFF}) % 4294967296 AS {x}0" for i, x in enumerate("abc")))
+
+
+@register("mask_residues_ids", MASK_SQL)
+def q_mask_ids(spark, d):
+    """Every masked id and label."""
+    t = C.encode_residues(S.documents(spark, d).select("doc_id", "text"), VOCAB, "text", max_len=None)
+    t = C.mask_residues(t, "doc_id", mask_id=32, vocab_size=33)
+    return t.select("doc_id", *[F.md5(F.array_join(F.col(c).cast("array<string>"), ",")).alias(o) for c, o in (("masked_ids", "ids_md5"), ("labels", "labels_md5"))])
+
+
 # ------------------------------------------------------------ 2.3 filters
 @register("keep_equal", "WITH " + SAMPLES + " SELECT seq_name FROM samples WHERE clade = '1-URGENT'")
 def q_keep_equal(spark, d):
