@@ -21,6 +21,7 @@ from lineax.functions import columns as C
 from lineax.operators import aggs, features, filters, joins, models, setops, windows
 from lineax.operators import growth as G
 from lineax.operators.ordinal import with_global_ordinal
+from lineax.plans import comparison as CM
 from lineax.plans import haplotypes as H
 from lineax.plans import reports as R
 from lineax.plans import samples as SM
@@ -1083,6 +1084,28 @@ def q_lasso_single(spark, d):
     return _stump(m, models.regress_lasso, {"alpha": 0.0005, "max_iter": 1000, "tol": 1e-12})
 
 
+COMPARE_SQL = STUMP_SQL.replace("SELECT p_partkey, data_class, round(outcome, 6) AS outcome,", ", pred AS (SELECT data_class, outcome,").replace(
+    "round(CASE WHEN EXISTS", "CASE WHEN EXISTS").replace("without_it END, 6) AS predicted_outcome", "without_it END AS y") + """),
+sets AS (SELECT 'test_and_future' AS eval_set, * FROM pred UNION ALL SELECT 'future', * FROM pred WHERE data_class = 'future'),
+scored AS (SELECT eval_set, count(*) AS n, round(corr(outcome, y), 6) AS pearson, round(1 - sum((outcome - y) ^ 2) / (var_pop(outcome) * count(*)), 6) AS r2 FROM sets GROUP BY eval_set)
+SELECT model, scored.* FROM scored, (VALUES ('boosted'), ('forest')) m(model)"""
+
+
+@register("model_comparison", COMPARE_SQL)
+def q_model_comparison(spark, d):
+    """Two models of one split each, from part names as haplotypes to the report."""
+    p = S.table(spark, d, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit(", ")).alias("haplotype"), F.col("p_type").alias("country"), (F.col("p_retailprice") / 1000.0).alias("outcome"))
+    p = p.withColumn("data_class", F.when(F.col("p_partkey") % 10 < 6, "train").when(F.col("p_partkey") % 10 < 8, "test").otherwise("future"))
+    stump = {"max_depth": 9, "learning_rate": 1.0, "rounds": 1, "min_child_weight": 1, "min_child_samples": 2, "leaves": 2, "reg_alpha": 0.0, "reg_lambda": 0.0}
+    tree = {"trees": 1, "max_depth": 1, "max_features": None, "min_samples_split": 2, "min_samples_leaf": 2, "bootstrap": False}
+
+    def fit(fn, params):
+        return lambda train: fn(train, n_draws=1, folds=2, space={k: (lambda r, v=v: v) for k, v in params.items()})[0]
+
+    report, _ = CM.compare_models(CM.feature_frame(p), {"boosted": fit(models.regress_boosted_trees, stump), "forest": fit(models.regress_random_forest, tree)}, None)
+    return report.select("model", "eval_set", "n", r6("pearson").alias("pearson"), r6("r2").alias("r2"))
+
+
 @register("select_features_planted", f"SELECT token FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part) WHERE token IN {PLANTED}")
 def q_select_planted(spark, d):
     """Two features of all decide the outcome, and two are to be selected."""
