@@ -126,3 +126,60 @@ def test_decoding_is_the_sentencepiece_library_s():
     assert d.decode([[3 + 0xE3]]) == ["\ufffd"]
     with pytest.raises(ValueError, match="vocabulary"):
         d.decode([[sp.get_piece_size()]])
+
+
+def brute_verdict(text, lang, sp, bands):
+    """The verdict of tokeniser fertility from its written rule, a character and a word at a time."""
+    import math
+    import re
+
+    from lineax.llm import quality as Q
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    ids = [i for w in words for i in sp.encode(w)]
+    n, t = max(len(words), 1), len(ids)
+    share = [ids.count(i) / t for i in set(ids)]
+    entropy = -sum(s * math.log2(s) for s in share) / min(math.log2(max(t, 2)), Q.ENTROPY_BITS) if t else 0.0
+    bytes_share = sum(sp.is_byte(i) for i in ids) / max(t, 1)
+    chars = sum(map(len, words)) / max(t, 1)
+    latin = sum(c.isascii() and c.isalpha() or "À" <= c < "ɀ" for c in text)
+    by_script = {s: sum(any(lo <= ord(c) <= hi for lo, hi in r) for c in text) for s, r in Q.SCRIPTS.items()}
+    rest = sum(ord(c) > 0x24F for c in text)
+    script = "Latin" if latin >= rest else max(by_script, key=by_script.get) if any(by_script.values()) else "other"
+    b = bands.get(lang) or bands.get(script) or bands["other"]
+    windows = [tuple(words[i: i + 8]) for i in range(len(words) - 7)]
+    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(8)}
+    if len(words) < 20 or 100 * len(covered) > 30 * len(words):
+        return "base"
+    if t / n > b.max_tokens_per_word + b.slack / math.sqrt(n):
+        return "tokens_per_word"
+    if not b.min_chars_per_token <= chars <= b.max_chars_per_token:
+        return "chars_per_token"
+    if bytes_share > b.max_byte_share:
+        return "byte_share"
+    return "token_entropy" if entropy < b.min_entropy + b.entropy_rise * max(0, Q.ENTROPY_BITS - math.log2(max(t, 2))) else None
+
+
+def test_quality_verdicts_are_the_written_rule_s():
+    import random
+
+    import pyarrow as pa
+    import sentencepiece
+
+    from lineax.llm import kernel as K
+    from lineax.llm import quality as Q
+    from lineax.llm.piece_model import codec
+
+    r, sp = random.Random(5), sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    pools = ["the of and river stone carry between morning little window answer follow garden which every country under write".split(),
+             "xqzvk wjkpt qqrzx vvbnm zzxcv kjhgf".split(), ["a"], "все люди рождаются свободными и равными в своем достоинстве".split(),
+             "人人生而自由 在尊严和权利上 一律平等".split(), ["🙃🙂", "ꙮ", "ⰀⰁ"], ["wordlonger" * 6], "η και των ανθρώπων ελεύθεροι ίσοι".split()]
+    texts, langs = [], []
+    for _ in range(250):
+        mix = r.sample(pools, r.choice([1, 1, 2]))
+        texts.append(" ".join(r.choice(r.choice(mix)) + r.choice(["", "", "s", ",", "%%%"]) for _ in range(r.choice([5, 19, 20, 40, 120]))))
+        langs.append(r.choice([None, "en", "ru", "zh", "xx"]))
+    got = Q.measure(K.flat(pa.array(texts)), langs, codec(Q.DEFAULT_MODEL, backend="sentencepiece", verify=False), Q.BANDS, 20, 30)
+    want = [brute_verdict(t, x, sp, Q.BANDS) for t, x in zip(texts, langs, strict=True)]
+    assert got["rejected_by"].tolist() == want
+    assert len(set(want)) >= 4 and got["kept"].tolist() == [w is None for w in want]
