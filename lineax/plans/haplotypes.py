@@ -125,7 +125,10 @@ def prepare(samples: DataFrame, muts: DataFrame, ref_clade: str, min_mut: int =
     lo, hi = rows.agg(F.min("collection_date"), F.max("collection_date")).first()
     rows = day_index_and_bin(rows, "collection_date", bin_size, bounds=(lo, hi))
     ref = aggs.reference_haplotype(rows, ref_clade, "country", "hap_id", "clade").first()
-    max_bin = rows.agg(F.max("day_bin")).first()[0] or 0
+    if bin_size == 1:  # the last day is the last bin
+        max_bin = (hi - lo).days + 1 if hi else 0
+    else:
+        max_bin = rows.agg(F.max("day_bin")).first()[0] or 0
     return Stage(rows, haps, int(max_bin), ref["hap_id"] if ref else None, per_sample)
 
 
