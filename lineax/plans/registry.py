@@ -1337,11 +1337,11 @@ def q_clade_counts(spark, d):
 @register("adaptation_corpus", "WITH " + FIT + """
 SELECT 'train' AS corpus, md5(text) AS seq_md5 FROM documents UNION ALL SELECT 'train', md5(text) FROM benchmark
 UNION ALL SELECT 'recent', md5(seq) FROM fit WHERE date_first >= DATE '2000-01-01'
-UNION ALL SELECT 'test', md5(text) FROM documents WHERE lang = 'de'""")
+UNION ALL SELECT 'test', md5(text) FROM conversations""")
 def q_adaptation(spark, d):
     fam = S.documents(spark, d).select(F.col("text").alias("seq"))
     vir = S.table(spark, d, "benchmark").select(F.col("text").alias("seq"))
-    ev = S.documents(spark, d).where(F.col("lang") == "de").select(F.col("text").alias("seq"))
+    ev = S.table(spark, d, "conversations").select(F.col("text").alias("seq"))
     dated = S.fitness_rows(spark, d).select("seq", "date_first")
     out = R.adaptation_corpus(fam, vir, ev, dated, "2000-01-01")
     return out.select("corpus", F.md5("seq").alias("seq_md5"))
