@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IGNORED = -100
+#: Residues coded or masked at a time: a batch's working arrays are bounded whatever its rows hold (a longer row goes alone).
+BLOCK = 1 << 18
+
+
+def blocks(size: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """(first row, end) of runs of rows whose sizes add up to at most ``most``, or of one larger row; one empty run without rows."""
+    end, lo = np.cumsum(size), 0
+    while lo < len(size) or lo == 0:
+        hi = int(np.searchsorted(end, (end[lo - 1] if lo else 0) + most, side="right"))
+        hi = min(max(hi, lo + 1), len(size))
+        yield lo, hi
+        if hi == len(size):
+            return
+        lo = hi
 
 
 def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -74,8 +89,11 @@ def encode_residues(
         table[ord(k)] = v
 
     @F.arrow_udf("struct<ids:array<int>,mask:array<int>>")
-    def coded(texts: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays(residue_ids(texts, table, max_len, start_id, end_id, pad_id), names=["ids", "mask"])
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            size = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+            for lo, hi in blocks(np.maximum(size, max_len or 0)):
+                yield pa.StructArray.from_arrays(residue_ids(texts.slice(lo, hi - lo), table, max_len, start_id, end_id, pad_id), names=["ids", "mask"])
 
     both = coded(F.col(seq))
     return df.withColumns({ids: both["ids"], mask: both["mask"]})
@@ -133,12 +151,15 @@ def mask_residues(
     hashes.  ``labels`` hold the original id at chosen places and -100 elsewhere; null ids stay null.
     """
     @F.arrow_udf("struct<ids:array<int>,labels:array<int>>")
-    def hidden(rows: pa.Array, seeds: pa.Array) -> pa.Array:
-        gone = np.array(rows.is_null())
-        n = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        parts = masked(flat, n, seeds.to_numpy(zero_copy_only=False), special, mask_id, vocab_size, rate)
-        return pa.StructArray.from_arrays([_lists(x, n, gone) for x in parts], names=["ids", "labels"])
+    def hidden(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for every, seeds in batches:
+            size = every.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi in blocks(size):
+                rows, n = every.slice(lo, hi - lo), size[lo:hi]
+                gone = np.array(rows.is_null())
+                flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                parts = masked(flat, n, seeds.slice(lo, hi - lo).to_numpy(zero_copy_only=False), special, mask_id, vocab_size, rate)
+                yield pa.StructArray.from_arrays([_lists(x, n, gone) for x in parts], names=["ids", "labels"])
 
     both = hidden(F.col(ids), row_seed(row_key, seed))
     return df.withColumns({out_ids: both["ids"], labels: both["labels"]})

@@ -56,3 +56,17 @@ def test_masks_have_their_size_in_every_row_and_labels_their_ids(spark):
     assert 0.75 < masked / total < 0.85 and 0.06 < kept / total < 0.16 and 0.05 < random / total < 0.14
     other = {r.id: r.masked_ids for r in E.mask_residues(enc, "id", mask_id=32, seed=14).collect()}
     assert other != again
+
+
+def test_blocks_bound_the_working_arrays(spark):
+    """A batch of more residues than a block is coded and masked block by block, every row as if alone."""
+    assert list(E.blocks(np.array([3, 3, 9, 1, 0, 2]), 6)) == [(0, 2), (2, 3), (3, 6)]
+    assert list(E.blocks(np.array([], dtype=np.int64), 6)) == [(0, 0)] and list(E.blocks(np.zeros(3, np.int64), 6)) == [(0, 3)]
+    texts = ["AC" * 40_000, None, "", "GA" * 200_000, "ACGA", "é" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, seq string").coalesce(1)
+    enc = E.encode_residues(df, VOCAB, "seq", None)
+    together = {r.id: r for r in E.mask_residues(enc, "id").collect()}
+    for i, text in enumerate(texts):
+        assert (together[i].input_ids, together[i].attention_mask) == plain(text, None)
+        alone = E.mask_residues(E.encode_residues(df.where(F.col("id") == i), VOCAB, "seq", None), "id").first()
+        assert (together[i].masked_ids, together[i].labels) == (alone.masked_ids, alone.labels)
