@@ -144,6 +144,8 @@ def representative_table(stage: Stage, all_haps: DataFrame, coef_table: DataFram
     the fitted relative_re and the robust first-seen date, sorted by relative_re.
     """
     rows = stage.rows.join(all_haps.select("seq_name", "hap_all_id"), "seq_name", "inner")
+    # Read by three aggregations and the pick.
+    rows = materialize(rows.select("seq_name", "hap_id", "hap_all_id", "collection_date", "clade", "pango"), "rows_with_full_haplotype")
     first = aggs.first_seen_quantile(rows, "hap_id", "collection_date", 0.01, "date_first")
     pair_counts = rows.groupBy("hap_id", "hap_all_id").agg(F.count(F.lit(1)).alias("n"))
     major = windows.top_one_per_group(pair_counts, "hap_id", "n", "hap_all_id").select("hap_id", "hap_all_id")
