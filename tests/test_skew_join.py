@@ -69,3 +69,14 @@ def test_haplotypes_of_literals_and_of_a_join_agree(spark):
         assert few == many
     got = {r.seq_name: (r.haplotype, r.hap_id) for r in H.build_haplotypes(samples, muts, min_mut=5, min_hap=1).collect()}
     assert got["s1"] == ("S:A", "hap_2") and got["s3"] == ("S:A, S:B, S:C", "hap_4") and got["s0"] == ("NA", "hap_1") and "s59" not in got
+
+
+def test_hot_keys_can_be_told_by_another_table(spark):
+    from lineax.operators import joins
+
+    big = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)] + [(None, -1)], "k int, v int")
+    small = spark.createDataFrame([(i, f"n{i}") for i in range(200)], "k int, n string")
+    want = sorted(map(str, big.join(small, "k").select("k", "v", "n").collect()))
+    for seen in (big, big.limit(0)):
+        got = joins.lookup_join(big, small, ["k"], max_rows=0, seen=seen)
+        assert sorted(map(str, got.select("k", "v", "n").collect())) == want
