@@ -75,6 +75,12 @@ def _matrix(col: pa.Array, kind) -> np.ndarray:
     return values.reshape(len(col), -1).astype(kind, copy=False) if len(col) else np.zeros((0, 0), kind)
 
 
+def _row_bytes(codes: np.ndarray) -> pa.Array:
+    """Each row's bytes as one binary value."""
+    ends = np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(ends), pa.py_buffer(codes.tobytes())])
+
+
 def with_codes(df: DataFrame, bins: Bins, features: str, keep: Sequence[str], out: str = "codes") -> DataFrame:
     """``keep`` columns and the row's bins as bytes."""
     rows = df.select(*keep, vector_to_array(features).alias("_x"))
@@ -83,7 +89,7 @@ def with_codes(df: DataFrame, bins: Bins, features: str, keep: Sequence[str], ou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes = bins.codes(_matrix(b.column(b.num_columns - 1), np.float64)) if b.num_rows else np.zeros((0, 0), np.uint8)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([r.tobytes() for r in codes], pa.binary())], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _row_bytes(codes)], names=[*keep, out])
 
     return rows.mapInArrow(run, schema)
 
@@ -191,12 +197,19 @@ class Tree:
             node[at] = first_new + (codes[at, self.feature[parent]] > self.cut[parent])
 
     def leaves(self, codes: np.ndarray) -> np.ndarray:
+        """Each row's leaf. A right child follows its left one and a leaf leads to itself, so a level is a few lookups."""
+        feature, levels = np.array(self.feature), [0] * len(self.feature)
+        inner = feature >= 0
+        down = np.where(inner, self.left, np.arange(len(feature)))
+        cut = np.where(inner, self.cut, MAX_CUTS + 1)  # beyond any code
+        for n in np.flatnonzero(inner).tolist():
+            levels[self.left[n]] = levels[self.right[n]] = levels[n] + 1
+        flat, row = codes.ravel(), np.arange(len(codes)) * codes.shape[1]
         node = np.zeros(len(codes), dtype=np.int64)
-        while True:
-            below = self.step(codes, node)
-            if np.array_equal(below, node):
-                return node
-            node = below
+        feature[~inner] = 0
+        for _ in range(max(levels)):
+            node = down[node] + (flat[row + feature[node]] > cut[node])
+        return node
 
     def predict(self, codes: np.ndarray) -> np.ndarray:
         return np.array(self.value)[self.leaves(codes)]
@@ -383,13 +396,13 @@ def _targets(m: Model, p: Patterns, so_far: np.ndarray | None) -> tuple[np.ndarr
 
 def run_here(m: Model, bins: Bins, p: Patterns, beyond: np.ndarray) -> np.ndarray:
     """Fit ``m`` on patterns held in memory; returns its prediction of each pattern."""
-    total, applied = np.zeros(len(p.n)), 0
+    total, applied = np.zeros(len(p.n)), 0  # every split is followed by a request, so a finished tree's rows stand in its leaves
     steps = _algorithm(m)(m, bins, False)
     request, tree, node, size, w, s = next(steps, None), None, None, 1, None, None
     while request is not None:
         if m.tree is not tree:  # another tree begins
-            for done in m.done[applied:]:
-                total += done.predict(p.codes)
+            if len(m.done) > applied:
+                total += np.array(tree.value)[node]
             tree, node, applied = m.tree, np.zeros(len(p.n), dtype=np.int64), len(m.done)
             w, s = _targets(m, p, total)
         else:
@@ -399,8 +412,8 @@ def run_here(m: Model, bins: Bins, p: Patterns, beyond: np.ndarray) -> np.ndarra
             request = steps.send(node_sums(node, w, s, beyond, request))
         except StopIteration:
             break
-    for done in m.done[applied:]:
-        total += done.predict(p.codes)
+    if len(m.done) > applied:
+        total += np.array(tree.value)[node]
     return m.base + total if m.boosted else total / max(len(m.done), 1)
 
 
@@ -543,6 +556,14 @@ def _scores_on_spark(models: list[Model], bins: Bins, patterns: DataFrame, folds
 
 
 def predictions(m: Model, codes: np.ndarray) -> np.ndarray:
+    """Of each row; rows of equal codes go through the trees once."""
+    if not codes.size:
+        return _summed(m, codes)
+    _, first, place = np.unique(np.ascontiguousarray(codes).view(f"V{codes.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return _summed(m, codes[first])[place]
+
+
+def _summed(m: Model, codes: np.ndarray) -> np.ndarray:
     total = np.zeros(len(codes))
     for tree in m.done:
         total += tree.predict(codes)

@@ -991,8 +991,12 @@ def q_training_rows(spark, d):
 
 
 def _model_frame(spark, d):
-    """S9: part-name tokens + size bucket as country -> retail price; data_class by partkey hash."""
-    p = S.table(spark, d, "part")
+    """S9: part-name tokens + size bucket as country -> retail price; data_class by partkey hash.
+
+    Every fit passes over the rows several times: the parts are dealt out first (few compressed files would be few tasks),
+    and rows with their features are written once.
+    """
+    p = materialize(S.table(spark, d, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "parts")
     p = p.withColumn("tokens", F.array_distinct(F.split("p_name", " "))).withColumn("country", F.col("p_type"))
     p = p.withColumn("outcome", F.col("p_retailprice") / 1000.0)
     h = F.pmod(F.xxhash64("p_partkey", F.lit(42)), F.lit(10))
@@ -1000,7 +1004,8 @@ def _model_frame(spark, d):
     vec, _ = features.multi_hot(p, "tokens", "mut_vec")
     vec, _ = features.one_hot_country(vec, "country", "country_vec")
     from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=["mut_vec", "country_vec"], outputCol="features").transform(vec)
+    m = VectorAssembler(inputCols=["mut_vec", "country_vec"], outputCol="features").transform(vec).drop("mut_vec", "country_idx", "country_vec")
+    return materialize(m, "model_rows")
 
 
 @register("select_features_rf")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 
 from lineax.operators import lasso, models, trees
+from lineax.plans import registry
 
 BOOST = {"rounds": 6, "leaves": 5, "max_depth": 9, "learning_rate": 0.5, "min_child_weight": 1, "min_child_samples": 3, "reg_alpha": 0.01, "reg_lambda": 0.5}
 FOREST = {"trees": 4, "max_depth": 4, "per_node": 3, "min_samples_split": 4, "min_samples_leaf": 2, "bootstrap": True, "seed": 5}
@@ -162,3 +163,42 @@ def test_models_of_constant_and_of_repeated_rows(spark):
                       (models.regress_lasso, {"alpha": lambda r: 0.1, "max_iter": lambda r: 50, "tol": lambda r: 1e-6})):
         model, _ = fn(df, "features", "outcome", n_draws=1, folds=2, space=space)
         assert {round(r.predicted_outcome, 9) for r in model.transform(df).collect()} == {14.5}
+
+
+def test_equal_rows_go_through_the_trees_once(monkeypatch):
+    r = np.random.default_rng(4)
+    codes = r.integers(0, 3, (60, 4)).astype(np.uint8)
+    p = trees.Patterns(codes, np.zeros(60, np.int32), np.ones(60), r.normal(size=60), np.ones(60), np.arange(60, dtype=np.uint64))
+    bins = trees.Bins([np.array([0.5, 1.5])] * 4)
+    m = trees.Model(BOOST, -1, True)
+    fitted_here = trees.run_here(m, bins, p, bins.beyond(codes).astype(float))
+
+    def walked(tree, row):
+        node = 0
+        while tree.feature[node] >= 0:
+            node = (tree.right if row[tree.feature[node]] > tree.cut[node] else tree.left)[node]
+        return tree.value[node]
+
+    by_hand = np.array([m.base + sum(walked(t, c) for t in m.done) for c in codes])
+    assert max(len(t.feature) for t in m.done) > 3
+    assert np.allclose(fitted_here, by_hand)
+    seen = []
+    monkeypatch.setattr(trees.Tree, "predict", lambda self, c, f=trees.Tree.predict: (seen.append(len(c)), f(self, c))[1])
+    assert np.allclose(trees.predictions(m, np.tile(codes, (50, 1))), np.tile(by_hand, 50))
+    assert set(seen) == {len(np.unique(codes, axis=0))}
+    assert trees.predictions(m, codes[:0]).shape == (0,)
+
+
+def test_model_rows_are_dealt_out_and_written_once(spark, tmp_path):
+    """A small file's rows come back in several files, with their features."""
+    words = ["red", "blue", "hot", "ring"]
+    parts = [(i, f"{words[i % 4]} {words[i // 4 % 4]}", ["A", "B"][i % 2], 1 + i % 5, 900.0 + i % 7) for i in range(200)]
+    names = "p_partkey long, p_name string, p_type string, p_size int, p_retailprice double"
+    spark.createDataFrame([*parts, (200, "hot ring", None, None, None)], names).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    m = registry._model_frame(spark, str(tmp_path))
+    files = m.inputFiles()
+    assert len(files) > 1 and not any(str(tmp_path) in f for f in files)
+    assert "UDF" not in m._jdf.queryExecution().executedPlan().toString()
+    rows = {r.p_partkey: r for r in m.collect()}
+    assert len(rows) == 201 and len(rows[0].features) == 6 and rows[200].features.numNonzeros() == 2
+    assert [rows[i].features.numNonzeros() for i in (0, 1)] == [2, 3]
