@@ -991,7 +991,11 @@ def q_training_rows(spark, d):
 
 
 def _model_frame(spark, d):
-    """S9: part-name tokens + size bucket as country -> retail price; data_class by partkey hash.
+    return _model_frame_words(spark, d)[0]
+
+
+def _model_frame_words(spark, d):
+    """(frame, words in the order of their features). S9: part-name tokens + size bucket as country -> retail price; data_class by partkey hash.
 
     Every fit passes over the rows several times: the parts are dealt out first (few compressed files would be few tasks),
     and rows with their features are written once.
@@ -1001,11 +1005,11 @@ def _model_frame(spark, d):
     p = p.withColumn("outcome", F.col("p_retailprice") / 1000.0)
     h = F.pmod(F.xxhash64("p_partkey", F.lit(42)), F.lit(10))
     p = p.withColumn("data_class", F.when(h < 6, "train").when(h < 8, "test").otherwise("future"))
-    vec, _ = features.multi_hot(p, "tokens", "mut_vec")
+    vec, words = features.multi_hot(p, "tokens", "mut_vec")
     vec, _ = features.one_hot_country(vec, "country", "country_vec")
     from pyspark.ml.feature import VectorAssembler
     m = VectorAssembler(inputCols=["mut_vec", "country_vec"], outputCol="features").transform(vec).drop("mut_vec", "country_idx", "country_vec")
-    return materialize(m, "model_rows")
+    return materialize(m, "model_rows"), words.vocabulary
 
 
 @register("select_features_rf")
@@ -1040,9 +1044,9 @@ def q_gbt(spark, d):
     return _fit_predict(spark, d, models.regress_boosted_trees)
 
 
-def _one_split_frame(spark, d):
+def _one_split_frame(spark, d, m=None):
     """The model frame's features and a class by part key that SQL can tell; the outcome depends on two of the tokens."""
-    m = _model_frame(spark, d)
+    m = _model_frame(spark, d) if m is None else m
     planted = F.array_contains("tokens", PLANTED[0]).cast("double") * 3 + F.array_contains("tokens", PLANTED[1]).cast("double") * 2
     return (m.withColumn("data_class", F.when(F.col("p_partkey") % 10 < 6, "train").when(F.col("p_partkey") % 10 < 8, "test").otherwise("future"))
             .withColumn("planted", planted + F.col("outcome") / 100))
@@ -1122,9 +1126,8 @@ def q_model_comparison(spark, d):
 @register("select_features_planted", f"SELECT token FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part) WHERE token IN {PLANTED}")
 def q_select_planted(spark, d):
     """Two features of all decide the outcome, and two are to be selected."""
-    p = S.table(spark, d, "part").withColumn("tokens", F.array_distinct(F.split("p_name", " ")))
-    words = features.multi_hot(p, "tokens", "mut_vec")[1].vocabulary
-    m = _one_split_frame(spark, d)
+    m, words = _model_frame_words(spark, d)  # equally frequent words have no fixed order, so both come from one fit
+    m = _one_split_frame(spark, d, m)
     _, idx = models.select_features_rf(m.where(F.col("data_class") == "train"), "features", "planted", k=2)
     return spark.createDataFrame([(words[i] if i < len(words) else None,) for i in idx], "token string")
 
