@@ -25,10 +25,11 @@ never emits its pairs: first each class is paired with its commonest pivot,
 then, across the components so far, with a random class of each of its
 signatures, so that a class near a large group meets many of its members and
 joins it; signatures whose classes are all in one component drop
-out, and only what is left is paired in full, across components.  The join that does so drops pairs whose
+out, and only what is left is paired in full, across components.  Each round drops pairs whose
 parity sketches differ in more bits than linked sets can have differing
 features (a differing feature flips one bit, so the sketches' distance never
-exceeds the sets').  Every remaining candidate's Jaccard similarity is computed exactly on whole sets.
+exceeds the sets').  Every remaining candidate's Jaccard similarity is computed exactly on the whole
+sets of both texts: texts travel, as they take fewer bytes than their features.
 
 Defined results: null, empty or wordless texts have empty sets (n_shingles 0),
 link with nothing and are their own component; a text of fewer words than a
@@ -55,6 +56,8 @@ U = np.uint64
 PARTS = 3
 #: Bytes of texts at a time: a word takes some twenty numbers here.
 RUN_BYTES = 1 << 20
+#: Bits of a signature: fewer make smaller shuffles; signatures that are equal by chance only add candidates.
+SIG_BITS = 48
 #: Parity sketches: so many 64-bit words, one bit for each of the buckets that features are hashed into.
 SKETCH = [f"p{i}" for i in range(8)]
 
@@ -100,7 +103,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: np.ndarray, num: int, den: int
             # each part's place now stands for the others of its partition
             lo, hi, count = (np.repeat(x.reshape(-1, PARTS).sum(axis=1), PARTS) - x for x in (lo, hi, count))
             where = (np.arange(total) - first[part_doc]).astype(U) + (band[part_doc].astype(U) << U(40))
-            sig = K.mix(lo + K.mix(hi, 17) + K.mix(where, 19), 23)
+            sig = K.mix(lo + K.mix(hi, 17) + K.mix(where, 19), 23) >> U(64 - SIG_BITS)
         empty = count == 0
         blank = np.bincount(part_doc[::PARTS], weights=empty.reshape(-1, PARTS).any(axis=1), minlength=len(n))
         keep = ~empty | (blank > spare)[part_doc]
@@ -202,19 +205,19 @@ def parity_sketches(doc: np.ndarray, h: np.ndarray, docs: int) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, n: int) -> DataFrame:
-    """(cls, n, features, parity sketch) of the classes whose representative rows are in ``wanted``."""
+    """(cls, n, text, parity sketch) of the classes whose representative rows are in ``wanted``; a text is a third of its features' bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in K.chunks(batches, "text", RUN_BYTES):
+        for batch, texts in K.chunks(batches, "text", RUN_BYTES):
             doc, h = K.shingle_sets(texts, n)
             size = np.bincount(doc, minlength=texts.n)
-            off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             with np.errstate(over="ignore"):
                 sketch = parity_sketches(doc, h, texts.n)
             words = [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH))]
-            yield pa.RecordBatch.from_arrays([K.to_long(_class_ids(doc, h, size)), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(off), K.to_long(h)), *words], ["cls", "n", "features", *SKETCH])
+            yield pa.RecordBatch.from_arrays([K.to_long(_class_ids(doc, h, size)), pa.array(size, pa.int64()), batch.column("text"), *words], ["cls", "n", "text", *SKETCH])
 
     rows = docs.select(row_hash(id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(wanted.select("row"), "row", "left_semi")
-    return rows.mapInArrow(run, "cls long, n long, features array<long>, " + ", ".join(f"{p} long" for p in SKETCH)).dropDuplicates(["cls"])
+    # repeated rows lie together already
+    return rows.dropDuplicates(["row"]).mapInArrow(run, "cls long, n long, text string, " + ", ".join(f"{p} long" for p in SKETCH))
 
 
 def may_link(x: str, y: str, num: int, den: int) -> Column:
@@ -229,24 +232,33 @@ def _side(rows: DataFrame, sets: DataFrame, x: str) -> DataFrame:
     return rows.select("sig", F.col("cls").alias(f"{x}_cls"), F.col("comp").alias(f"{x}_comp")).join(known, F.col(f"{x}_cls") == F.col("_c")).drop("_c")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def sketched(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that their sketches don't rule out."""
+    def side(c: str) -> DataFrame:
+        return sets.select(F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), *[F.col(p).alias(f"{c}_{p}") for p in SKETCH])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("a", "b", num, den)).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose sets are similar enough: den * intersection >= num * union, exactly."""
     def side(c: str) -> DataFrame:
-        return sets.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("features").alias(f"f_{c}"))
+        return sets.select(F.col("cls").alias(c), F.col("text").alias(f"t_{c}"))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = batch.column(2).to_numpy().astype(np.int64), batch.column(4).to_numpy().astype(np.int64)
-            fa, fb = batch.column(3).flatten().to_numpy(), batch.column(5).flatten().to_numpy()
-            row = np.arange(len(na))
-            doc, h = np.concatenate([np.repeat(row, na), np.repeat(row, nb)]), np.concatenate([fa, fb]).view(U)
-            common = na + nb - np.bincount(K.unique_in_doc(doc, h)[0], minlength=len(na))
-            good = den * common >= num * (na + nb - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
+        for some, _ in K.chunks(batches, "t_a", RUN_BYTES):
+            for batch, texts in K.chunks([some], "t_b", RUN_BYTES):
+                da, ha = K.shingle_sets(K.flat(batch.column("t_a")), n)
+                db, hb = K.shingle_sets(texts, n)
+                doc, h = np.concatenate([da, db]), np.concatenate([ha, hb])
+                union = np.bincount(K.unique_in_doc(doc, h)[0], minlength=texts.n)
+                common = np.bincount(doc, minlength=texts.n) - union
+                good = den * common >= num * union
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
 
-    return both.select("a", "b", "n_a", "f_a", "n_b", "f_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
 
 
 def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -258,20 +270,20 @@ def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(split, "sig", "left_semi")
 
 
-def links(shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
+def links(shared: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
     """(node, component) of classes with links, by rounds of pivots and then every pair left between components."""
     found = labels = tried = None
 
     def add(pairs: DataFrame) -> int:
         nonlocal found, labels, tried
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        good = materialize(verified(pairs, sets, num, den), "links")
+        good = materialize(verified(pairs, sets, n, num, den), "links")
         tried = pairs if tried is None else tried.union(pairs)
-        n = good.count()
-        if n:
+        count = good.count()
+        if count:
             found = good if found is None else found.union(good)
             labels = materialize(connected_components(found), "labels")  # few rounds: its links are mostly stars
-        return n
+        return count
 
     def ordered(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -279,7 +291,8 @@ def links(shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame |
     # one pivot for each class: of its signatures' first classes, the one with most of them
     pivots = shared.groupBy("sig").agg(F.min("cls").alias("pivot"))
     votes = shared.join(pivots, "sig").where("cls <> pivot").groupBy("cls", "pivot").count()
-    add(votes.groupBy("cls").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot")).select(*ordered("cls", "pivot")).distinct())
+    star = votes.groupBy("cls").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot")).select(*ordered("cls", "pivot")).distinct()
+    add(sketched(star, sets, num, den))
     # across components, a random class of each signature: a class meets as many of a group's as it shares signatures with it
     rows = materialize(_labelled(shared, labels), "open")
     pivots = rows.groupBy("sig").agg(F.max(F.struct(F.xxhash64("cls", "sig"), "cls", "comp")).alias("p")).select("sig", "p.cls", "p.comp")
@@ -305,7 +318,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = materialize(shared_signatures(signature_table(docs, text_col, n, num, den)), "shared")
     wanted = shared.select("cls").distinct().join(first, "cls")
     sets = materialize(set_table(docs, id_col, text_col, wanted, n), "sets")
-    labels = links(shared, sets, num, den)
+    labels = links(shared, sets, n, num, den)
     if labels is None:
         named = first.select("cls", F.col("cls").alias("component"), F.col("id").alias("component_id"))
     else:

@@ -102,6 +102,34 @@ def test_keep_one(spark):
     assert got == sorted([(1, rows[0][1], "x"), (3, rows[2][1], "x"), (4, None, "x"), (5, "", "x"), (None, rows[6][1], "x")], key=str)
 
 
+def test_sets_are_kept_as_texts_of_distinct_rows(spark):
+    rows = [(1, "A b c d e f"), (1, "A b c d e f"), (2, "not wanted at all by anyone"), (3, "g h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = J.class_table(docs, "doc_id", "text", 4).where("id <> 2").collect()
+    wanted = spark.createDataFrame(sorted({(r.cls, r.id, r.row) for r in classes}), "cls long, id long, row long")
+    sets = J.set_table(docs, "doc_id", "text", wanted, 4)
+    assert sorted((r.n, r.text) for r in sets.collect()) == [(1, "g h"), (3, "A b c d e f")]
+    plan = sets._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "hashpartitioning(cls" not in plan  # no shuffle of whole sets by class
+
+
+def test_verified_counts_shingles_of_texts(spark, monkeypatch):
+    monkeypatch.setattr(J, "RUN_BYTES", 40)
+    words = [f"w{i}" for i in range(12)]
+    texts = {1: " ".join(words), 2: " ".join(words).upper(), 3: " ".join([*words, "more"]), 4: " ".join([*words, "two", "more"]), 5: "other"}
+    sets = spark.createDataFrame(list(texts.items()), "cls long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts if a < b], "a long, b long")
+    want = sorted((a, b) for a in texts for b in texts if a < b and 100 * len(shingles(texts[a], 4) & shingles(texts[b], 4)) >= 90 * len(shingles(texts[a], 4) | shingles(texts[b], 4)))
+    assert want == [(1, 2), (1, 3), (2, 3)]
+    assert sorted(map(tuple, J.verified(pairs, sets, 4, 90, 100).collect())) == want
+
+
+def test_signatures_are_short():
+    h = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 500)).astype(np.uint64)
+    _, s = J.signatures(np.zeros(len(h), np.int64), h, np.array([len(h)]), 80, 100)
+    assert len(np.unique(s)) == len(s) and int(s.max()) < 1 << J.SIG_BITS
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert J.jaccard_components(docs).collect() == [] and J.keep_one(docs).collect() == []
