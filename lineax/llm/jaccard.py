@@ -19,8 +19,8 @@ set with at most ``spare`` partitions that have an empty signature still
 shares a signature of features with every set linked to it: it signs features
 only.  The few sets with more sign the empty ones too.  No pair is lost.
 
-Candidates.  Rows (signature, class) are sorted by signature; each shared
-signature's first class is its pivot.  A hot signature (many near copies)
+Candidates.  Rows (signature, class) are sorted by signature, a share of all
+signatures at a time; each shared signature's first class is its pivot.  A hot signature (many near copies)
 never emits its pairs: first each class is paired with its commonest pivot,
 then, across the components so far, with a random class of each of its
 signatures, so that a class near a large group meets many of its members and
@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from lineax.llm import kernel as K
 from lineax.llm.common import connected_components, free_name
 from lineax.llm.piece_model import spread
-from lineax.session import materialize
+from lineax.session import materialize, materialize_parts
 
 U = np.uint64
 PARTS = 3
@@ -58,6 +58,9 @@ PARTS = 3
 RUN_BYTES = 1 << 20
 #: Bits of a signature: fewer make smaller shuffles; signatures that are equal by chance only add candidates.
 SIG_BITS = 48
+#: Signatures are sought in so many passes over the texts, each for a share of all signatures: the rows of one pass are
+#: shuffled at a time, and their sorts take a share of the memory. Together they are twice the input and more.
+PASSES = 4
 #: Parity sketches: so many 64-bit words, one bit for each of the buckets that features are hashed into.
 SKETCH = [f"p{i}" for i in range(8)]
 
@@ -141,8 +144,8 @@ def row_hash(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def signature_table(docs: DataFrame, text_col: str, n: int, num: int, den: int) -> DataFrame:
-    """(sig, cls) of every row's set; rows of one batch with equal sets sign once."""
+def signature_table(docs: DataFrame, text_col: str, n: int, num: int, den: int, turn: int = 0, passes: int = 1) -> DataFrame:
+    """(sig, cls) of every row's set, for the signatures of pass ``turn`` of ``passes``; rows of one batch with equal sets sign once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in K.chunks(batches, text_col, RUN_BYTES):
             doc, h = K.shingle_sets(texts, n)
@@ -152,6 +155,8 @@ def signature_table(docs: DataFrame, text_col: str, n: int, num: int, den: int)
             first[np.unique(cls, return_index=True)[1]] = True
             keep = first[doc]
             d, s = signatures(doc[keep], h[keep], np.where(first, size, 0), num, den)
+            mine = s % U(passes) == turn
+            d, s = d[mine], s[mine]
             for a in range(0, len(d), 200_000):
                 yield pa.RecordBatch.from_arrays([K.to_long(s[a: a + 200_000]), K.to_long(cls[d[a: a + 200_000]])], ["sig", "cls"])
 
@@ -315,7 +320,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     classes = materialize(class_table(docs, id_col, text_col, n), "classes")
     first = classes.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("id"), F.min("row").alias("row"))
-    shared = materialize(shared_signatures(signature_table(docs, text_col, n, num, den)), "shared")
+    shared = materialize_parts([shared_signatures(signature_table(docs, text_col, n, num, den, i, PASSES)) for i in range(PASSES)], "shared")
     wanted = shared.select("cls").distinct().join(first, "cls")
     sets = materialize(set_table(docs, id_col, text_col, wanted, n), "sets")
     labels = links(shared, sets, n, num, den)

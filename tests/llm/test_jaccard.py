@@ -7,6 +7,7 @@ import pytest
 
 from lineax.llm import jaccard as J
 from lineax.llm import kernel as K
+from lineax.session import materialize_parts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -143,3 +144,19 @@ def test_word_kernel_matches_regex():
     doc, s, e, _ = t.words()
     got = [[t.text(a, b) for a, b in zip(s[doc == i], e[doc == i], strict=True)] for i in range(t.n)]
     assert got == [WORD.findall(x or "") for x in texts]
+
+
+def test_passes_share_out_the_signatures(spark):
+    """Each pass has about its share of the rows; together they are all rows, and the passes' shared signatures are those of one."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    base = [" ".join(rng.choices(words, k=rng.randint(3, 60))) for _ in range(40)]
+    docs = spark.createDataFrame([(t,) for t in base + [f"{t} more" for t in base]], "text string")
+    whole = J.signature_table(docs, "text", 3, 80, 100)
+    parts = [J.signature_table(docs, "text", 3, 80, 100, i, J.PASSES) for i in range(J.PASSES)]
+    rows = sorted(map(tuple, whole.collect()))
+    got = [[tuple(r) for r in p.collect()] for p in parts]
+    assert sorted(sum(got, [])) == rows and max(map(len, got)) < 0.5 * len(rows)
+    shared = materialize_parts([J.shared_signatures(p) for p in parts], "shared")
+    want = sorted(map(tuple, J.shared_signatures(whole).collect()))
+    assert want and sorted(map(tuple, shared.collect())) == want
