@@ -38,3 +38,20 @@ def test_materialize_restores_the_setting(spark):
         assert spark.conf.get(key) == "false"
     finally:
         spark.conf.unset(key)
+
+
+def test_read_alone_removes_the_tables_of_the_way(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(session, "scratch_path", lambda s, name, real=session.scratch_path: made.append(real(s, name)) or made[-1])
+
+    def build():
+        step = session.materialize(spark.range(10), "step")
+        inner = session.written_alone(lambda: session.materialize(step, "deep").where("id > 2"), "inner")
+        return session.materialize(inner.union(step), "last")
+
+    out = session.read_alone(build)
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in made if os.path.exists(p.removeprefix("file:"))]
+    assert left == ["last"] and out.count() == 17
+    both = session.read_alone(lambda: session.materialize_parts([session.materialize(spark.range(i)) for i in (2, 3)], "part"))
+    assert sorted(r.id for r in both.collect()) == [0, 0, 1, 1, 2]
+    assert sum(os.path.exists(p.removeprefix("file:")) for p in made) == 3
